@@ -7,6 +7,7 @@ handful of sufficient statistics; Spark decides how they are partitioned.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -16,13 +17,14 @@ from pyspark.sql import types as T
 
 from armlift.functions.normal import TAIL_DENOMINATOR, TAIL_NUMERATOR, TAIL_SPLIT
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(160)
+SERIES_DF = 200  # from here the quantile series is accurate to 1e-10
 NORMAL_DF = 1e6  # from here t differs from the normal by less than 1e-6 relative
 
 
 def lgamma(x):
-    return _lgamma(np.asarray(x, dtype=float))
+    x = np.asarray(x, dtype=float)
+    return np.array([math.lgamma(v) for v in x.ravel()]).reshape(x.shape)
 
 
 def phi(x):
@@ -71,20 +73,29 @@ def t_two_sided(t, df):
 
 
 def t_quantile(p: float, df):
-    """Upper quantile (p > 0.5): normal start with Cornish-Fisher, Newton polish."""
-    from statistics import NormalDist
-
+    """Upper quantile (p > 0.5): Cornish-Fisher series, Newton polish at small df."""
     df = np.asarray(df, dtype=float)
-    v = np.clip(df, 1e-2, NORMAL_DF)
+    v = np.maximum(df, 1e-2)
     z = NormalDist().inv_cdf(p)
-    big = z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v * v)
-    lo, hi = np.zeros_like(v), np.full_like(v, z)
+    series = z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2) \
+        + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3) \
+        + (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / (92160 * v**4)
+    small = v < SERIES_DF
+    if not small.any():
+        return series
+    out = series.copy()
+    out[small] = _t_quantile_small(p, v[small], series[small])
+    return out
+
+
+def _t_quantile_small(p: float, v, start):
+    lo, hi = np.zeros_like(v), np.maximum(start, 1.0)
     for _ in range(200):  # grow the bracket for heavy-tailed small df
         short = t_two_sided(hi, v) / 2.0 > 1.0 - p
         if not short.any():
             break
         hi = np.where(short, hi * 2.0, hi)
-    x = np.where((big > lo) & (big < hi), big, (lo + hi) / 2.0)
+    x = np.where((start > lo) & (start < hi), start, (lo + hi) / 2.0)
     log_norm = lgamma((v + 1) / 2) - lgamma(v / 2) - 0.5 * np.log(v * math.pi)
     for _ in range(60):
         gap = t_two_sided(x, v) / 2.0 - (1.0 - p)
@@ -92,19 +103,19 @@ def t_quantile(p: float, df):
         dens = np.exp(log_norm - (v + 1) / 2 * np.log1p(x * x / v))
         step = x + gap / np.maximum(dens, 1e-300)
         new = np.where((step > lo) & (step < hi), step, (lo + hi) / 2.0)
-        if np.all(np.abs(new - x) <= 1e-13 * np.maximum(1.0, np.abs(x))):
-            x = new
-            break
+        done = np.all(np.abs(new - x) <= 1e-12 * np.maximum(1.0, np.abs(x)))
         x = new
-    return np.where(df >= NORMAL_DF, big, x)
+        if done:
+            break
+    return x
 
 
-def two_sample_power(d, n1, n2, alpha: float):
+def two_sample_power(d, n1, n2, alpha: float, crit=None):
     """Power of the two-sided two-sample t-test, by quadrature over the scale."""
     d, n1, n2 = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(d, n1, n2))
     df = np.maximum(n1 + n2 - 2.0, 1e-2)
     shift = np.abs(d) * np.sqrt(n1 * n2 / (n1 + n2))
-    crit = t_quantile(1.0 - alpha / 2.0, df)
+    crit = t_quantile(1.0 - alpha / 2.0, df) if crit is None else crit
     v = np.minimum(df, 1e7)
     spread = 1.0 / np.sqrt(2.0 * v)
     low, high = np.maximum(1e-12, 1.0 - 12.0 * spread), 1.0 + 14.0 * spread
@@ -118,37 +129,44 @@ def two_sample_power(d, n1, n2, alpha: float):
     return np.clip(total, 0.0, 1.0)
 
 
-def solve_n(d, ratio, alpha: float, power: float):
-    """Smallest real n1 with n2 = ratio * n1 that reaches the power."""
-    d, ratio = np.broadcast_arrays(np.abs(np.asarray(d, float)), np.asarray(ratio, float))
-    lo = np.full(d.shape, 2.0) / np.minimum(1.0, 1.0 + ratio) + 1e-9
-    hi = np.maximum(lo * 2, 4.0)
-    for _ in range(120):
-        short = two_sample_power(d, hi, hi * ratio, alpha) < power
+def _root(power_at, guess, floor, target: float):
+    """Smallest argument reaching the target power, by bracketing and bisection."""
+    lo, hi = np.maximum(guess * 0.5, floor), np.maximum(guess * 1.5, floor * 2)
+    for _ in range(200):
+        high = power_at(lo) >= target
+        if not (high & (lo > floor)).any():
+            break
+        lo = np.where(high, np.maximum(lo / 2.0, floor), lo)
+    for _ in range(200):
+        short = power_at(hi) < target
         if not short.any():
             break
         hi = np.where(short, hi * 2.0, hi)
-    for _ in range(70):
+    for _ in range(60):
+        if np.all(hi - lo <= 1e-12 * hi):
+            break
         mid = (lo + hi) / 2.0
-        short = two_sample_power(d, mid, mid * ratio, alpha) < power
+        short = power_at(mid) < target
         lo, hi = np.where(short, mid, lo), np.where(short, hi, mid)
     return hi
 
 
+def solve_n(d, ratio, alpha: float, power: float):
+    """Smallest real n1 with n2 = ratio * n1 that reaches the power."""
+    d, ratio = np.broadcast_arrays(np.abs(np.asarray(d, float)), np.asarray(ratio, float))
+    reach = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
+    guess = reach**2 * (1.0 + 1.0 / ratio) / d**2
+    floor = (2.0 + 1e-9) / (1.0 + ratio)  # degrees of freedom stay positive
+    return _root(lambda n: two_sample_power(d, n, n * ratio, alpha), guess, floor, power)
+
+
 def solve_effect(n1, n2, alpha: float, power: float):
     """Smallest standardised effect detectable with the given arm sizes."""
     n1, n2 = np.broadcast_arrays(np.asarray(n1, float), np.asarray(n2, float))
-    lo, hi = np.zeros(n1.shape), np.ones(n1.shape)
-    for _ in range(40):
-        short = two_sample_power(hi, n1, n2, alpha) < power
-        if not short.any():
-            break
-        hi = np.where(short, hi * 2.0, hi)
-    for _ in range(60):
-        mid = (lo + hi) / 2.0
-        short = two_sample_power(mid, n1, n2, alpha) < power
-        lo, hi = np.where(short, mid, lo), np.where(short, hi, mid)
-    return hi
+    reach = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
+    guess = reach * np.sqrt(1.0 / n1 + 1.0 / n2)
+    crit = t_quantile(1.0 - alpha / 2.0, n1 + n2 - 2.0)
+    return _root(lambda d: two_sample_power(d, n1, n2, alpha, crit), guess, np.full(n1.shape, 1e-12), power)
 
 
 def t_p_value(t: Column, df: Column) -> Column:

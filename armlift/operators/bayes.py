@@ -56,7 +56,7 @@ def bayesian_test(m: DataFrame, draws: int = 10_000, seed: int = 42, simulate: b
         _exact=f"n_t > {LARGE_ARM} AND n_c > {LARGE_ARM} AND {str(not simulate).lower()}")
     m = add(
         m, _mu="_mt - _mc",
-        _st=f"sqrt(greatest(_vt, {VARIANCE_FLOOR}D) / n_t)", _sc=f"sqrt(greatest(_vc, {VARIANCE_FLOOR}D) / n_c)",
+        _st=f"sqrt(greatest(_vt, {VARIANCE_FLOOR}D) / greatest(n_t, 1))", _sc=f"sqrt(greatest(_vc, {VARIANCE_FLOOR}D) / greatest(n_c, 1))",
         _case="""CASE WHEN n_t < 2 OR n_c < 2 THEN 'short' WHEN _vt = 0 AND _vc = 0 THEN 'fixed'
             WHEN _exact THEN 'exact' ELSE 'drawn' END""")
     m = m.withColumn("_draw", _draws(draws, seed, simulate)(

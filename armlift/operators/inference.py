@@ -71,12 +71,12 @@ def cuped_moments(m: DataFrame) -> DataFrame:
     theta comes from both arms together; the adjusted mean and variance have a
     closed form in the moments, so no second pass over the rows is needed.
     """
-    m = add(m, _between="n_t * n_c / (n_t + n_c)", _gx="xmean_t - xmean_c", _gy="mean_t - mean_c")
+    m = add(m, _between="n_t * n_c / nullif(n_t + n_c, 0)", _gx="xmean_t - xmean_c", _gy="mean_t - mean_c")
     m = add(
         m,
-        _xvar="((n_t - 1) * xvar_t + (n_c - 1) * xvar_c + _between * _gx * _gx) / (n_t + n_c - 1)",
-        _xycov="((n_t - 1) * cov_t + (n_c - 1) * cov_c + _between * _gx * _gy) / (n_t + n_c - 1)",
-        pre_mean_all="(n_t * xmean_t + n_c * xmean_c) / (n_t + n_c)")
+        _xvar="((n_t - 1) * xvar_t + (n_c - 1) * xvar_c + _between * _gx * _gx) / nullif(n_t + n_c - 1, 0)",
+        _xycov="((n_t - 1) * cov_t + (n_c - 1) * cov_c + _between * _gx * _gy) / nullif(n_t + n_c - 1, 0)",
+        pre_mean_all="(n_t * xmean_t + n_c * xmean_c) / nullif(n_t + n_c, 0)")
     m = add(m, cuped_reason=f"""CASE WHEN NOT has_pre THEN 'no_pre_period_metric'
         WHEN _xvar <= {VARIANCE_EPSILON}D OR var_all <= {VARIANCE_EPSILON}D THEN 'zero_variance' END""")
     m = add(m, cuped_applied="cuped_reason IS NULL",
@@ -202,10 +202,10 @@ def proportion_test(m: DataFrame, alpha: float = 0.05, method: str = "score") ->
         _thin=f"n_t > 0 AND n_c > 0 AND least(conv_t, n_t - conv_t, conv_c, n_c - conv_c) < {MIN_CELL}",
         _ends="""n_t > 0 AND n_c > 0 AND
             ((conv_t = 0 AND conv_c = 0) OR (conv_t = n_t AND conv_c = n_c))""",
-        _pool="(conv_t + conv_c) / (n_t + n_c)")
-    m = add(m, _pooled="_pool * (1 - _pool) * (1 / n_t + 1 / n_c)",
-            _own="treatment_proportion * (1 - treatment_proportion) / n_t"
-                 " + control_proportion * (1 - control_proportion) / n_c")
+        _pool="(conv_t + conv_c) / nullif(n_t + n_c, 0)")
+    m = add(m, _pooled="_pool * (1 - _pool) * (1 / nullif(n_t, 0) + 1 / nullif(n_c, 0))",
+            _own="treatment_proportion * (1 - treatment_proportion) / nullif(n_t, 0)"
+                 " + control_proportion * (1 - control_proportion) / nullif(n_c, 0)")
     if method == "score":
         variance, tested = "_pooled * (n_t + n_c) / (n_t + n_c - 1)", "NOT (_empty OR _thin OR _ends)"
     else:

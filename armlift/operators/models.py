@@ -130,9 +130,9 @@ def huber_shift(rows: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("arm") == "t", F.col("cnt"))).alias("k_t"),
         F.sum(F.when(F.col("arm") == "c", F.col("cnt"))).alias("k_c"))
     c = F.col
-    share = c("inner") / c("n")
+    share = F.nullif(c("inner") / c("n"), F.lit(0.0))
     k = 1 + 2.0 / c("n") * (share * (1 - share)) / (share * share)
-    var = k * k * (c("psi2") / (c("n") - 2) * c("scale") * c("scale")) / (share * share) * (1 / c("k_t") + 1 / c("k_c"))
+    var = k * k * (c("psi2") / F.nullif(c("n") - 2, F.lit(0.0)) * c("scale") * c("scale")) / (share * share) * (1 / c("k_t") + 1 / c("k_c"))
     return fit.join(sizes, "segment").select(
         "segment", F.when(c("scale") > 0, c("mu_t") - c("mu_c")).alias("fit_effect"),
         F.when(c("scale") > 0, F.sqrt(var)).alias("fit_se"), F.lit(None).cast("double").alias("fit_raw_se"),
@@ -152,7 +152,7 @@ def log_shift(rows: DataFrame, moments: DataFrame) -> DataFrame:
             F.avg(F.when(c("arm") == a, v)).alias(f"l_{a}"),
             F.var_samp(F.when(c("arm") == a, v)).alias(f"lv_{a}"))])
     out = agg.join(plan, "segment")
-    out = out.withColumns({f"s_{a}": c(f"lv_{a}") / (c(f"n_{a}") - 1) for a in "tc"})
+    out = out.withColumns({f"s_{a}": c(f"lv_{a}") / F.nullif(c(f"n_{a}") - 1, F.lit(0)) for a in "tc"})
     # The mean of exp(residual) needs no second pass: exp(log(y + s)) = y + s.
     smear = sum(
         (c(f"n_{a}") * (c(f"mean_{a}") + c("shift")) * F.exp(-c(f"l_{a}")) for a in "tc"), F.lit(0.0)
@@ -293,12 +293,12 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
     glm = c("model").isin("binomial", "poisson", "nb")
     if kinds & {"binomial", "poisson", "nb"}:
         start = F.when(c("model") == "binomial", (c("y") + 0.5) / 2).otherwise((c("y") + c("mean_all")) / 2)
-        link = F.when(c("model") == "binomial", F.log(c("mu") / (1 - c("mu")))).otherwise(F.log("mu"))
+        link = F.when(c("model") == "binomial", F.log(c("mu") / F.nullif(1 - c("mu"), F.lit(0.0)))).otherwise(F.log("mu"))
         slope = F.when(c("model") == "binomial", c("mu") * (1 - c("mu"))).otherwise(c("mu"))
         weight = F.when(c("model") == "nb", c("mu") / (1 + c("mu"))).otherwise(slope)
 
         def irls(data: DataFrame, xs: list[Column]) -> DataFrame:
-            return solve(data.where(glm), xs, weight, c("eta") + (c("y") - c("mu")) / slope)
+            return solve(data.where(glm), xs, weight, c("eta") + (c("y") - c("mu")) / F.nullif(slope, F.lit(0.0)))
 
         first = data.withColumn("mu", start)
         fit = stage(irls(first.withColumn("eta", link), xs))
@@ -325,7 +325,7 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
             mad = percentiles(at.select("segment", F.abs("r").alias("r")), ["segment"], "r", {"mad": 0.5})
             mad = stage(mad.select("segment", (c("mad") / MAD_SCALE).alias("scale")))
             at = attach(at, mad, ["segment"])
-            w = F.when(F.abs("r") <= HUBER_T * c("scale"), 1.0).otherwise(HUBER_T * c("scale") / F.abs("r"))
+            w = F.when(F.abs("r") <= HUBER_T * c("scale"), 1.0).otherwise(HUBER_T * c("scale") / F.nullif(F.abs("r"), F.lit(0.0)))
             new = stage(solve(at.where("scale > 0"), xs2, w, c("y")))
             change = F.aggregate(
                 F.zip_with("beta", "old", lambda a, b: F.abs(a - b) / (1 + F.abs(a))),
@@ -353,8 +353,8 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
         for j in range(p):
             h = h + F.element_at("xtx_inverse", i * p + j + 1) * xs2[i] * xs2[j]
     at = at.withColumns({"h": h, "e": c("z0") - c("eta")})
-    w3 = c("e") * c("e") / ((1 - c("h")) * (1 - c("h")))
-    r = c("e") / c("scale")
+    w3 = c("e") * c("e") / F.nullif((1 - c("h")) * (1 - c("h")), F.lit(0.0))
+    r = c("e") / F.nullif(c("scale"), F.lit(0.0))
     inner = F.abs(r) <= HUBER_T
     b1 = F.element_at("beta", 2)
     eta0 = c("eta") - b1 * c("x0")
@@ -376,17 +376,17 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
         F.avg(F.when(c("model") == "log", F.exp("e"))).alias("smear"),
     )
     out = final.join(state, "segment").join(scales.select("segment", "n", "model", *[f"v_{x}" for x in covs]), "segment")
-    share = c("inner")
+    share = F.nullif(c("inner"), F.lit(0.0))
     correction = 1 + (p * 1.0) / c("n") * (share * (1 - share)) / (share * share)
     tt = F.element_at("inverse", p + 2)
     used = F.array_compact(F.array(*[F.when(c(f"v_{x}"), F.lit(n)) for x, n in zip(covs, names, strict=True)]))
     hc3 = _sandwich(p)(c("xtx_inverse"), c("meat"))
     out = out.withColumns({"_hc3": hc3, "_gvg": _quadratic(p)(c("inverse"), c("gradient")), "used": used})
     xtx_tt = F.element_at("xtx_inverse", p + 2)
-    h1 = correction * correction * (c("psi2") / (c("n") - p) * c("scale") * c("scale")) / (share * share) * xtx_tt
+    h1 = correction * correction * (c("psi2") / F.nullif(c("n") - p, F.lit(0)) * c("scale") * c("scale")) / (share * share) * xtx_tt
     variance = F.when(c("model").isin("ols", "log"), c("_hc3")).when(c("model") == "huber", h1).otherwise(tt)
     out = out.withColumns({"_b": zero_if_tiny(F.element_at("beta", 2)), "_s": F.sqrt(variance)})
-    out = out.withColumn("_z", c("_b") / c("_s"))
+    out = out.withColumn("_z", c("_b") / F.nullif(c("_s"), F.lit(0.0)))
     out = out.withColumn("_p", F.expr(two_sided("_z")))
     half = F.lit(z_quantile(1 - options.alpha / 2)) * c("_s")
     scale_name = (F.when(c("model") == "binomial", "log_odds").when(c("model").isin("poisson", "nb"), "log_rate")

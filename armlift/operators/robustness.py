@@ -74,7 +74,7 @@ def levene_test(moments: DataFrame, sums: DataFrame, alpha: float = 0.05) -> Dat
     out = add(out, variance_reason=f"""CASE WHEN n_t < 3 OR n_c < 3 THEN 'insufficient_sample_size'
         WHEN least(var_t, var_c) <= {VARIANCE_EPSILON}D THEN 'degenerate_variance' END""",
               levene_df="CAST(k_t + k_c - 2 AS DOUBLE)")
-    out = add(out, _within="((k_t - 1) * zv_t + (k_c - 1) * zv_c) / levene_df",
+    out = add(out, _within="((k_t - 1) * zv_t + (k_c - 1) * zv_c) / nullif(levene_df, 0D)",
               _between="(zm_t - zm_c) * (zm_t - zm_c) * k_t * k_c / (k_t + k_c)")
     out = add(out, levene_f="CASE WHEN variance_reason IS NULL AND _within > 0 THEN _between / _within END")
     p = tails.t_p_value(F.sqrt("levene_f"), F.col("levene_df"))  # F(1, v) is the square of t(v)
@@ -103,7 +103,7 @@ def dagostino_test(rows: DataFrame) -> DataFrame:
             * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))""")
     d = add(d, a="6 + 8 / r * (2 / r + sqrt(1 + 4 / (r * r)))")
     d = add(d, q="1 + x * sqrt(2 / (a - 4))")
-    d = add(d, z2="(1 - 2 / (9 * a) - signum(q) * power((1 - 2 / a) / abs(q), 1 / 3D)) / sqrt(2 / (9 * a))")
+    d = add(d, z2="(1 - 2 / (9 * a) - signum(q) * power((1 - 2 / a) / nullif(abs(q), 0D), 1 / 3D)) / sqrt(2 / (9 * a))")
     d = add(d, statistic="z1 * z1 + z2 * z2")
     return d.select("segment", "arm", F.col("n").cast("bigint").alias("n"), "statistic",
                     sanitize_p(F.exp(-F.col("statistic") / 2)).alias("p_value"))
