@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armlift.functions.guards import sanitize_numeric
+from armlift.functions.guards import add, sanitize_numeric
 from armlift.session import attach
 
 
@@ -35,43 +35,26 @@ def arm_moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("segment", "arm").agg(*exprs)
 
 
-def _whole_number(y: Column) -> Column:
-    near = F.round(y)
-    return F.abs(y - near) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(near)
-
-
-def _view(prefix: str, keep: Column, with_pre: bool) -> list[Column]:
-    """Aggregates of one completeness view, for both arms and pooled."""
-    out = []
-    y = sanitize_numeric(F.col("y"))
+def _view(prefix: str, keep: str, with_pre: bool) -> dict[str, str]:
+    """Aggregates of one completeness view, for both arms and pooled, as SQL text."""
+    finite = "y > -double('Infinity') AND y < double('Infinity')"
+    out = {}
     for arm in ("t", "c"):
-        here = (F.col("arm") == arm) & keep
-        v, p = F.when(here, y), f"{prefix}_{arm}"
-        out += [
-            F.count_if(here).alias(f"{p}_rows"),
-            F.count(v).alias(f"{p}_n"),
-            F.avg(v).alias(f"{p}_mean"),
-            F.var_samp(v).alias(f"{p}_var"),
-            F.count_if(v != 0).alias(f"{p}_conv"),
-        ]
+        here, p = f"arm = '{arm}' AND {keep}", f"{prefix}_{arm}"
+        v = f"CASE WHEN {here} AND {finite} THEN y END"
+        out |= {f"{p}_rows": f"count_if({here})", f"{p}_n": f"count({v})", f"{p}_mean": f"avg({v})",
+                f"{p}_var": f"var_samp({v})", f"{p}_conv": f"count_if({here} AND {finite} AND y <> 0)"}
         if with_pre:
-            x = F.when(here, F.col("x"))
-            out += [
-                F.avg(x).alias(f"{p}_xmean"),
-                F.var_samp(x).alias(f"{p}_xvar"),
-                F.covar_samp(v, x).alias(f"{p}_cov"),
-                F.avg(v - x).alias(f"{p}_dmean"),
-                F.var_samp(v - x).alias(f"{p}_dvar"),
-            ]
-    pooled = F.when(keep, y)
-    out += [
-        F.skewness(pooled).alias(f"{prefix}_skew"),
-        F.kurtosis(pooled).alias(f"{prefix}_kurt"),
-        F.min(pooled).alias(f"{prefix}_min"),
-        F.max(pooled).alias(f"{prefix}_max"),
-        F.bool_and(pooled.isin(0.0, 1.0)).alias(f"{prefix}_is01"),
-        F.bool_and((pooled >= 0) & _whole_number(pooled)).alias(f"{prefix}_whole"),
-    ]
+            x = f"CASE WHEN {here} AND {finite} THEN x END"
+            d = f"CASE WHEN {here} AND {finite} THEN y - x END"
+            out |= {f"{p}_xmean": f"avg({x})", f"{p}_xvar": f"var_samp({x})", f"{p}_cov": f"covar_samp({v}, {x})",
+                    f"{p}_dmean": f"avg({d})", f"{p}_dvar": f"var_samp({d})"}
+    pooled = f"CASE WHEN {keep} AND {finite} THEN y END"
+    whole = "y >= 0 AND abs(y - round(y)) <= 1e-8D + 1e-5D * abs(round(y))"
+    out |= {f"{prefix}_skew": f"skewness({pooled})", f"{prefix}_kurt": f"kurtosis({pooled})",
+            f"{prefix}_min": f"min({pooled})", f"{prefix}_max": f"max({pooled})",
+            f"{prefix}_is01": f"bool_and(CASE WHEN {keep} AND {finite} THEN y IN (0D, 1D) END)",
+            f"{prefix}_whole": f"bool_and(CASE WHEN {keep} AND {finite} THEN {whole} END)"}
     return out
 
 
@@ -85,80 +68,48 @@ def segment_moments(rows: DataFrame) -> DataFrame:
     """
     covs = [c for c in rows.columns if c[0] == "c" and c[1:].isdigit()]
     has_pre = "x" in rows.columns
-    known = F.col("y").isNotNull()
+    known = "y IS NOT NULL"
     views = {"post": (known, False)}
     if has_pre:
-        views["pair"] = (known & F.col("x").isNotNull(), True)
+        views["pair"] = (f"{known} AND x IS NOT NULL", True)
     if covs and not (has_pre and len(covs) == 1):
-        complete = known
-        for c in covs:
-            complete = complete & F.col(c).isNotNull()
-        if has_pre:
-            complete = complete & F.col("x").isNotNull()
-        views["cov"] = (complete, has_pre)
-    exprs = [e for name, (keep, pre) in views.items() for e in _view(name, keep, pre)]
-    wide = rows.groupBy("segment").agg(
-        F.count_if(F.col("y").isNull()).alias("rows_dropped"), *exprs
-    )
-
-    def usable(view: str) -> Column:
-        return (F.col(f"{view}_t_rows") >= 2) & (F.col(f"{view}_c_rows") >= 2)
-
+        needed = [*covs, "x"] if has_pre else covs
+        views["cov"] = (" AND ".join([known, *[f"{c} IS NOT NULL" for c in needed]]), has_pre)
+    sums = {"rows_dropped": "count_if(y IS NULL)"}
+    for name, (keep, pre) in views.items():
+        sums |= _view(name, keep, pre)
+    wide = rows.groupBy("segment").agg(*[F.expr(e).alias(k) for k, e in sums.items()])
     order = [v for v in ("cov", "pair") if v in views]
 
-    def pick(suffix: str) -> Column:
-        chosen = F.col(f"post_{suffix}")
-        for view in reversed(order):
-            chosen = F.when(usable(view), F.col(f"{view}_{suffix}")).otherwise(chosen)
-        return chosen
+    def usable(view: str) -> str:
+        return f"{view}_t_rows >= 2 AND {view}_c_rows >= 2"
 
-    def pick_pre(suffix: str) -> Column:
-        chosen = F.lit(None).cast("double")
-        for view in reversed([v for v in order if views[v][1]]):
-            chosen = F.when(usable(view), F.col(f"{view}_{suffix}")).otherwise(chosen)
-        return chosen
+    def pick(suffix: str, pre: bool = False) -> str:
+        """The value of the first usable view; pre-period values exist in some views only."""
+        among = [v for v in order if views[v][1]] if pre else order
+        last = "CAST(NULL AS DOUBLE)" if pre else f"post_{suffix}"
+        whens = " ".join(f"WHEN {usable(v)} THEN {v}_{suffix}" for v in among)
+        return f"CASE {whens} ELSE {last} END" if whens else last
 
-    cols = [F.col("segment"), F.col("rows_dropped"),
-            F.col("post_t_rows").alias("post_n_t"), F.col("post_c_rows").alias("post_n_c")]
+    cols = {"segment": "segment", "rows_dropped": "rows_dropped", "post_n_t": "post_t_rows", "post_n_c": "post_c_rows"}
     for arm in ("t", "c"):
-        cols += [
-            pick(f"{arm}_rows").alias(f"rows_{arm}"),
-            pick(f"{arm}_n").alias(f"n_{arm}"),
-            F.coalesce(pick(f"{arm}_mean"), F.lit(0.0)).alias(f"mean_{arm}"),
-            F.coalesce(pick(f"{arm}_var"), F.lit(0.0)).alias(f"var_{arm}"),
-            pick(f"{arm}_conv").alias(f"conv_{arm}"),
-        ]
-        for s in ("xmean", "xvar", "cov", "dmean", "dvar"):
-            cols.append((pick_pre(f"{arm}_{s}") if has_pre else F.lit(None).cast("double")).alias(f"{s}_{arm}"))
-    cols += [pick(s).alias(s) for s in ("skew", "kurt", "min", "max")]
-    cols += [F.coalesce(pick(s), F.lit(False)).alias(s) for s in ("is01", "whole")]
-    view = F.lit("post")
-    for name in reversed(order):
-        view = F.when(usable(name), F.lit(name)).otherwise(view)
-    cols.append(view.alias("view"))
-    cols.append((usable("pair") if has_pre else F.lit(False)).alias("has_pre"))
+        cols |= {f"rows_{arm}": pick(f"{arm}_rows"), f"n_{arm}": pick(f"{arm}_n"),
+                 f"mean_{arm}": f"coalesce({pick(f'{arm}_mean')}, 0D)", f"var_{arm}": f"coalesce({pick(f'{arm}_var')}, 0D)",
+                 f"conv_{arm}": pick(f"{arm}_conv")}
+        cols |= {f"{s}_{arm}": pick(f"{arm}_{s}", pre=True) for s in ("xmean", "xvar", "cov", "dmean", "dvar")}
+    cols |= {s: pick(s) for s in ("skew", "kurt", "min", "max")}
+    cols |= {s: f"coalesce({pick(s)}, false)" for s in ("is01", "whole")}
+    whens = " ".join(f"WHEN {usable(v)} THEN '{v}'" for v in order)
+    cols["view"] = f"CASE {whens} ELSE 'post' END" if whens else "'post'"
+    cols["has_pre"] = usable("pair") if has_pre else "false"
     if has_pre:
-        cols += [F.col(f"pair_{a}_rows").alias(f"aa_n_{a}") for a in "tc"]
-        cols += [F.col(f"pair_{a}_xmean").alias(f"aa_mean_{a}") for a in "tc"]
-        cols += [F.col(f"pair_{a}_xvar").alias(f"aa_var_{a}") for a in "tc"]
-    return add_pooled(wide.select(*cols))
-
-
-def pooled_square_sum(n_a, mean_a, var_a, n_b, mean_b, var_b) -> Column:
-    """Centred sum of squares of two samples put together."""
-    gap = mean_a - mean_b
-    return (n_a - 1) * var_a + (n_b - 1) * var_b + gap * gap * n_a * n_b / (n_a + n_b)
-
-
-def add_pooled(m: DataFrame) -> DataFrame:
-    """Mean and variance of both arms together."""
-    n_t, n_c = F.col("n_t"), F.col("n_c")
-    total = n_t + n_c
-    ss = pooled_square_sum(n_t, F.col("mean_t"), F.col("var_t"), n_c, F.col("mean_c"), F.col("var_c"))
-    return m.withColumns({
-        "mean_all": F.when(total > 0, (n_t * F.col("mean_t") + n_c * F.col("mean_c")) / total).otherwise(0.0),
-        "var_all": F.when((n_t > 0) & (n_c > 0) & (total > 1), ss / (total - 1)).otherwise(0.0),
-    })
+        cols |= {f"aa_{new}_{a}": f"pair_{a}_{old}" for a in "tc" for new, old in (
+            ("n", "rows"), ("mean", "xmean"), ("var", "xvar"))}
+    chosen = wide.selectExpr(*[f"{e} AS {k}" for k, e in cols.items()])
+    # Mean and variance of both arms together.
+    chosen = add(chosen, mean_all="coalesce((n_t * mean_t + n_c * mean_c) / nullif(n_t + n_c, 0), 0D)")
+    return add(chosen, var_all="""CASE WHEN n_t > 0 AND n_c > 0 THEN ((n_t - 1) * var_t + (n_c - 1) * var_c
+        + (mean_t - mean_c) * (mean_t - mean_c) * n_t * n_c / (n_t + n_c)) / (n_t + n_c - 1) ELSE 0D END""")
 
 
 def aligned_rows(rows: DataFrame, staged: DataFrame) -> DataFrame:
