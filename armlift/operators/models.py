@@ -112,7 +112,7 @@ def huber_shift(rows: DataFrame) -> DataFrame:
 
     out_cols = [*keys, "lo", "hi", "cnt", "mean", "m2"]
     buckets = stage(condensed([*keys, log_bucket(y).alias("b")], data).select(*out_cols))
-    for _ in range(8):
+    for _ in range(20):
         solved = stage(buckets.groupBy("segment").applyInPandas(_huber_on_buckets, _FIT))
         zones = solved.where("kind = 'zone'").select("segment", "arm", "lo", "hi", "cnt").distinct()
         zones = stage(zones)

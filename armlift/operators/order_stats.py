@@ -18,14 +18,19 @@ from pyspark.sql import functions as F
 from armlift.session import attach, stage
 
 LOG_STEPS = 512        # buckets per e-fold of |value|
+LOG_ORIGIN = 400_000   # keeps the number positive down to the smallest double
 LINEAR_STEPS = 4096    # buckets per refinement of one bracket
 SMALL_BRACKET = 500_000
+PIECE_VALUES = 10_000   # distinct values per running total
+MAX_PIECES = 100_000
+CHUNK = 10_000          # equal values unfolded together
 ALL = "_all"
 
 
 def log_bucket(v: Column) -> Column:
-    """Monotone bucket number of a value (signed, logarithmic)."""
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * LOG_STEPS)).cast("bigint")
+    """Monotone bucket number of a finite value: signed, logarithmic, free of units."""
+    size = F.floor(F.log(F.abs(v)) * LOG_STEPS) + LOG_ORIGIN
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("bigint")
 
 
 def order_statistics(
@@ -124,17 +129,43 @@ def percentiles(rows: DataFrame, keys: list[str], value: str, probs: dict[str, f
     return found.select(*cols)
 
 
-def ascending_rank(rows: DataFrame, keys: list[str], value: str, name: str = "rank") -> DataFrame:
-    """Add the rank of every row in its group (ties in any order).
+def value_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values with their ``cnt`` and how many rows of the group lie ``below``.
 
-    Row numbers are taken inside value buckets and shifted by the number of rows
-    in lower buckets, so no window holds a whole group.
+    Equal values are one row from the start, whatever their number. Running totals
+    are taken inside small value ranges (a logarithmic bucket cut into pieces by
+    its own size) and completed with the totals of lower ranges, so no window
+    holds a whole group.
     """
-    tagged = rows.withColumn("_b", log_bucket(F.col(value)))
-    hist = tagged.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    v = F.col(value)
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt")).withColumn("_b", log_bucket(v))
+    wide = counts.groupBy(*keys, "_b").agg(
+        F.sum("cnt").alias("_c1"), F.count(F.lit(1)).alias("_d1"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
     running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    below = stage(hist.select(*keys, "_b", (F.sum("_cnt").over(running) - F.col("_cnt")).alias("_below")))
-    within = Window.partitionBy(*keys, "_b").orderBy(value)
-    numbered = tagged.withColumn("_in", F.row_number().over(within))
-    return attach(numbered, below, [*keys, "_b"]).withColumn(
-        name, F.col("_in") + F.col("_below")).drop("_in", "_below", "_b")
+    wide = stage(wide.select(
+        *keys, "_b", "_lo", "_hi", (F.sum("_c1").over(running) - F.col("_c1")).alias("_below1"),
+        F.least(F.ceil(F.col("_d1") / PIECE_VALUES), F.lit(MAX_PIECES)).alias("_pieces")))
+    share = (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    piece = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * F.col("_pieces"))).otherwise(F.lit(0))
+    fine = attach(counts, wide, [*keys, "_b"]).withColumn("_p", piece.cast("bigint"))
+    parts = fine.groupBy(*keys, "_b", "_p").agg(F.sum("cnt").alias("_c2"))
+    inner = Window.partitionBy(*keys, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = stage(parts.select(*keys, "_b", "_p", (F.sum("_c2").over(inner) - F.col("_c2")).alias("_below2")))
+    within = Window.partitionBy(*keys, "_b", "_p").orderBy(value).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    below = F.col("_below1") + F.col("_below2") + F.sum("cnt").over(within) - F.col("cnt")
+    return attach(fine, parts, [*keys, "_b", "_p"]).select(*keys, value, "cnt", below.alias("below"))
+
+
+def ranked_rows(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Every row's (keys, value, rank), ties in any order.
+
+    Repeated values are unfolded in chunks that are shuffled first, so a value
+    with a third of all rows is unfolded by many tasks.
+    """
+    last = F.floor((F.col("cnt") - 1) / CHUNK)
+    chunks = value_ranks(rows, keys, value).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    start = F.col("below") + F.col("_k") * CHUNK + 1
+    stop = F.least(F.col("below") + F.col("cnt"), F.col("below") + (F.col("_k") + 1) * CHUNK)
+    chunks = chunks.select(*keys, value, start.alias("_from"), stop.alias("_to")).repartition(*keys, "_from")
+    return chunks.select(*keys, value, F.explode(F.sequence("_from", "_to")).alias("rank"))

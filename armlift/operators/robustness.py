@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from armlift.functions import tails
 from armlift.functions.guards import VARIANCE_EPSILON, add, sanitize_p
 from armlift.functions.normal import polynomial, quantile, upper_tail
-from armlift.operators.order_stats import ascending_rank, order_statistics
+from armlift.operators.order_stats import order_statistics, ranked_rows
 from armlift.session import attach, stage
 
 # Fixed values.
@@ -126,7 +126,7 @@ def _poly(coefs: tuple[float, ...], x: str) -> str:
 def shapiro_test(rows: DataFrame) -> DataFrame:
     """Shapiro-Wilk W and p per (segment, arm), Royston's approximation.
 
-    Ranks come from value buckets, so a large arm is spread over many tasks; the
+    Ranks come from value ranges, so a large arm is spread over many tasks; the
     weights are a function of the rank alone and W is a ratio of two sums.
     """
     keys = ["segment", "arm"]
@@ -134,7 +134,7 @@ def shapiro_test(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy(*keys).agg(
         F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("v"))
     sizes = stage(sizes.where((c("n") >= 3) & (c("v") > VARIANCE_EPSILON)))
-    ranked = attach(ascending_rank(rows.select(*keys, "y"), keys, "y"), sizes, keys)
+    ranked = attach(ranked_rows(rows.select(*keys, "y"), keys, "y"), sizes, keys)
     ranked = ranked.withColumn("pos", (c("rank") - 0.375) / (c("n") + 0.25))
     ranked = ranked.withColumn("m", F.expr(quantile("pos")))
     # The sum of squared scores needs only the sizes, but is taken from the rows' ranks.

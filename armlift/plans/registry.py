@@ -149,7 +149,7 @@ def _(spark, d):
 
 def _published(spark, d):
     df = views.view(spark, d, views.EVENTS)
-    m = segment_moments(analysis_rows(df, ROLES))
+    m = stage(segment_moments(analysis_rows(df, ROLES)))
     res = stage(bh_fdr(_core(m)))
     sinks.publish_tables(df, res, summarize(res, failures(m)), failures(m))
 
@@ -919,7 +919,7 @@ def _(spark, d):
 
 @query("summary_full")
 def _(spark, d):
-    m = segment_moments(rows_of(spark, d, views.EVENTS_WITH_GAPS))
+    m = stage(segment_moments(rows_of(spark, d, views.EVENTS_WITH_GAPS)))
     return summarize(stage(bh_fdr(_core(m))), stage(failures(m)))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +69,3 @@ def attach(
     copies = staged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
     return salted_rows.join(copies, [*keys, "_salt"], how).drop("_salt")
 
-
-def hold(df: DataFrame) -> DataFrame:
-    """Keep the pruned analysis rows for an operator that scans them repeatedly."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

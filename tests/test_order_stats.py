@@ -41,12 +41,17 @@ def test_whole_table_and_ranks(spark):
     assert (got.n, got.first, got.last) == (101, -50, 50)
 
 
-def test_rank_is_a_permutation(spark):
+@pytest.mark.parametrize("size", [10_000, 7])
+def test_ranks_are_a_permutation(spark, monkeypatch, size):
+    monkeypatch.setattr(order_stats, "PIECE_VALUES", size)
+    monkeypatch.setattr(order_stats, "CHUNK", size)
     rng = np.random.default_rng(4)
-    v = np.r_[rng.normal(0, 5, 300), np.full(50, 2.0)]
-    df = order_stats.ascending_rank(table(spark, {"a": v}), ["g"], "v").toPandas().sort_values("rank")
-    assert list(df["rank"]) == list(range(1, 351))
-    assert list(df["v"]) == sorted(v)
+    groups = {"a": np.r_[rng.normal(0, 5, 300), np.full(50, 2.0)], "b": 1e6 + rng.uniform(0, 1e-3, 200)}
+    df = order_stats.ranked_rows(table(spark, groups), ["g"], "v").toPandas()
+    for g, v in groups.items():
+        mine = df[df["g"] == g].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, len(v) + 1))
+        assert list(mine["v"]) == sorted(v)
 
 
 def numpy_huber(t, c):
