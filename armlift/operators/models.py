@@ -23,7 +23,9 @@ HUBER_T = 1.345
 MAD_SCALE = 0.6744897501960817
 MAX_ITERATIONS = 50
 TOLERANCE = 1e-8
+HUBER_TOLERANCE = 1e-7
 SMALL_ZONE = 20_000
+SMALL_GROUP = 1_000_000
 
 
 # --- Huber location shift of two arms -------------------------------------------------
@@ -232,6 +234,18 @@ def _cross(xs: list[Column], w: Column) -> list[Column]:
     return [F.sum(w * xs[i] * xs[j]) for i in range(len(xs)) for j in range(i, len(xs))]
 
 
+def _extrapolated(b0: DataFrame, b1: DataFrame, b2: DataFrame) -> DataFrame:
+    """Aitken's step from three successive fits, kept only where it is moderate."""
+    both = b2.join(b1.select("segment", F.col("beta").alias("b1")), "segment").join(
+        b0.select("segment", F.col("beta").alias("b0")), "segment")
+    jump = """transform(beta, (b, i) -> b - coalesce(
+        (b - b1[i]) * (b - b1[i]) / nullif((b - b1[i]) - (b1[i] - b0[i]), 0D), 0D))"""
+    both = both.withColumn("jump", F.expr(jump))
+    return both.select("segment", F.expr(
+        "transform(beta, (b, i) -> CASE WHEN abs(jump[i] - b) <= 10 * abs(b - b1[i]) THEN jump[i] ELSE b END)"
+    ).alias("beta"), "inverse")
+
+
 def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...], options: Options) -> DataFrame:
     """Treatment effect adjusted for covariates, one model per segment.
 
@@ -290,6 +304,10 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
     plain_inverse = ordinary.select("segment", c("inverse").alias("xtx_inverse"))
     state = ordinary
 
+    # Largest relative step of a segment's coefficients.
+    change = F.aggregate(
+        F.zip_with("beta", "old", lambda a, b: F.abs(a - b) / (1 + F.abs(a))),
+        F.lit(0.0), lambda acc, v: F.greatest(acc, v))
     glm = c("model").isin("binomial", "poisson", "nb")
     if kinds & {"binomial", "poisson", "nb"}:
         start = F.when(c("model") == "binomial", (c("y") + 0.5) / 2).otherwise((c("y") + c("mean_all")) / 2)
@@ -307,9 +325,6 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
             at = at.withColumn("eta", _dot(xs2))
             mean = F.when(c("model") == "binomial", 1 / (1 + F.exp(-c("eta")))).otherwise(F.exp("eta"))
             new = stage(irls(at.withColumn("mu", mean), xs2))
-            change = F.aggregate(
-                F.zip_with("beta", "old", lambda a, b: F.abs(a - b) / (1 + F.abs(a))),
-                F.lit(0.0), lambda acc, v: F.greatest(acc, v))
             moved = new.join(fit.select("segment", c("beta").alias("old")), "segment").agg(F.max(change)).first()[0]
             fit = new
             if moved is None or moved < TOLERANCE:
@@ -317,28 +332,38 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
         state = ordinary.join(fit.select("segment"), "segment", "left_anti").unionByName(fit)
 
     if "huber" in kinds:
-        fit = ordinary.join(scales.where("model = 'huber'").select("segment"), "segment")
-        fit = stage(fit)
-        for _ in range(MAX_ITERATIONS):
+        biggest = scales.where("model = 'huber'").agg(F.max("n")).first()[0]
+
+        def residuals(fit: DataFrame) -> tuple[DataFrame, list[Column]]:
             at, xs2 = design(scales.join(fit, "segment"))
-            at = at.withColumn("r", c("y") - _dot(xs2))
-            mad = percentiles(at.select("segment", F.abs("r").alias("r")), ["segment"], "r", {"mad": 0.5})
-            mad = stage(mad.select("segment", (c("mad") / MAD_SCALE).alias("scale")))
-            at = attach(at, mad, ["segment"])
-            w = F.when(F.abs("r") <= HUBER_T * c("scale"), 1.0).otherwise(HUBER_T * c("scale") / F.nullif(F.abs("r"), F.lit(0.0)))
+            return at.withColumn("r", c("y") - _dot(xs2)), xs2
+
+        def mad_of(at: DataFrame) -> DataFrame:
+            """Residual scale: the built-in percentile for groups of a proven size."""
+            size = at.select("segment", F.abs("r").alias("r"))
+            if biggest <= SMALL_GROUP:
+                mad = size.groupBy("segment").agg(F.percentile("r", 0.5).alias("mad"))
+            else:
+                mad = percentiles(size, ["segment"], "r", {"mad": 0.5})
+            return stage(mad.select("segment", (c("mad") / MAD_SCALE).alias("scale")))
+
+        fit = stage(ordinary.join(scales.where("model = 'huber'").select("segment"), "segment"))
+        steps = [fit]
+        for _ in range(MAX_ITERATIONS):
+            at, xs2 = residuals(fit)
+            at = attach(at, mad_of(at), ["segment"])
+            w = F.when(F.abs("r") <= HUBER_T * c("scale"), 1.0).otherwise(
+                HUBER_T * c("scale") / F.nullif(F.abs("r"), F.lit(0.0)))
             new = stage(solve(at.where("scale > 0"), xs2, w, c("y")))
-            change = F.aggregate(
-                F.zip_with("beta", "old", lambda a, b: F.abs(a - b) / (1 + F.abs(a))),
-                F.lit(0.0), lambda acc, v: F.greatest(acc, v))
             moved = new.join(fit.select("segment", c("beta").alias("old")), "segment").agg(F.max(change)).first()[0]
             fit = new
-            if moved is None or moved < TOLERANCE:
+            if moved is None or moved < HUBER_TOLERANCE:
                 break
-        at, xs2 = design(scales.join(fit, "segment"))
-        at = at.withColumn("r", c("y") - _dot(xs2))
-        mad = stage(percentiles(at.select("segment", F.abs("r").alias("r")), ["segment"], "r", {"mad": 0.5})
-                    .select("segment", (c("mad") / MAD_SCALE).alias("scale")))
-        fit = stage(fit.join(mad, "segment"))
+            steps.append(new)
+            if len(steps) == 3:
+                fit = stage(_extrapolated(*steps))
+                steps = [fit]
+        fit = stage(fit.join(mad_of(residuals(fit)[0]), "segment"))
         state = state.join(fit.select("segment"), "segment", "left_anti").select(
             "*", F.lit(None).cast("double").alias("scale")).unionByName(fit)
     if "scale" not in state.columns:
