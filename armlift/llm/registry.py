@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlift.llm import packing, token_counts, token_files
+from armlift.llm import bpe, near_dedup, packing, token_counts, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_decode(_table(spark, folder, "documents"))
+
+
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dedup.near_groups(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(_table(spark, folder, "documents")))
 
@@ -23,5 +32,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op6_token_counts, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op2_bpe, op3_near_dedup, op5_token_files, op6_token_counts, op10_packing,
+)}
 CHECKS: dict[str, str] = {}
