@@ -42,7 +42,7 @@ GROUP_BYTES = 16 << 20
 SLICE_BYTES = 1 << 20
 BROADCAST_NODES = 500_000  # 8-byte keys
 
-SETS = "row bigint, doc_id bigint, n_shingles bigint, node bigint, check bigint, sketch binary, bands array<bigint>"
+SETS = "row bigint, doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, check bigint, sketch binary, bands array<bigint>"
 
 
 def permutations(seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,8 +78,8 @@ def _sets(batches, width: int):
     factor, flip, order = permutations()
     part, row = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for a, b in slices(pc.binary_length(batch.column(1)).to_pylist(), SLICE_BYTES):
-            words = Words(batch.column(1).slice(a, b - a))
+        for a, b in slices(pc.binary_length(batch.column(2)).to_pylist(), SLICE_BYTES):
+            words = Words(batch.column(2).slice(a, b - a))
             h = words.hashes()
             columns: list[list] = [[] for _ in range(6)]
             for i in range(b - a):
@@ -100,10 +100,11 @@ def _sets(batches, width: int):
                         c.append(None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), batch.column(0).slice(a, b - a),
+                 batch.column(1).slice(a, b - a),
                  *(pa.array(c, t) for c, t in zip(columns[1:], (
                      pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))),
-                 batch.column(1).slice(a, b - a)],
-                ["row", "doc_id", "n_shingles", "node", "check", "sketch", "bands", "text"])
+                 batch.column(2).slice(a, b - a)],
+                ["row", "doc_id", "text_hash", "n_shingles", "node", "check", "sketch", "bands", "text"])
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:
@@ -224,8 +225,9 @@ def _blocks(rows: DataFrame, blocks: str) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id, kept) for every row; ``row`` tells apart rows with the same doc_id."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """(row, doc_id, text_hash, n_shingles, component_id, kept) for every row; ``row`` tells apart rows with the same doc_id."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
+        "text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")
     sets = save(rows.mapInArrow(partial(_sets, width=width), f"{SETS}, text string"), "sets")
     clash = sets.where("n_shingles > 0").groupBy("node").agg(
         (F.min("check") != F.max("check")).alias("clash")).where("clash").limit(1).count()
@@ -253,11 +255,11 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> DataF
         partial(_confirm, width=width, percent=percent), "a bigint, b bigint")
     linked = components(links, "links")
 
-    own = sets.select("row", "doc_id", "n_shingles", "node").join(
+    own = sets.select("row", "doc_id", "text_hash", "n_shingles", "node").join(
         broadcast_if_small(save(linked, "linked"), BROADCAST_NODES), "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     own = save(own, "rooted")
     least = own.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = own.join(least, "root", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("row", "doc_id", "n_shingles", "component_id",
+    return out.select("row", "doc_id", "text_hash", "n_shingles", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlift.llm import bpe, near_dedup, packing, token_counts, token_files
+from armlift.llm import bpe, line_rules, near_dedup, packing, quality_model, token_counts, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_model.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return found.drop("text_hash")
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(_table(spark, folder, "documents")))
 
@@ -28,11 +33,15 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return line_rules.judge(_table(spark, folder, "documents")).drop("text_hash")
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_bpe, op3_near_dedup, op5_token_files, op6_token_counts, op10_packing,
+    op2_bpe, op3_near_dedup, op4_quality, op5_token_files, op6_token_counts, op9_quality_rules, op10_packing,
 )}
 CHECKS: dict[str, str] = {}

@@ -3,16 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from armlift.llm import packing
-from armlift.llm.shared import save
+from armlift.llm import line_rules, near_dedup, packing, quality_model
+from armlift.llm.shared import save, without
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be of quality."""
+    scores = quality_model.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return without(docs, scores.withColumn("kept", F.col("predicted") == 1))
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are not depleted by the removal of frequent lines."""
+    return without(docs, line_rules.judge(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group; of rows with one doc_id and shingle set, one stays."""
+    found = save(near_dedup.near_groups(docs), "near")
+    kept = without(docs, found)
+    again = found.where("kept").groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1)
+    return kept.dropDuplicates(["doc_id"]) if again.count() else kept
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("quality-classifier", classify),
+    ("quality-rules", apply_rules),
+    ("near-dedup", drop_near_copies),
+    ("packing", pack_sequences),
+]
 
 # Tokens come from a tokenizer library and scores from a trained model: SQL cannot express the rows.
 ORACLE_SQL = None
