@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlift.llm import bpe, line_rules, near_dedup, packing, quality_model, token_counts, token_files
+from armlift.llm import bpe, html_text, line_rules, near_dedup, packing, quality_model, token_counts, token_files
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"))
 
 
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, folder, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.judge(_table(spark, folder, "documents")).drop("text_hash")
 
@@ -42,6 +46,6 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_bpe, op3_near_dedup, op4_quality, op5_token_files, op6_token_counts, op9_quality_rules, op10_packing,
+    op2_bpe, op3_near_dedup, op4_quality, op5_token_files, op6_token_counts, op8_html_text, op9_quality_rules, op10_packing,
 )}
 CHECKS: dict[str, str] = {}
