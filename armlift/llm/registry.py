@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlift.llm import bpe, html_text, line_rules, near_dedup, packing, quality_model, token_counts, token_files
+from armlift.llm import (
+    bpe, fingerprints, html_text, line_rules, near_dedup, packing, quality_model, token_counts, token_files, url_filter,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+ALLOW = ["org/", "com/fr/"]
+BLOCK = ["example.org/es/", "example.org/en/1", "com/de/"]
+
+
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, ALLOW, BLOCK).drop("url")
+
+
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, folder, "documents"))
 
@@ -33,6 +44,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, folder, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_report(_table(spark, folder, "documents"))
+
+
 def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_text(_table(spark, folder, "pages"))
 
@@ -46,6 +61,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_bpe, op3_near_dedup, op4_quality, op5_token_files, op6_token_counts, op8_html_text, op9_quality_rules, op10_packing,
+    op1_url_filter, op2_bpe, op3_near_dedup, op4_quality, op5_token_files, op6_token_counts, op7_fingerprints,
+    op8_html_text, op9_quality_rules, op10_packing,
 )}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op1_url_filter": url_filter.check_sql(ALLOW, BLOCK)}
