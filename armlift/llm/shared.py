@@ -61,7 +61,7 @@ def slices(sizes, limit: int):
 def without(docs: DataFrame, verdicts: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Rows of ``docs`` that no verdict (doc_id, text_hash, kept) rejects, with their columns as they are."""
     gone = save(verdicts.where("NOT kept").select(
-        F.col("doc_id").alias("doc_id_"), F.col("text_hash").alias("text_hash_")), "rejected")
-    match = F.col("doc_id").cast("bigint").eqNullSafe(F.col("doc_id_")) & (
-        F.xxhash64(text_or_empty()) == F.col("text_hash_"))
+        F.col("doc_id").alias("rejected_id"), F.col("text_hash").alias("rejected_hash")).distinct(), "rejected")
+    match = docs["doc_id"].cast("bigint").eqNullSafe(gone["rejected_id"]) & (
+        F.xxhash64(text_or_empty(docs["text"])) == gone["rejected_hash"])
     return docs.join(broadcast_if_small(gone, max_rows), match, "left_anti")

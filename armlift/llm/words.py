@@ -35,7 +35,9 @@ class Words:
 
         column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
         _, bounds, data = column.buffers()
-        self.bounds = np.frombuffer(bounds, np.int64)[column.offset : column.offset + len(column) + 1]
+        self.bounds = np.zeros(1, np.int64)
+        if len(column):
+            self.bounds = np.frombuffer(bounds, np.int64)[column.offset : column.offset + len(column) + 1]
         lo, hi = int(self.bounds[0]), int(self.bounds[-1])
         self.bounds = self.bounds - lo
         raw = np.frombuffer(data, np.uint8, hi - lo, lo) if data is not None and hi > lo else np.zeros(0, np.uint8)
