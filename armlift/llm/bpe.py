@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from functools import partial
 from heapq import heapify, heappop, heappush
 
@@ -26,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armlift.llm.encoders import (
-    BYTE_LETTERS, LONGEST_WORD, MAX_WORDS, PLAIN_WORD, WORD_BPE, tokenizer_path, words,
+    BYTE_LETTERS, LONGEST_WORD, MAX_WORDS, PLAIN_WORD, WORD_BPE, load_tokenizer, tokenizer_path, words,
 )
 from armlift.llm.shared import slices, text_or_empty, worker_cache
 
 BLOCK_BYTES = 24 << 20
 NO_RANK = 1 << 30
+LETTER_BYTES = {c: b for b, c in BYTE_LETTERS.items()}
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -40,7 +40,6 @@ class PairIndexBpe:
 
     def __init__(self, name: str = WORD_BPE, max_words: int = MAX_WORDS):
         import numpy as np
-        import regex
 
         with open(tokenizer_path(name), encoding="utf-8") as f:
             spec = json.load(f)
@@ -50,7 +49,7 @@ class PairIndexBpe:
         if kinds != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or spec["decoder"] is not None:
             raise ValueError(f"{name}: only lower-casing word BPE files without a decoder are understood")
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        self.library = load_tokenizer(name)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.tokens = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
@@ -85,10 +84,10 @@ class PairIndexBpe:
             if part in self.special:
                 out.append(part)
             elif part:
-                part = unicodedata.normalize("NFC", part)
-                # letter by letter: str.lower() treats a sigma at a word's end differently
-                part = "".join(map(str.lower, part)) if "Σ" in part else part.lower()
-                out += self.pattern.findall(part)
+                # the library's own normaliser and pattern, for its version of the Unicode tables
+                part = self.library.normalizer.normalize_str(part)
+                out += [p.translate(LETTER_BYTES).encode("latin-1").decode()
+                        for p, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
     def _ranks(self, a, b):

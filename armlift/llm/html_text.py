@@ -37,9 +37,10 @@ SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 # Fixed sets of HTML names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object audio video canvas select".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q ruby rt rp s samp "
-    "small span strike strong sub sup time tt u var wbr".split())
+BLOCK = frozenset(
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
+    "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li listing main menu nav ol optgroup "
+    "option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 CHROME = frozenset("nav header footer aside form dialog menu button fieldset".split())
 NAMED_MAIN = frozenset(("article", "main"))
 CLOSES = {
@@ -72,6 +73,11 @@ PAIR_COUNT = 200.0  # counts are scaled to this, as the pages of a sample are mu
 PRIOR_PRECISION = 2.0
 
 
+def is_block(name: str) -> bool:
+    """Named blocks and custom elements; all others, unknown names too, are inline."""
+    return name in BLOCK or "-" in name
+
+
 class Dom:
     """Elements and text blocks in document order; a parent's number is below its children's."""
 
@@ -81,7 +87,7 @@ class Dom:
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters inside links
         self._text: list[str] = []
         self._linked = 0
-        stack: list[tuple[str, int]] = [("#root", 0)]  # inline elements share their block's node
+        stack: list[tuple[str, int]] = [("body", 0)]  # inline elements share their block's node
         self._stack, links, at, size = stack, 0, 0, len(page)
         while at < size:
             found = TOKEN.search(page, at)
@@ -109,7 +115,7 @@ class Dom:
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = end.end() if end else size
                 continue
-            if name in INLINE:
+            if not is_block(name):
                 stack.append((name, stack[-1][1]))
                 links += name == "a"
                 continue
@@ -146,7 +152,7 @@ class Dom:
             if stack[i][0] == "p":
                 gone += self._pop_to(i)
                 break
-            if stack[i][0] not in INLINE:
+            if is_block(stack[i][0]):
                 break
         same, limit = CLOSES.get(name, ()), CLOSE_LIMIT.get(name, ("table",))
         if same:
@@ -163,10 +169,10 @@ class Dom:
         stack = self._stack
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == name:
-                if name not in INLINE:
+                if is_block(name):
                     self._flush()
                 return self._pop_to(i)
-            if name in INLINE and stack[i][0] not in INLINE:
+            if not is_block(name) and is_block(stack[i][0]):
                 return 0  # a stray end tag does not leave its block
         return 0
 

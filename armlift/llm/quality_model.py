@@ -74,9 +74,8 @@ def _words_and_terms(column):
     return words, form, shape, pair
 
 
-def word_vectors(column, index: np.ndarray) -> np.ndarray:
-    """Sums of the neighbours' index vectors over all words of the texts, rows scaled to length one."""
-    total = np.zeros_like(index)
+def add_neighbours(total: np.ndarray, column, index: np.ndarray) -> None:
+    """Add the neighbours' index vectors of all words of some texts to the rows of their terms."""
     _, form, shape, pair = _words_and_terms(column)
     own = index[form] + index[shape]
     around = np.zeros_like(own)
@@ -88,6 +87,13 @@ def word_vectors(column, index: np.ndarray) -> np.ndarray:
         heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
         if len(heads):
             total[rows[heads]] += np.add.reduceat(around[order], heads, axis=0)
+
+
+def word_vectors(columns, index: np.ndarray) -> np.ndarray:
+    """Sums of the neighbours' index vectors over all texts, rows scaled to length one."""
+    total = np.zeros_like(index)
+    for column in columns:
+        add_neighbours(total, column, index)
     length = np.linalg.norm(total, axis=1, keepdims=True)
     return total / np.maximum(length, 1)
 
@@ -175,14 +181,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"], ignore_index=True)
     y = found["label"].to_numpy(np.float64)
-    column = pa.array(found["text"], pa.large_string())
+    # small slices, so that the driver holds the texts and little more
+    parts = [pa.array(found["text"].iloc[a:b], pa.large_string())
+             for a, b in slices(found["text"].str.len().tolist(), SLICE_BYTES)]
     index = index_vectors()
-    vectors = word_vectors(column, index)
+    vectors = word_vectors(parts, index)
     if len(set(y.tolist())) < 2:
         return vectors, {"share": float(y.mean()) if len(y) else 0.5}
-    rows = [document_vectors(column.slice(a, b - a), index, vectors)
-            for a, b in slices(found["text"].str.len().tolist(), SLICE_BYTES)]
-    return vectors, Network(np.concatenate(rows), y).state()
+    rows = np.concatenate([document_vectors(part, index, vectors) for part in parts])
+    return vectors, Network(rows, y).state()
 
 
 def _score(batches, model, threshold: float):
