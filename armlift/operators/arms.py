@@ -36,9 +36,21 @@ def scope_column(roles: Roles, scope: str) -> Column:
     label = F.col(roles.segment).cast("string")
     if scope == "segments":
         return label
+    # a segment of that very name must not mix with the pooled rows
+    label = F.when(label == OVERALL, f"{OVERALL} (segment)").otherwise(label)
     return F.explode(F.array_compact(F.array(label, F.lit(OVERALL))))
 
 
+def mark_overall(results: DataFrame, scope: str) -> DataFrame:
+    """``is_overall`` is true where a row pools the segments that stand beside it."""
+    return results.withColumn("is_overall", (F.col("segment") == OVERALL) & F.lit(scope == "both"))
+
+
+def segment_rows(results: DataFrame) -> DataFrame:
+    """Results without the pooled row, for everything that adds up or counts segments."""
+    return results.where("NOT is_overall") if "is_overall" in results.columns else results
+
+
 def analysis_rows(
     df: DataFrame,
     roles: Roles,
@@ -55,7 +67,8 @@ def analysis_rows(
             not_nan(F.col(roles.outcome)).alias("y")]
     if roles.usable_pre(df):
         cols.append(sanitize_numeric(F.col(roles.pre_effect)).alias("x"))
-    cols += [sanitize_numeric(F.col(c)).alias(f"c{i}") for i, c in enumerate(covariates)]
+    cols += [sanitize_numeric(F.col(c)).alias(f"c{i}", metadata={"is_pre": c == roles.pre_effect})
+             for i, c in enumerate(covariates)]
     if unit and roles.customer_id:
         cols.append(F.col(roles.customer_id).cast("string").alias("unit"))
     rows = df.select(*cols).where(F.col("arm").isNotNull())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,15 +21,15 @@ _DRAWN = "prob double, loss_t double, loss_c double, lo double, hi double, diff
 
 def _draws(n: int, seed: int, always: bool):
     @F.pandas_udf(_DRAWN)
-    def draw(mean_t: pd.Series, se_t: pd.Series, n_t: pd.Series,
+    def draw(segment: pd.Series, mean_t: pd.Series, se_t: pd.Series, n_t: pd.Series,
              mean_c: pd.Series, se_c: pd.Series, n_c: pd.Series) -> pd.DataFrame:
         out = []
-        for mt, st, nt, mc, sc, nc in zip(mean_t, se_t, n_t, mean_c, se_c, n_c, strict=True):
+        for key, mt, st, nt, mc, sc, nc in zip(segment, mean_t, se_t, n_t, mean_c, se_c, n_c, strict=True):
             large = nt > LARGE_ARM and nc > LARGE_ARM
             if nt < 2 or nc < 2 or (large and not always):
                 out.append((None,) * 6)
                 continue
-            rng = np.random.default_rng(seed)
+            rng = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
             if large:
                 a, b = rng.normal(mt, st, n), rng.normal(mc, sc, n)
             else:
@@ -60,7 +62,7 @@ def bayesian_test(m: DataFrame, draws: int = 10_000, seed: int = 42, simulate: b
         _case="""CASE WHEN n_t < 2 OR n_c < 2 THEN 'short' WHEN _vt = 0 AND _vc = 0 THEN 'fixed'
             WHEN _exact THEN 'exact' ELSE 'drawn' END""")
     m = m.withColumn("_draw", _draws(draws, seed, simulate)(
-        *[F.col(x).cast("double") for x in ("_mt", "_st", "n_t", "_mc", "_sc", "n_c")]))
+        F.col("segment").cast("string"), *[F.col(x).cast("double") for x in ("_mt", "_st", "n_t", "_mc", "_sc", "n_c")]))
     m = add(m, _sd="sqrt(_st * _st + _sc * _sc)")
     m = add(m, _r="_mu / _sd")
     m = add(m, _below=cdf("(-_r)"))

@@ -8,15 +8,8 @@ from pyspark.sql import functions as F
 from armlift.config import Roles
 from armlift.operators.arms import OVERALL, scope_column
 
-# Fixed texts.
-REPEAT_TEXT = (
-    "%d unit(s) appear more than once within an arm — independence assumption is violated; "
-    "consider pre-aggregating to one row per customer"
-)
-CROSS_TEXT = (
-    "%d unit(s) appear in BOTH arms — assignment is contaminated; "
-    "investigate randomization and traffic filters"
-)
+REPEAT_TEXT = "%d unit(s) appear more than once in one arm: roll rows up to units before testing"
+CROSS_TEXT = "%d unit(s) were seen in BOTH arms: find out how units are assigned"
 
 
 def duplicate_units(df: DataFrame, roles: Roles, scope: str = "overall") -> DataFrame:

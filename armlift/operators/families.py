@@ -57,7 +57,9 @@ def metric_family(m: DataFrame, rows: DataFrame | None, options: Options) -> Dat
     first = first.when(flat, "continuous")
     m = m.withColumn("metric_type", first)
     if rows is None:
-        return m.withColumn("metric_type", F.coalesce("metric_type", F.lit("continuous")))
+        # never guessed: a segment that its moments leave open stops the query
+        return m.withColumn("metric_type", F.coalesce("metric_type", F.raise_error(F.concat(
+            F.lit("rows are needed to tell the family of segment "), F.col("segment"))).cast("string")))
     m = stage(m)
     undecided = stage(m.where(F.col("metric_type").isNull()).select("segment", "view"))
     if undecided.isEmpty():

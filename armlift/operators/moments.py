@@ -72,7 +72,8 @@ def segment_moments(rows: DataFrame) -> DataFrame:
     views = {"post": (known, False)}
     if has_pre:
         views["pair"] = (f"{known} AND x IS NOT NULL", True)
-    if covs and not (has_pre and len(covs) == 1):
+    own = [c for c in covs if not (has_pre and rows.schema[c].metadata.get("is_pre"))]
+    if own:
         needed = [*covs, "x"] if has_pre else covs
         views["cov"] = (" AND ".join([known, *[f"{c} IS NOT NULL" for c in needed]]), has_pre)
     sums = {"rows_dropped": "count_if(y IS NULL)"}
@@ -135,7 +136,7 @@ def failures(m: DataFrame) -> DataFrame:
     """Segments that cannot be analysed, with the reason."""
     short = (F.col("post_n_t") < 2) | (F.col("post_n_c") < 2)
     text = F.format_string(
-        "Insufficient data for segment '%s': Treatment n=%d, Control n=%d",
+        "segment '%s' has %d treatment and %d control rows; each arm needs two",
         F.col("segment"), F.col("post_n_t"), F.col("post_n_c"),
     )
     return m.where(short).select("segment", text.alias("error"), F.lit("ValueError").alias("error_type"))

@@ -70,14 +70,15 @@ def _adjust_large(df: DataFrame, p: str, adjusted: str, by: list[str]) -> DataFr
 def bh_fdr(results: DataFrame, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """Correct the mean-test and proportion p-values across the segments of an experiment.
 
-    ``by`` names the experiment columns. Applied where an experiment has more than
+    ``by`` names the experiment columns. A pooled row (``is_overall``) is no hypothesis
+    of the family and keeps its own p-values. Applied where an experiment has more than
     one segment; blocked segments are never significant.
     ``is_significant_adjusted_vetoed`` also honours the sample-ratio veto.
     """
     out = stage(results)
     small = out.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     adjust = _adjust_small if small else _adjust_large
-    keys = by or ["_experiment"]
+    keys = [*(by or ["_experiment"]), *(["is_overall"] if "is_overall" in out.columns else [])]
     if not by:
         out = out.withColumn("_experiment", F.lit(1))
     out = adjust(out, "p_value", "p_value_adjusted", keys).drop("_segments")

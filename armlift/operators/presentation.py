@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from armlift.operators.arms import segment_rows
+
 c = F.col
-ROW_LIMIT = 20
 
 # Table keys with the other names they answer to.
 CHART_ALIASES = {
@@ -48,7 +49,7 @@ def d_band(d: Column) -> Column:
 
 def waterfall(results: DataFrame) -> DataFrame:
     """Contribution of each segment, largest first, and the total."""
-    parts = results.rollup("segment").agg(
+    parts = segment_rows(results).rollup("segment").agg(
         F.sum("total_effect").alias("contribution"), F.grouping("segment").alias("is_total"))
     return parts.select(
         F.when(c("is_total") == 1, "Total").otherwise(c("segment")).alias("segment"), "contribution",
@@ -125,7 +126,7 @@ def bayesian_report(results: DataFrame) -> DataFrame:
         "bayesian_total_effect", "bayesian_is_significant")
 
 
-def truncated(df: DataFrame, limit: int = ROW_LIMIT, order: list | None = None) -> tuple[DataFrame, DataFrame]:
+def truncated(df: DataFrame, limit: int, order: list | None = None) -> tuple[DataFrame, DataFrame]:
     """First rows, and a one-row notice with shown and total counts."""
     head = (df.orderBy(*order) if order else df).limit(limit)
     counts = df.agg(F.count(F.lit(1)).alias("total_rows"))

@@ -70,15 +70,18 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
     return basic.withColumn("_q", quart).select("*", *[F.col(f"_q.{k}").alias(k) for k in QUARTILES]).drop("_q")
 
 
-def column_values(df: DataFrame, column: str, limit: int = 20) -> DataFrame:
-    """Most frequent values with counts, and how many distinct values are not shown."""
+def column_values(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Values with counts, most frequent first; with a limit, also how many distinct values are not shown."""
     if column not in df.columns:
         raise ValueError(f"Column '{column}' not found")
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
         F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.count(F.lit(1)).alias("distinct_values"))
-    top = counts.orderBy(F.desc("count"), "value").limit(limit)
-    return top.withColumn("distinct_values", total.scalar()).withColumn(
+    top = counts.orderBy(F.desc("count"), "value")
+    shown = top.withColumn("distinct_values", total.scalar())
+    if limit is None:
+        return shown.withColumn("omitted", F.lit(0).cast("bigint"))
+    return shown.limit(limit).withColumn(
         "omitted", F.greatest(F.col("distinct_values") - limit, F.lit(0).cast("bigint")))
 
 

@@ -33,7 +33,9 @@ from armlift.operators.ratio import ratio_metric
 from armlift.operators.robustness import (
     dagostino_test, levene_test, normality_test, outlier_sensitivity, robust_sums, shapiro_test,
 )
-from armlift.operators.summary import assumption_findings, recommendations, summarize
+from armlift.operators.summary import (
+    assumption_findings, recommendations, recommended_segments, segment_flags, summarize,
+)
 from armlift.plans import checks, views
 from armlift.plans.analysis import (
     RESULT_COLUMNS, analyze, auto_analyze, core_results, power_columns, sample_size_table,
@@ -47,7 +49,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
-PLAIN = Options(metric_type="continuous", diagnostics=False, covariates=False)
+CONTINUOUS = Options(metric_type="continuous")
 ROLES = views.roles()
 c = F.col
 
@@ -154,10 +156,9 @@ def _published(spark, d):
     sinks.publish_tables(df, res, summarize(res, failures(m)), failures(m))
 
 
-def _core(m: DataFrame, options: Options = PLAIN) -> DataFrame:
-    m = enough(m)
-    if "metric_type" not in m.columns:
-        m = metric_family(m, None, options)
+def _core(m: DataFrame, options: Options = CONTINUOUS, rows: DataFrame | None = None) -> DataFrame:
+    """Inference from moments alone, for tables that need no row-level step."""
+    m = metric_family(enough(m), rows, options)
     out = core_results(m, options).select(*RESULT_COLUMNS)
     return sequential(out, options.sequential, options.alpha)
 
@@ -178,7 +179,7 @@ def _(spark, d):
 
 
 @query("query_results", f"""{EV} SELECT segment, {r(6, effect_size=checks.RAW)}, n_t + n_c AS units FROM m
-    WHERE n_t > 0 ORDER BY effect_size DESC LIMIT 20""")
+    WHERE n_t > 0 ORDER BY effect_size DESC""")
 def _(spark, d):
     _published(spark, d)
     return rounded(sinks.query_results(spark, f"""WITH best AS (SELECT segment, effect_size,
@@ -187,7 +188,7 @@ def _(spark, d):
 
 
 @query("filter_rows", f"""SELECT event_id, segment, grp, {r(6, y='y')} FROM ({views.EVENTS})
-    WHERE y > 0 AND segment = 'purchase' ORDER BY y DESC, event_id LIMIT 1000""")
+    WHERE y > 0 AND segment = 'purchase' ORDER BY y DESC, event_id""")
 def _(spark, d):
     df = views.view(spark, d, views.EVENTS).orderBy(F.desc("y"), "event_id")
     return rounded(sinks.filter_rows(df, "y > 0 AND segment = 'purchase'").select("event_id", "segment", "grp", "y"))
@@ -260,7 +261,7 @@ def _(spark, d):
     greatest((SELECT count(DISTINCT l_suppkey) FROM lineitem) - 20, 0) AS omitted
     FROM lineitem GROUP BY l_suppkey ORDER BY 2 DESC, 1 LIMIT 20""")
 def _(spark, d):
-    return rounded(profile.column_values(views.table(spark, d, "lineitem"), "l_suppkey"))
+    return rounded(profile.column_values(views.table(spark, d, "lineitem"), "l_suppkey", 20))
 
 
 @query("distribution", f"""WITH v AS ({views.EVENTS})
@@ -282,14 +283,18 @@ def _(spark, d):
     return profile.group_values(views.table(spark, d, "orders"), "o_orderpriority")
 
 
-@query("detect_columns")
+@query("detect_columns", """SELECT * FROM (VALUES ('customer_id', 0, 'user_id'), ('group', 0, 'experiment_group'),
+    ('pre_effect', 0, 'pre_effect'), ('post_effect', 0, 'post_effect'), ('effect_value', 0, 'post_effect'),
+    ('segment', 0, 'segment')) t(role, position, "column")""")
 def _(spark, d):
     df = views.view(spark, d, views.USERS).withColumnsRenamed(
         {"grp": "experiment_group", "pre": "pre_effect", "post": "post_effect"})
     return detect_columns(df)
 
 
-@query("auto_configure")
+@query("auto_configure", """SELECT * FROM (VALUES ('group', 'experiment_group'), ('effect_value', 'post_effect'),
+    ('treatment', 'treatment'), ('control', 'control'), ('post_effect', 'post_effect'), ('pre_effect', 'pre_effect'),
+    ('segment', 'segment'), ('customer_id', 'user_id'), ('duration', 'None'), ('covariates', '()')) t(role, "value")""")
 def _(spark, d):
     df = views.view(spark, d, views.USERS).withColumnsRenamed(
         {"grp": "experiment_group", "pre": "pre_effect", "post": "post_effect"})
@@ -312,12 +317,13 @@ def _(spark, d):
     return infer_labels(values).select("treatment", "control", "confidence")
 
 
-@query("resolve_covariates")
+@query("resolve_covariates", f"""SELECT 'c_acctbal' AS covariate, {r(6, mean='avg(c_acctbal)')} FROM ({views.CUSTOMERS})
+    UNION ALL SELECT 'pre', {r(6, mean='avg(pre)')} FROM ({views.CUSTOMERS})""")
 def _(spark, d):
     df = views.view(spark, d, views.CUSTOMERS)
     found = resolve_covariates(df, views.roles(pre="pre", outcome="post", covariates=("c_acctbal", "grp", "missing")))
     stats = df.agg(*[F.avg(n).alias(n) for n in found])
-    return stats.unpivot([], list(found), "covariate", "mean")
+    return rounded(stats.unpivot([], list(found), "covariate", "mean"))
 
 
 # --- aggregation ----------------------------------------------------------------------
@@ -342,7 +348,7 @@ def _(spark, d):
 
 
 @query("segment_failures", f"""{checks.moments(views.EVENTS_WITH_GAPS)} SELECT segment,
-    'Insufficient data for segment ''' || segment || ''': Treatment n=' || n_t || ', Control n=' || n_c AS error,
+    'segment ''' || segment || ''' has ' || n_t || ' treatment and ' || n_c || ' control rows; each arm needs two' AS error,
     'ValueError' AS error_type FROM m WHERE n_t < 2 OR n_c < 2""")
 def _(spark, d):
     return failures(segment_moments(rows_of(spark, d, views.EVENTS_WITH_GAPS)))
@@ -519,7 +525,7 @@ def _primary(spark, d, sql, options, roles=ROLES):
 
 @query("ols_hc3", _primary_sql(EV, checks.RAW, checks.HC3_SE))
 def _(spark, d):
-    return rounded(_primary(spark, d, views.EVENTS, PLAIN).select(*PRIMARY))
+    return rounded(_primary(spark, d, views.EVENTS, CONTINUOUS).select(*PRIMARY))
 
 
 @query("glm_binary", _primary_sql(
@@ -606,8 +612,8 @@ def _(spark, d):
     return m.select("segment", F.concat_ws(",", "proportion_reasons").alias("reasons"), "proportion_blocked")
 
 
-TINY = f"""SELECT user_id AS segment, CASE WHEN event_id % 2 = 0 THEN 'treatment' ELSE 'control' END AS grp,
-    CASE WHEN user_id % 7 = 0 THEN 3.0 ELSE value END AS y FROM events WHERE event_type = 'view'"""
+TINY = f"""SELECT CAST(user_id AS VARCHAR(20)) || ':' || event_type AS segment, CASE WHEN event_id % 2 = 0 THEN 'treatment' ELSE 'control' END AS grp,
+    CASE WHEN user_id % 7 = 0 THEN 3.0 ELSE value END AS y FROM events"""
 
 
 @query("inference_guardrails", f"""{checks.moments(TINY)} SELECT CAST(segment AS VARCHAR) AS segment, concat_ws(',',
@@ -615,7 +621,7 @@ TINY = f"""SELECT user_id AS segment, CASE WHEN event_id % 2 = 0 THEN 'treatment
     CASE WHEN var_t <= 1e-12 OR var_c <= 1e-12 THEN 'degenerate_variance' END) AS reasons,
     n_t < 8 OR n_c < 8 AS inference_blocked FROM m WHERE n_t >= 2 AND n_c >= 2""")
 def _(spark, d):
-    m = _primary(spark, d, TINY, PLAIN)
+    m = _primary(spark, d, TINY, CONTINUOUS)
     return m.select("segment", F.concat_ws(",", "inference_reasons").alias("reasons"), "inference_blocked")
 
 
@@ -645,7 +651,7 @@ def _(spark, d):
     # Unequal pre-period levels: every third user's history doubles in the control arm.
     sql = views.USERS.replace("sum(CASE WHEN ts <", "sum(CASE WHEN user_id % 6 = 1 THEN 2 ELSE 1 END * CASE WHEN ts <")
     rows = rows_of(spark, d, sql.replace("user_id % 2 = 0", "user_id % 5 < 2"), PRE)
-    _, report = rebalance_control(rows, enough(segment_moments(rows)), iterations=8)
+    _, report = rebalance_control(rows, enough(segment_moments(rows)))
     return rounded(report)
 
 
@@ -696,7 +702,8 @@ def _(spark, d):
 
 
 FULL = f"""{OR}, p AS (SELECT *, conv_t/n_t AS p_t, conv_c/n_c AS p_c, (conv_t+conv_c)/(n_t+n_c) AS pp,
-    {checks.RAW}/{checks.HC3_SE} AS z, (n_t-n_c)*(n_t-n_c)/(n_t+n_c) AS chi FROM m),
+    (ln(mean_t/(1-mean_t)) - ln(mean_c/(1-mean_c)))/sqrt(1/(n_t*mean_t*(1-mean_t)) + 1/(n_c*mean_c*(1-mean_c))) AS z,
+    (n_t-n_c)*(n_t-n_c)/(n_t+n_c) AS chi FROM m),
     q AS (SELECT *, (p_t-p_c)/sqrt(pp*(1-pp)*(1/n_t+1/n_c)*(n_t+n_c)/(n_t+n_c-1)) AS pz FROM p),
     f AS (SELECT *, {checks.both_tails('z')} AS pv, {checks.both_tails('pz')} AS ppv, {checks.both_tails('sqrt(chi)')} AS sp FROM q),
     g AS (SELECT *, pv < 0.05 AND sp >= 0.05 AS sig, ppv < 0.05 AND sp >= 0.05 AS psig FROM f),
@@ -707,7 +714,7 @@ FULL = f"""{OR}, p AS (SELECT *, conv_t/n_t AS p_t, conv_c/n_c AS p_c, (conv_t+c
 @query("combined_effects", FULL + f""" SELECT segment, {r(6, proportion_effect_per_customer='pe', proportion_effect='pe*n_t',
     total_effect_per_customer='pe + te', total_effect='(pe + te)*n_t')} FROM h""")
 def _(spark, d):
-    m = _core(segment_moments(rows_of(spark, d, views.ORDERS)))
+    m = _core(segment_moments(rows_of(spark, d, views.ORDERS)), Options())
     return rounded(m.select("segment", "proportion_effect_per_customer", "proportion_effect",
                             "total_effect_per_customer", "total_effect"))
 
@@ -720,12 +727,16 @@ def _(spark, d):
         "segment", "srm_chi2", "srm_p_value", "srm_observed_treatment_ratio", "srm_is_mismatch"))
 
 
-@query("sample_ratio_veto", FULL.replace("WITH v AS (", "WITH v AS (SELECT * FROM (").replace(
-    "), m AS", ") WHERE grp = 'treatment' OR o_orderkey % 3 > 0), m AS", 1) + """ SELECT segment, sig AS is_significant,
+# A third of the control rows is booked under the other arm.
+MOVED = "CASE WHEN o_orderkey % 3 = 0 THEN 'treatment' ELSE grp END"
+
+
+@query("sample_ratio_veto", FULL.replace("WITH v AS (", f"WITH v AS (SELECT * REPLACE ({MOVED} AS grp) FROM (").replace(
+    "), m AS", ")), m AS", 1) + """ SELECT segment, sig AS is_significant,
     psig AS proportion_is_significant, sp < 0.05 AS srm_is_mismatch FROM h""")
 def _(spark, d):
-    df = views.view(spark, d, views.ORDERS).where("grp = 'treatment' OR o_orderkey % 3 > 0")
-    return _core(segment_moments(analysis_rows(df, ROLES))).select(
+    df = views.view(spark, d, views.ORDERS).withColumn("grp", F.expr(MOVED))
+    return _core(segment_moments(analysis_rows(df, ROLES)), Options()).select(
         "segment", "is_significant", "proportion_is_significant", "srm_is_mismatch")
 
 
@@ -840,7 +851,8 @@ MANY_SQL = f"""{checks.moments(MANY)}, z AS (SELECT *, {checks.RAW}/{checks.HC3_
 @query("bh_fdr", MANY_SQL + f""" SELECT CAST(segment AS VARCHAR) AS segment, {r(6, p_value='p', p_value_adjusted='adj')},
     adj <= 0.05 AS is_significant_adjusted FROM a""")
 def _(spark, d):
-    res = bh_fdr(_core(segment_moments(rows_of(spark, d, MANY))))
+    rows = rows_of(spark, d, MANY)
+    res = bh_fdr(_core(segment_moments(rows), Options(), rows))
     return rounded(res.select("segment", "p_value", "p_value_adjusted", "is_significant_adjusted"))
 
 
@@ -892,14 +904,14 @@ def _(spark, d):
     df = ev.withColumn("look", F.explode(F.when(first <= 4, F.sequence(first, F.lit(4))))).select(
         F.concat("event_type", F.lit(":"), c("look").cast("string")).alias("segment"),
         F.when(c("user_id") % 2 == 0, "treatment").otherwise("control").alias("grp"), c("value").alias("y"))
-    m = metric_family(enough(segment_moments(analysis_rows(df, ROLES))), None, PLAIN)
-    out = core_results(m, PLAIN).select(*RESULT_COLUMNS).withColumns({
+    m = metric_family(enough(segment_moments(analysis_rows(df, ROLES))), None, CONTINUOUS)
+    out = core_results(m, CONTINUOUS).select(*RESULT_COLUMNS).withColumns({
         "look_index": F.substring_index("segment", ":", -1).cast("int"), "max_looks": F.lit(4)})
     return rounded(sequential(out, Sequential()).select("segment", "p_value", "sequential_alpha_spent", "sequential_decision"))
 
 
 def _orders_result(spark, d):
-    return stage(bh_fdr(_core(segment_moments(rows_of(spark, d, views.ORDERS)))))
+    return stage(bh_fdr(_core(segment_moments(rows_of(spark, d, views.ORDERS)), Options())))
 
 
 @query("summary", FULL + f""" SELECT count(*) AS total_segments_analyzed, count(*) FILTER (sig) AS t_test_significant_segments,
@@ -919,13 +931,39 @@ def _(spark, d):
 
 @query("summary_full")
 def _(spark, d):
-    m = stage(segment_moments(rows_of(spark, d, views.EVENTS_WITH_GAPS)))
-    return summarize(stage(bh_fdr(_core(m))), stage(failures(m)))
+    return analyze(views.view(spark, d, views.EVENTS_WITH_GAPS), ROLES).summary
+
+
+RULES_SQL = FULL + """, k AS (SELECT count(*) AS total, count(*) FILTER (sp < 0.05) AS srm, count(*) FILTER (sig) AS sig,
+    count(*) FILTER (sig AND mean_t > mean_c) AS pos, count(*) FILTER (sig AND mean_t < mean_c) AS neg,
+    count(*) FILTER (greatest(n_t, n_c) > 2 * least(n_t, n_c)) AS skew FROM h)"""
+
+
+@query("recommendations", RULES_SQL + """ SELECT position, rule, segments FROM (
+    SELECT 6 AS position, 'sample_ratio' AS rule, srm AS segments, srm > 0 AS fires FROM k
+    UNION ALL SELECT 9, 'multiple_testing', total, total > 1 FROM k UNION ALL SELECT 10, 'positive', pos, pos > 0 FROM k
+    UNION ALL SELECT 11, 'negative', neg, neg > 0 FROM k UNION ALL SELECT 12, 'none', sig, sig = 0 FROM k
+    UNION ALL SELECT 14, 'imbalance', skew, skew > 0 FROM k) WHERE fires""")
+def _(spark, d):
+    # the rules on power rest on a distribution that the checking SQL lacks
+    return rounded(recommendations(_orders_result(spark, d)).where("rule <> 'sample_size'").drop("recommendation"))
+
+
+@query("recommended_segments", FULL + """ SELECT 'sample_ratio' AS rule, segment FROM h WHERE sp < 0.05
+    UNION ALL SELECT 'multiple_testing', segment FROM h WHERE (SELECT count(*) FROM h) > 1
+    UNION ALL SELECT 'positive', segment FROM h WHERE sig AND mean_t > mean_c
+    UNION ALL SELECT 'negative', segment FROM h WHERE sig AND mean_t < mean_c
+    UNION ALL SELECT 'imbalance', segment FROM h WHERE greatest(n_t, n_c) > 2 * least(n_t, n_c)""")
+def _(spark, d):
+    return recommended_segments(_orders_result(spark, d)).where("rule <> 'sample_size'").drop("detail")
 
 
-@query("recommendations")
+@query("segment_flags", f"""{EV}, s AS (SELECT segment, (n_t-n_c)*(n_t-n_c)/(n_t+n_c) AS chi FROM m)
+    SELECT 'srm_mismatch' AS flag, segment FROM s WHERE {checks.both_tails('sqrt(chi)')} < 0.05
+    UNION ALL SELECT 'guardrail', segment FROM m WHERE least(n_t, n_c) < 8
+    OR least(conv_t, n_t-conv_t, conv_c, n_c-conv_c) < 5 OR least(var_t, var_c) <= 1e-12""")
 def _(spark, d):
-    return recommendations(_orders_result(spark, d))
+    return segment_flags(_core(segment_moments(rows_of(spark, d))))
 
 
 @query("assumption_findings")
@@ -941,8 +979,10 @@ def _(spark, d):
     return rounded(presentation.waterfall(_orders_result(spark, d)))
 
 
-@query("chart_effect_sizes", FULL + f""" SELECT segment, {r(6, effect_size=checks.RAW, error_minus=f'{Z}*{checks.HC3_SE}',
-    error_plus=f'{Z}*{checks.HC3_SE}')}, CASE WHEN sig AND mean_t > mean_c THEN 'positive'
+SHARE_SE = "sqrt(mean_t*(1-mean_t)/n_t + mean_c*(1-mean_c)/n_c)"
+
+
+@query("chart_effect_sizes", FULL + f""" SELECT segment, {r(6, effect_size=checks.RAW, error_minus=f'{Z}*{SHARE_SE}', error_plus=f'{Z}*{SHARE_SE}')}, CASE WHEN sig AND mean_t > mean_c THEN 'positive'
     WHEN sig AND mean_t < mean_c THEN 'negative' ELSE 'neutral' END AS direction FROM h""")
 def _(spark, d):
     return rounded(presentation.chart_table(_orders_result(spark, d), "effects"))
@@ -1016,7 +1056,7 @@ def _(spark, d):
 @query("report_prepost", f"""{US} SELECT segment, {r(6, treatment_pre_mean='xmean_t', control_pre_mean='xmean_c',
     treatment_post_mean='mean_t', control_post_mean='mean_c', did_effect='dmean_t - dmean_c')} FROM m""")
 def _(spark, d):
-    res = analyze(views.view(spark, d, views.USERS), PRE, PLAIN).results
+    res = analyze(views.view(spark, d, views.USERS), PRE).results
     return rounded(presentation.prepost_report(res).drop("aa_test_passed", "bootstrapping_applied"))
 
 
@@ -1037,7 +1077,7 @@ def _(spark, d):
 @query("truncated_rows", """SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""")
 def _(spark, d):
     df = views.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    return presentation.truncated(df, order=[F.desc("n"), "l_suppkey"])[0]
+    return presentation.truncated(df, 20, order=[F.desc("n"), "l_suppkey"])[0]
 
 
 @query("truncation_notice", """SELECT least(count(DISTINCT l_suppkey), 20) AS shown_rows, count(DISTINCT l_suppkey) AS total_rows,
@@ -1045,7 +1085,7 @@ def _(spark, d):
     AS notice FROM lineitem""")
 def _(spark, d):
     df = views.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-    return presentation.truncated(df)[1]
+    return presentation.truncated(df, 20)[1]
 
 
 # --- whole flows ----------------------------------------------------------------------
@@ -1057,19 +1097,36 @@ FLOW_SQL = MANY_SQL + f""", f AS (SELECT *, (n_t-n_c)*(n_t-n_c)/(n_t+n_c) AS chi
 
 @query("segmented_analysis", FLOW_SQL)
 def _(spark, d):
-    res = analyze(views.view(spark, d, MANY), ROLES, PLAIN).results
+    res = analyze(views.view(spark, d, MANY), ROLES).results
     return res.select("segment", "treatment_size", "control_size", F.round("effect_size", 4).alias("effect_size"),
                       F.round("p_value", 6).alias("p_value"), F.round("p_value_adjusted", 6).alias("p_value_adjusted"),
                       "is_significant")
 
 
-@query("analyze")
+def _flow_sql(start: str, extra: str = "") -> str:
+    return start + f""" SELECT segment, segment = 'Overall' AS is_overall, n_t AS treatment_size, n_c AS control_size,
+        {r(6, treatment_mean='mean_t', control_mean='mean_c', effect_size=checks.RAW, cohens_d=f"""{checks.RAW}
+        / sqrt(((n_t-1)*var_t + (n_c-1)*var_c)/(n_t+n_c-2))""", variance_ratio='greatest(var_t, var_c)/least(var_t, var_c)',
+        srm_p_value=checks.both_tails('sqrt((n_t-n_c)*(n_t-n_c)/(n_t+n_c))'))}{extra} FROM o"""
+
+
+def _flow(results: DataFrame, *extra: str) -> DataFrame:
+    return rounded(results.select(
+        "segment", "is_overall", "treatment_size", "control_size", "treatment_mean", "control_mean", "effect_size",
+        "cohens_d", "variance_ratio", "srm_p_value", *extra))
+
+
+@query("analyze", _flow_sql(f"""{EV}, o AS (SELECT * FROM m UNION ALL SELECT * FROM
+    ({checks.moments(views.EVENTS, by="'Overall'").replace('WITH v AS', 'WITH v2 AS').replace('FROM v ', 'FROM v2 ')}
+    SELECT * FROM m))"""))
 def _(spark, d):
-    return analyze(views.view(spark, d, views.EVENTS), views.roles(customer_id="user_id"), Options(scope="both")).results
+    # the default analysis, whole; shown are the columns that SQL can express
+    return _flow(analyze(views.view(spark, d, views.EVENTS), views.roles(customer_id="user_id"), Options(scope="both")).results)
 
 
-@query("auto_analyze")
+@query("auto_analyze", _flow_sql(f"{US}, o AS (SELECT * FROM m)", ", " + r(
+    6, did_treatment_change="dmean_t", did_control_change="dmean_c", did_effect="dmean_t - dmean_c")))
 def _(spark, d):
     df = views.view(spark, d, views.USERS).withColumnsRenamed(
         {"grp": "experiment_group", "pre": "pre_effect", "post": "post_effect"})
-    return auto_analyze(df, Options(diagnostics=False)).results.drop("diagnostics")
+    return _flow(auto_analyze(df).results, "did_treatment_change", "did_control_change", "did_effect")

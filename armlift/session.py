@@ -6,10 +6,12 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A staged table is broadcast only up to this many rows; beyond it rows are
-# joined by shuffle with the hot keys salted.
+# A staged table is broadcast only up to this many rows and bytes; beyond it rows
+# are joined by shuffle with the hot keys salted.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 64
 
 
@@ -23,6 +25,7 @@ def build_session(app: str = "armlift", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -53,6 +56,21 @@ def stage(small: DataFrame) -> DataFrame:
     return small.checkpoint(eager=True)
 
 
+def fits_broadcast(staged: DataFrame, size: int | None = None) -> bool:
+    """Whether a staged table is small enough, by rows and by the length of its rows as text."""
+    wide = [f for f in staged.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.StringType))]
+    if size is not None and not wide:
+        return size <= BROADCAST_ROWS
+    head = staged.limit(BROADCAST_ROWS + 1)
+    rows, text = head.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*head.columns))))).first()
+    return rows <= BROADCAST_ROWS and (text or 0) <= BROADCAST_BYTES
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    """A salt from the row's place, so that equal rows are spread as well."""
+    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+
+
 def attach(
     rows: DataFrame, staged: DataFrame, keys: list[str], how: str = "inner", size: int | None = None,
 ) -> DataFrame:
@@ -61,11 +79,9 @@ def attach(
     ``staged`` must come from :func:`stage`; its real size decides the strategy.
     ``size`` passes an upper bound of its rows where the caller has counted them.
     """
-    if size is None:
-        size = staged.limit(BROADCAST_ROWS + 1).count()
-    if size <= BROADCAST_ROWS:
+    if fits_broadcast(staged, size):
         return rows.join(F.broadcast(staged), keys, how)
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    salted_rows = salted(rows)
     copies = staged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
     return salted_rows.join(copies, [*keys, "_salt"], how).drop("_salt")
 

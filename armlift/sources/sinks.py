@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +13,9 @@ RAW, RESULTS = "raw_data", "analysis_segment_results"
 SUMMARY, FAILURES = "analysis_summary", "analysis_segment_failures"
 DATA_VIEW = "ab_test_data"
 
-# Words of statements that write or change definitions, and filters
-# that select everything.
-WRITE_WORDS = (
-    "insert", "update", "delete", "merge", "drop", "alter", "create", "truncate",
-    "replace", "grant", "revoke", "attach", "detach", "pragma", "reindex", "vacuum",
-)
+# Filters that select everything. Fixed values.
 MATCH_ALL = ("*", "all", "true", "1 == 1", "1==1", "index == index", "index==index")
-_WRITES = re.compile(r"\b(" + "|".join(WRITE_WORDS) + r")\b", re.IGNORECASE)
-_TABLES = re.compile(r"\b(?:from|join)\s+([A-Za-z_]\w*)", re.IGNORECASE)
+_NOT_READ = ("Command", "ParsedStatement", "InsertIntoStatement")
 
 
 def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -65,37 +60,69 @@ def describe_tables(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, position int, column string, dtype string")
 
 
-def _checked_limit(max_rows: int) -> int:
+def _nodes(plan):
+    yield plan
+    inner = plan.children()
+    for i in range(inner.size()):
+        yield from _nodes(inner.apply(i))
+    if plan.nodeName() == "UnresolvedWith":
+        for i in range(plan.cteRelations().size()):
+            yield from _nodes(plan.cteRelations().apply(i)._2())
+
+
+def parsed_read(spark: SparkSession, sql: str) -> list[str]:
+    """Names of the tables that one query reads; anything but a query is an error."""
+    from py4j.java_gateway import is_instance_of
+
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception as error:  # the JVM's parse error reaches Python under several names
+        raise ValueError("not one readable query") from error
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    gateway = spark.sparkContext._gateway
+    tables, defined = set(), set()
+    for node in _nodes(plan):
+        if any(is_instance_of(gateway, node, logical + kind) for kind in _NOT_READ):
+            raise ValueError("the text changes or lists things; only queries are run")
+        if node.nodeName() == "UnresolvedRelation":
+            tables.add(node.tableName().replace("`", ""))
+        if node.nodeName() == "UnresolvedWith":
+            defined |= {node.cteRelations().apply(i)._1() for i in range(node.cteRelations().size())}
+    return sorted(tables - defined)
+
+
+def _limited(df: DataFrame, max_rows: int | None) -> DataFrame:
+    if max_rows is None:
+        return df
     if int(max_rows) <= 0:
-        raise ValueError("max_rows must be > 0")
-    return int(max_rows)
+        raise ValueError("max_rows must be positive")
+    return df.limit(int(max_rows))
 
 
-def filter_rows(df: DataFrame, where: str, max_rows: int = 1000) -> DataFrame:
-    """Rows that meet a SQL condition, capped. Empty and match-all filters are errors."""
+def filter_rows(df: DataFrame, where: str, max_rows: int | None = None) -> DataFrame:
+    """Rows that meet a SQL condition; all of them unless the caller sets a limit.
+
+    Empty and match-all filters are errors."""
     text = (where or "").strip().rstrip(";").strip()
     if not text:
-        raise ValueError("Query cannot be empty")
+        raise ValueError("no condition given")
     if text.lower() in MATCH_ALL:
-        raise ValueError("Query is too broad: give a specific condition")
-    if _WRITES.search(text):
-        raise ValueError("Only read-only conditions are allowed")
-    return df.where(F.expr(text)).limit(_checked_limit(max_rows))
+        raise ValueError("the condition selects every row")
+    try:
+        chosen = df.where(F.expr(text))  # the parser takes one expression and nothing that writes
+    except ParseException as error:
+        raise ValueError(f"not a condition: {text}") from error
+    return _limited(chosen, max_rows)
 
 
-def query(df: DataFrame, sql: str, max_rows: int = 1000) -> DataFrame:
+def query(df: DataFrame, sql: str, max_rows: int | None = None) -> DataFrame:
     """A SELECT over the view ``ab_test_data``, or a bare condition on it."""
     text = (sql or "").strip().rstrip(";").strip()
     if not re.match(r"(select|with)\b", text, re.IGNORECASE):
-        if not text:
-            raise ValueError("Query cannot be empty")
-        if _WRITES.search(text):
-            raise ValueError("Only read-only SELECT or WHERE expressions are allowed")
-        return df.where(F.expr(text)).limit(_checked_limit(max_rows))
-    if _WRITES.search(text):
-        raise ValueError("Only read-only SELECT or WHERE expressions are allowed")
+        return filter_rows(df, text, max_rows)
+    parsed_read(df.sparkSession, text)
     df.createOrReplaceTempView(DATA_VIEW)
-    return df.sparkSession.sql(text).limit(_checked_limit(max_rows))
+    return _limited(df.sparkSession.sql(text), max_rows)
 
 
 @dataclass(frozen=True)
@@ -109,14 +136,10 @@ class Answer:
         return self.data.count()
 
 
-def query_results(spark: SparkSession, sql: str, default_limit: int = 20) -> Answer:
-    """SELECT or CTE over the published tables; limited when the text has no LIMIT."""
+def query_results(spark: SparkSession, sql: str, max_rows: int | None = None) -> Answer:
+    """A query over the published tables; all its rows unless the caller sets a limit."""
     text = (sql or "").strip().rstrip(";").strip()
     if not text:
-        raise ValueError("The SQL query was empty")
-    if not re.match(r"(select|with)\b", text, re.IGNORECASE) or _WRITES.search(text):
-        raise ValueError("Only read-only SELECT queries are allowed")
-    data = spark.sql(text)
-    if not re.search(r"\blimit\b", text, re.IGNORECASE):
-        data = data.limit(default_limit)
-    return Answer(text, data, tuple(sorted(set(_TABLES.findall(text)))))
+        raise ValueError("no query given")
+    tables = parsed_read(spark, text)
+    return Answer(text, _limited(spark.sql(text), max_rows), tuple(tables))

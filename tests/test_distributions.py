@@ -62,3 +62,33 @@ def test_power_columns_special_cases(spark):
     assert [r.n for r in rows] == [10**9, 64, 64]
     assert rows[0].p == 0 and rows[1].p == 0 and rows[2].p == pytest.approx(0.8015, abs=1e-3)
     assert rows[1].e == 0
+
+
+def test_t_tail_is_exact_at_every_df():
+    """Against mpmath-free references: the exact sum at even df, and the series in 1/df around the normal tail."""
+    import math
+
+    from armlift.functions.tails import t_two_sided
+
+    def even(t, v):  # closed form for even v: 1 - sin(theta) * sum of products, by its complement
+        x = v / (v + t * t)
+        term, total, k = 1.0, 0.0, 0
+        # P = I_x(v/2, 1/2); continued sum of the beta series from the small side
+        front = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2) - 0.5 * math.log(math.pi)
+                         + v / 2 * math.log(x) + 0.5 * math.log1p(-x)) / (v / 2)
+        while term > 1e-18 * max(total, 1e-300) and k < 2_000_000:
+            total += term
+            term *= ((v + 1) / 2 + k) / (v / 2 + 1 + k) * x
+            k += 1
+        return front * total
+
+    for v in (1000, 2000, 5000):
+        for t in (1.0, 3.0, 9.0, 20.0, 37.0):
+            assert t_two_sided([t], [v])[0] == pytest.approx(even(t, v), rel=1e-9)
+    for t in (0.5, 4.0, 9.0, 20.0, 37.0):
+        normal = math.erfc(t / math.sqrt(2))
+        assert t_two_sided([t], [1e12])[0] == pytest.approx(normal, rel=1e-6)
+        below, above = t_two_sided([t, t], [999.999, 1000.001])
+        assert below == pytest.approx(above, rel=1e-5 * max(1, t**4 / 100))
+        tails = t_two_sided([t] * 5, [1e5, 9e5, 1.1e6, 1e8, 1e12])
+        assert (np.diff(tails) < 0).all() and (tails > 0).all()

@@ -52,7 +52,7 @@ def test_detection_and_labels(spark, sample):
     assert labels("only").treatment is None
     guess = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("y", 3.0)], "side string, amount double")
     assert two_valued_columns(guess) == ["side"]
-    assert auto_configure(guess).warnings[0].startswith("Guessed 'side'")
+    assert auto_configure(guess).warnings[0].startswith("column 'side'")
     assert not auto_configure(guess.select("amount")).success
 
 
@@ -169,7 +169,7 @@ def test_empty_results(spark):
     out = analyze(df, Roles("grp", "y", "t", "c", segment="segment"), Options(diagnostics=False, metric_type="continuous"))
     assert out.results.count() == 0 and out.failures.count() == 1
     s = summarize(out.results, out.failures).first()
-    assert s.error == "No results to summarize" and "Skipped 1 segment(s)" in s.analysis_warnings[0]
+    assert s.error == "no segment was analysed" and s.analysis_warnings[0].startswith("1 segment(s)")
     assert recommendations(out.results).count() == 0
 
 
@@ -183,3 +183,33 @@ def test_validation(spark):
         analyze(df, Roles("grp", "z", "t", "c"))
     assert presentation.chart_keys("pvalue") == ["p_values"] and presentation.chart_keys("nothing") == []
     assert F.lit(1) is not None
+
+
+def test_pooled_row_changes_no_total_and_no_adjusted_p(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, "t" if i % 2 else "c", float(rng.normal(10 + k * (i % 2) * 0.2, 2)))
+            for k, s in enumerate(["a", "b", "Overall"]) for i in range(400)]
+    df = spark.createDataFrame(rows, "segment string, grp string, y double")
+    roles = Roles("grp", "y", "t", "c", segment="segment")
+    options = dict(diagnostics=False, metric_type="continuous")
+    apart, both = (analyze(df, roles, Options(scope=s, **options)) for s in ("segments", "both"))
+    pooled = [r for r in both.results.collect() if r.is_overall]
+    assert [r.treatment_size for r in pooled] == [600] and pooled[0].p_value_adjusted == pooled[0].p_value
+    name = {"Overall": "Overall (segment)"}
+    assert {name.get(r.segment, r.segment): (r.p_value_adjusted, r.treatment_size) for r in apart.results.collect()} == {
+        r.segment: (r.p_value_adjusted, r.treatment_size) for r in both.results.collect() if not r.is_overall}
+    assert apart.summary.first() == both.summary.first()
+    assert apart.recommendations.collect() == both.recommendations.collect()
+    assert presentation.waterfall(both.results).count() == 4
+
+
+def test_only_queries_are_run(spark):
+    spark.range(3).createOrReplaceTempView("three")
+    good = "WITH a AS (SELECT id, replace('update', 'u', 'x') AS t FROM three LIMIT 2) SELECT * FROM a WHERE t <> 'drop'"
+    answer = sinks.query_results(spark, good)
+    assert answer.row_count == 2 and answer.source_tables == ("three",)
+    assert sinks.query_results(spark, "SELECT (SELECT max(id) FROM three) AS m, id FROM three").row_count == 3
+    for bad in ("INSERT INTO three VALUES (1)", "WITH a AS (SELECT 1 AS id) INSERT INTO three SELECT id FROM a",
+                "CREATE TABLE x AS SELECT 1", "SHOW TABLES", "SET x = 1"):
+        with pytest.raises(ValueError):
+            sinks.query_results(spark, bad)

@@ -87,7 +87,7 @@ def test_nulls_non_finite_and_failures(spark):
     assert {r.segment for r in m} == {"a", "b"}
     lost = failures(segment_moments(analysis_rows(df, ROLES))).collect()
     assert [(r.segment, r.error) for r in lost] == [
-        ("b", "Insufficient data for segment 'b': Treatment n=1, Control n=0")]
+        ("b", "segment 'b' has 1 treatment and 0 control rows; each arm needs two")]
     both = segment_moments(analysis_rows(df, ROLES, "both")).where("segment = 'Overall'").first()
     assert both.n_t == 4  # the row without a segment counts overall
 

@@ -104,3 +104,19 @@ def test_bh_paths_agree_with_definition(spark, adjust):
     assert len(got) == len(p)
     for s, q in zip(got["segment"], got["q"]):
         assert q == pytest.approx(want[s], rel=1e-12, abs=1e-15)
+
+
+def test_joins_back_spread_equal_rows_and_bound_bytes(spark, monkeypatch):
+    from armlift import session
+
+    rows = spark.range(20_000).selectExpr("IF(id % 20 = 0, 'rare', 'hot') AS k", "IF(id % 20 = 0, id, 0) AS v")
+    assert session.salted(rows.where("k = 'hot'")).select("_salt").distinct().count() > session.SALTS // 2
+    side = session.stage(spark.createDataFrame([("rare", 1), ("hot", 2)], "k string, w int"))
+    want = sorted(session.attach(rows, side, ["k"]).groupBy("k", "w").count().collect())
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    assert sorted(session.attach(rows, side, ["k"]).groupBy("k", "w").count().collect()) == want
+    monkeypatch.undo()
+    wide = session.stage(spark.createDataFrame([("a", [0.1] * 1000)] * 20, "k string, m array<double>"))
+    assert session.fits_broadcast(wide)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 50_000)
+    assert not session.fits_broadcast(wide)
