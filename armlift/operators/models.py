@@ -6,6 +6,8 @@ reach Python, for a small linear solve.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,8 @@ HUBER_T = 1.345
 MAD_SCALE = 0.6744897501960817
 MAX_ITERATIONS = 50
 TOLERANCE = 1e-8
+ZONE_REACH = 0.02
+REACH_STEP = 0.05
 HUBER_TOLERANCE = 1e-7
 SMALL_ZONE = 20_000
 SMALL_GROUP = 1_000_000
@@ -30,7 +34,7 @@ SMALL_GROUP = 1_000_000
 
 # --- Huber location shift of two arms -------------------------------------------------
 
-_FIT = ("segment string, kind string, arm string, lo double, hi double, cnt bigint, "
+_FIT = ("segment string, kind string, arm string, b bigint, lo double, hi double, cnt bigint, "
         "mu_t double, mu_c double, scale double, psi2 double, inner double, n double")
 
 
@@ -43,16 +47,18 @@ def _weighted_median(v: np.ndarray, w: np.ndarray) -> float:
     return float((low + high) / 2.0)
 
 
-def _huber_on_buckets(pdf: pd.DataFrame) -> pd.DataFrame:
+def _huber_on_buckets(pdf: pd.DataFrame, reach: float = ZONE_REACH) -> pd.DataFrame:
     """Joint fixed point of arm locations and MAD scale on (count, mean) buckets.
 
-    Reports the buckets that still straddle a clipping or median boundary.
+    Reports the buckets that still straddle a clipping or median boundary, or lie
+    within ``reach`` scales of one.
     """
     seg = pdf["segment"].iloc[0]
     arm = pdf["arm"].to_numpy() == "t"
     cnt = pdf["cnt"].to_numpy(dtype=float)
     mean, m2 = pdf["mean"].to_numpy(), pdf["m2"].to_numpy()
     lo, hi = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
+    bucket = pdf["b"].to_numpy()
     mu = np.array([np.average(mean[~arm], weights=cnt[~arm]), np.average(mean[arm], weights=cnt[arm])])
     centre = mu[arm.astype(int)]
     scale = _weighted_median(np.abs(mean - centre), cnt) / MAD_SCALE
@@ -83,14 +89,14 @@ def _huber_on_buckets(pdf: pd.DataFrame) -> pd.DataFrame:
     if scale > 0:
         psi2 = float((m2 + cnt * r * r)[mid].sum() / scale**2 + HUBER_T**2 * cnt[~mid].sum())
         inner = float(cnt[mid].sum())
-    fit = (seg, "fit", None, None, None, None, mu[1], mu[0], scale, psi2, inner, cnt.sum())
+    fit = (seg, "fit", None, None, None, None, None, mu[1], mu[0], scale, psi2, inner, cnt.sum())
     rows = [fit]
-    gap = 0.02 * scale + 1e-12
+    gap = reach * scale + 1e-12
     for edge in (clip, MAD_SCALE * scale):
         for sign in (-1.0, 1.0):
             at = centre + sign * edge
             for i in np.nonzero((lo < hi) & (lo - gap <= at) & (at <= hi + gap))[0]:
-                rows.append((seg, "zone", "t" if arm[i] else "c", lo[i], hi[i], int(cnt[i])) + (None,) * 6)
+                rows.append((seg, "zone", "t" if arm[i] else "c", int(bucket[i]), lo[i], hi[i], int(cnt[i])) + (None,) * 6)
     return pd.DataFrame(rows, columns=[f.split()[0] for f in _FIT.split(", ")])
 
 
@@ -112,19 +118,23 @@ def huber_shift(rows: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("cnt"), F.avg(y).alias("mean"),
             (F.var_pop(y) * F.count(F.lit(1))).alias("m2"), F.min(y).alias("lo"), F.max(y).alias("hi"))
 
-    out_cols = [*keys, "lo", "hi", "cnt", "mean", "m2"]
-    buckets = stage(condensed([*keys, log_bucket(y).alias("b")], data).select(*out_cols))
-    for _ in range(20):
-        solved = stage(buckets.groupBy("segment").applyInPandas(_huber_on_buckets, _FIT))
-        zones = solved.where("kind = 'zone'").select("segment", "arm", "lo", "hi", "cnt").distinct()
+    data = data.withColumn("b", log_bucket(y).cast("bigint"))
+    out_cols = [*keys, "b", "lo", "hi", "cnt", "mean", "m2"]
+    buckets = stage(condensed([*keys, "b"], data).select(*out_cols))
+    for step in range(20):
+        # the boundaries settle, so the strip around them that is read again narrows
+        solve = partial(_huber_on_buckets, reach=ZONE_REACH * REACH_STEP**step)
+        solved = stage(buckets.groupBy("segment").applyInPandas(solve, _FIT))
+        zones = solved.where("kind = 'zone'").select(*keys, "b", "lo", "hi", "cnt").distinct()
         zones = stage(zones)
         if zones.isEmpty():
             break
-        edge = zones.select(*keys, F.col("lo").alias("z_lo"), F.col("hi").alias("z_hi"), F.col("cnt").alias("z_cnt"))
-        inside = attach(data, edge, keys).where(y.between(F.col("z_lo"), F.col("z_hi")))
+        # a row meets the zones of its own bucket only, and lies in one of them at most
+        edge = zones.select(*keys, "b", F.col("lo").alias("z_lo"), F.col("hi").alias("z_hi"), F.col("cnt").alias("z_cnt"))
+        inside = attach(data, edge, [*keys, "b"]).where(y.between(F.col("z_lo"), F.col("z_hi")))
         share = (y - F.col("z_lo")) / (F.col("z_hi") - F.col("z_lo"))
         piece = F.when(F.col("z_cnt") <= SMALL_ZONE, y).otherwise(F.floor(share * LINEAR_STEPS).cast("double"))
-        fine = condensed([*keys, "z_lo", "z_hi", piece.alias("piece")], inside).select(*out_cols)
+        fine = condensed([*keys, "b", "z_lo", "z_hi", piece.alias("piece")], inside).select(*out_cols)
         kept = buckets.join(zones.drop("cnt"), [*keys, "lo", "hi"], "left_anti")
         buckets = stage(kept.select(*out_cols).unionByName(fine))
     fit = solved.where("kind = 'fit'")

@@ -82,6 +82,6 @@ def attach(
     if fits_broadcast(staged, size):
         return rows.join(F.broadcast(staged), keys, how)
     salted_rows = salted(rows)
-    copies = staged.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    copies = staged.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return salted_rows.join(copies, [*keys, "_salt"], how).drop("_salt")
 
