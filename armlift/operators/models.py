@@ -262,6 +262,9 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
     ``rows`` hold segment, arm, y and c0..; ``moments`` is staged with
     ``metric_type``. Linear models take two scans; GLM and Huber fits iterate one
     grouped scan at a time for all segments together until every segment settled.
+    A fit that does not settle (separated outcomes, say) is given up for the linear
+    model; ``covariate_model_converged`` and ``covariate_model_reason`` tell so, and
+    which covariates were left out for being constant.
     """
     k = len(names)
     p = k + 2
@@ -318,6 +321,24 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
     change = F.aggregate(
         F.zip_with("beta", "old", lambda a, b: F.abs(a - b) / (1 + F.abs(a))),
         F.lit(0.0), lambda acc, v: F.greatest(acc, v))
+
+    def steps_between(new: DataFrame, old: DataFrame) -> DataFrame:
+        return stage(new.join(old.select("segment", c("beta").alias("old")), "segment", "right").select(
+            "segment", change.alias("step")))
+
+    def largest(steps: DataFrame) -> float | None:
+        """The largest step, or none where a fit broke down."""
+        step, broken = steps.agg(F.max("step"), F.count_if(c("step").isNull() | F.isnan("step"))).first()
+        return None if broken else step
+
+    # segments whose iteration ended without settling
+    lost: list[DataFrame] = []
+
+    def settled(fit: DataFrame, steps: DataFrame, tolerance: float) -> DataFrame:
+        good = stage(steps.where((c("step") < tolerance) & ~F.isnan("step")).select("segment"))
+        lost.append(steps.join(good, "segment", "left_anti").select("segment"))
+        return fit.join(good, "segment")
+
     glm = c("model").isin("binomial", "poisson", "nb")
     if kinds & {"binomial", "poisson", "nb"}:
         start = F.when(c("model") == "binomial", (c("y") + 0.5) / 2).otherwise((c("y") + c("mean_all")) / 2)
@@ -335,10 +356,11 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
             at = at.withColumn("eta", _dot(xs2))
             mean = F.when(c("model") == "binomial", 1 / (1 + F.exp(-c("eta")))).otherwise(F.exp("eta"))
             new = stage(irls(at.withColumn("mu", mean), xs2))
-            moved = new.join(fit.select("segment", c("beta").alias("old")), "segment").agg(F.max(change)).first()[0]
+            moves = steps_between(new, fit)
             fit = new
-            if moved is None or moved < TOLERANCE:
+            if (moved := largest(moves)) is not None and moved < TOLERANCE:
                 break
+        fit = settled(fit, moves, TOLERANCE)
         state = ordinary.join(fit.select("segment"), "segment", "left_anti").unionByName(fit)
 
     if "huber" in kinds:
@@ -365,20 +387,30 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
             w = F.when(F.abs("r") <= HUBER_T * c("scale"), 1.0).otherwise(
                 HUBER_T * c("scale") / F.nullif(F.abs("r"), F.lit(0.0)))
             new = stage(solve(at.where("scale > 0"), xs2, w, c("y")))
-            moved = new.join(fit.select("segment", c("beta").alias("old")), "segment").agg(F.max(change)).first()[0]
+            moves = steps_between(new, fit)
             fit = new
-            if moved is None or moved < HUBER_TOLERANCE:
+            if (moved := largest(moves)) is not None and moved < HUBER_TOLERANCE:
                 break
             steps.append(new)
             if len(steps) == 3:
                 fit = stage(_extrapolated(*steps))
                 steps = [fit]
+        fit = settled(fit, moves, HUBER_TOLERANCE)
         fit = stage(fit.join(mad_of(residuals(fit)[0]), "segment"))
         state = state.join(fit.select("segment"), "segment", "left_anti").select(
             "*", F.lit(None).cast("double").alias("scale")).unionByName(fit)
     if "scale" not in state.columns:
         state = state.withColumn("scale", F.lit(None).cast("double"))
 
+    failed = F.lit(False)
+    scales = scales.withColumn("converged", ~failed)
+    if lost:
+        gone = lost[0] if len(lost) == 1 else lost[0].unionByName(lost[1])
+        scales = stage(scales.drop("converged").join(
+            gone.distinct().withColumn("converged", F.lit(False)), "segment", "left").withColumns({
+                "converged": F.coalesce("converged", F.lit(True))}).withColumn(
+                "model", F.when(c("converged"), c("model")).otherwise("ols")))
+
     # Last scan: HC3 meat, robust sums and the gradient of the average marginal effect.
     state = stage(state.join(plain_inverse, "segment"))
     at, xs2 = design(scales.join(state, "segment"))
@@ -410,11 +442,14 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
         F.array(*grads).alias("gradient"),
         F.avg(F.when(c("model") == "log", F.exp("e"))).alias("smear"),
     )
-    out = final.join(state, "segment").join(scales.select("segment", "n", "model", *[f"v_{x}" for x in covs]), "segment")
+    out = final.join(state, "segment").join(scales.select("segment", "n", "model", "converged", *[f"v_{x}" for x in covs]), "segment")
     share = F.nullif(c("inner"), F.lit(0.0))
     correction = 1 + (p * 1.0) / c("n") * (share * (1 - share)) / (share * share)
     tt = F.element_at("inverse", p + 2)
     used = F.array_compact(F.array(*[F.when(c(f"v_{x}"), F.lit(n)) for x, n in zip(covs, names, strict=True)]))
+    flat = F.array_compact(F.array(*[F.when(~c(f"v_{x}"), F.lit(n)) for x, n in zip(covs, names, strict=True)]))
+    reason = F.concat_ws("; ", F.when(~c("converged"), "model_fit_failed_fallback_to_ols"),
+                         F.when(F.size(flat) > 0, F.concat(F.lit("constant_covariates:"), F.concat_ws(",", flat))))
     hc3 = _sandwich(p)(c("xtx_inverse"), c("meat"))
     out = out.withColumns({"_hc3": hc3, "_gvg": _quadratic(p)(c("inverse"), c("gradient")), "used": used})
     xtx_tt = F.element_at("xtx_inverse", p + 2)
@@ -439,5 +474,6 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
         type_name.alias("covariate_adjusted_model_type"), scale_name.alias("covariate_adjusted_effect_scale"),
         F.when(ratio, F.exp("_b")).otherwise(1.0).alias("covariate_adjusted_effect_exponentiated"),
         F.when(glm, F.sqrt("_gvg")).alias("average_marginal_effect_se"),
-        c("n").alias("covariate_adjusted_rows"),
+        c("n").alias("covariate_adjusted_rows"), c("converged").alias("covariate_model_converged"),
+        reason.alias("covariate_model_reason"),
     )

@@ -181,6 +181,8 @@ def _with_covariates(results: DataFrame, adjusted: DataFrame | None) -> DataFram
         "covariate_adjusted_model_type": (F.lit("none"), "string"),
         "covariate_adjusted_effect_scale": (c("model_effect_scale"), "string"),
         "covariate_adjusted_effect_exponentiated": (c("model_effect_exponentiated"), "double"),
+        "covariate_model_converged": (F.lit(None).cast("boolean"), "boolean"),
+        "covariate_model_reason": (F.lit(""), "string"),
     }
     if adjusted is None:
         return results.withColumns({k: v for k, (v, _) in spec.items()})

@@ -258,3 +258,23 @@ def test_covariate_names(spark):
     df = spark.createDataFrame([("t", 1.0, 2.0, 3.0, "k")], "grp string, y double, pre double, age double, seg string")
     roles = Roles("grp", "y", "t", "c", pre_effect="pre", segment="seg", covariates=("age", "seg", "nope", "y"))
     assert resolve_covariates(df, roles) == ("age", "pre")
+
+
+def test_covariate_fit_that_cannot_settle_falls_back(spark):
+    from armlift.config import Options, Roles
+    from armlift.plans.analysis import analyze
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        x = float(rng.normal())
+        rows.append(("split", "t" if i % 2 else "c", float(x > 0), x, 1.0))  # the covariate decides the outcome
+        rows.append(("mixed", "t" if i % 2 else "c", float(rng.random() < 0.4), x, 1.0))
+    df = spark.createDataFrame(rows, "segment string, grp string, y double, x double, flat double")
+    out = analyze(df, Roles("grp", "y", "t", "c", segment="segment", covariates=("x", "flat")),
+                  Options(diagnostics=False)).results
+    got = {r.segment: r for r in out.collect()}
+    assert got["mixed"].covariate_adjusted_model_type == "glm_binomial" and got["mixed"].covariate_model_converged
+    assert got["split"].covariate_adjusted_model_type == "ols_hc3" and not got["split"].covariate_model_converged
+    assert "fallback_to_ols" in got["split"].covariate_model_reason and abs(got["split"].covariate_adjusted_effect) < 0.2
+    assert got["mixed"].covariate_model_reason == "constant_covariates:flat"
