@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armlift.llm.encoders import (
-    BYTE_LETTERS, LONGEST_WORD, MAX_WORDS, PLAIN_WORD, WORD_BPE, load_tokenizer, tokenizer_path, words,
+    BYTE_LETTERS, LONGEST_WORD, PLAIN_WORD, WORD_BPE, load_tokenizer, tokenizer_path, words,
 )
 from armlift.llm.shared import slices, text_or_empty, worker_cache
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 NO_RANK = 1 << 30
+MAX_WORDS = 300_000  # remembered words per worker
 LETTER_BYTES = {c: b for b, c in BYTE_LETTERS.items()}
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -195,11 +196,13 @@ class PairIndexBpe:
         new = need.difference(self.known)
         if len(self.known) + len(new) > self.max_words:
             self.known, new = {}, need
-        get = {**self.known, **self._learn(list(new))} if new else self.known
-        out = [b"".join(map(get.__getitem__, ws)) for ws in split]
-        if len(get) <= self.max_words:
-            self.known = get if max(map(len, new), default=0) <= LONGEST_WORD else {
-                w: x for w, x in get.items() if len(w) <= LONGEST_WORD}
+        self.known.update(self._learn(list(new)))
+        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        if len(self.known) > self.max_words:
+            self.known.clear()
+        for word in new:
+            if len(word) > LONGEST_WORD:
+                self.known.pop(word, None)
         return out
 
     def decode(self, ids) -> bytes:
