@@ -263,3 +263,21 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> DataF
     out = own.join(least, "root", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("row", "doc_id", "text_hash", "n_shingles", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def check_sql(width: int = WIDTH, percent: int = 75) -> str:
+    """The same groups by a join on plain shingles, for another database and small tables."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+            WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' ')))
+            END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY 1, 2),
+        e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+        r(doc_id, reached) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+        SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(reached) AS component_id,
+            r.doc_id = min(reached) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id"""

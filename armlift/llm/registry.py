@@ -64,4 +64,7 @@ QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_bpe, op3_near_dedup, op4_quality, op5_token_files, op6_token_counts, op7_fingerprints,
     op8_html_text, op9_quality_rules, op10_packing,
 )}
-CHECKS: dict[str, str] = {"op1_url_filter": url_filter.check_sql(ALLOW, BLOCK)}
+CHECKS: dict[str, str] = {
+    "op1_url_filter": url_filter.check_sql(ALLOW, BLOCK),
+    "op3_near_dedup": near_dedup.check_sql(),
+}

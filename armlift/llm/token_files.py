@@ -55,6 +55,12 @@ def open_segment(data: bytes):
     return doc_ids, bounds, np.frombuffer(view[used + more :], f"<u{width}")
 
 
+def document_ids(data: bytes, i: int):
+    """The ids of the i-th document of a segment, by two selects; the other boundaries are not decoded."""
+    _, bounds, ids = open_segment(data)
+    return ids[bounds.select(i) : bounds.select(i + 1)]
+
+
 def _write(batches, tokenizer: str, end_id: int, segment_ids: int):
     import numpy as np
     import pyarrow as pa

@@ -92,6 +92,21 @@ def test_elias_fano_round_trip(values):
     assert [read.select(i) for i in range(0, len(values), 37)] == values[::37]
 
 
+def test_segments_give_single_documents(small, library):
+    texts = [t for _, t in small[1][:60]]
+    segment = token_files.build_segment(list(range(60)), encoders.word_encoder().encode(texts), 2)
+    for i in (0, 1, 31, 59):
+        assert token_files.document_ids(segment, i).tolist() == library(texts[i])
+
+
+def test_encoder_of_a_file_that_keeps_white_space(small):
+    tokenizer = encoders.load_tokenizer("byte_bpe_50k.json")
+    encoder = encoders.WordEncoder("byte_bpe_50k.json")
+    texts = [t for _, t in small[1][:30]] + ["", "  a  b\n", "ÉTÉ x"]
+    for text, got in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(got, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_boundaries_take_few_bits():
     ends = np.cumsum(np.random.default_rng(1).integers(1, 1000, 10_000))
     assert len(EliasFano.of(ends).to_bytes()) < 10_000 * 12 / 8
