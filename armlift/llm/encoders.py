@@ -15,7 +15,7 @@ from armlift.llm.shared import worker_cache
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
-MAX_WORDS = 600_000  # remembered words (and as many parts) per worker, under 250 MB; then it starts anew
+MAX_WORDS = 300_000  # remembered words (and as many parts) per worker, about 120 MB; then it starts anew
 LONGEST_WORD = 64  # longer words are encoded each time, so that memory stays bounded
 # str.split() also splits at these four, which the tokenizer takes for ordinary characters.
 NOT_SPACE = re.compile("[\x1c-\x1f]")

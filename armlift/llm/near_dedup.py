@@ -38,7 +38,7 @@ SKETCH = 128
 SKETCH_BOUND = (0.54 + 0.46 / 16) * SKETCH
 BUCKET_BLOCK = 2048
 GROUP_BLOCK = 1024
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 BROADCAST_NODES = 500_000  # 8-byte keys
 
