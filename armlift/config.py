@@ -155,6 +155,8 @@ class Options:
     scope: str = "segments"            # "overall", "segments" or "both"
     diagnostics: bool = True
     covariates: bool = True
+    posterior: str = "by_size"         # "normal", "t", or t where an arm is small
+    normality: str = "by_size"         # "shapiro", "dagostino_k2", or the latter where an arm is large
     bayes_draws: int = 10_000
     seed: int = 42
     sequential: Sequential = field(default_factory=Sequential)
@@ -162,6 +164,10 @@ class Options:
     def __post_init__(self):
         if self.metric_type not in METRIC_TYPES:
             object.__setattr__(self, "metric_type", "auto")
+        if self.posterior not in ("by_size", "normal", "t"):
+            raise ValueError("posterior must be 'by_size', 'normal' or 't'")
+        if self.normality not in ("by_size", "shapiro", "dagostino_k2"):
+            raise ValueError("normality must be 'by_size', 'shapiro' or 'dagostino_k2'")
         if self.scope not in ("overall", "segments", "both"):
             raise ValueError("scope must be 'overall', 'segments' or 'both'")
         object.__setattr__(self, "sequential", Sequential.resolve(self.sequential))

@@ -19,23 +19,18 @@ VARIANCE_FLOOR = 1e-10
 _DRAWN = "prob double, loss_t double, loss_c double, lo double, hi double, diff double"
 
 
-def _draws(n: int, seed: int, always: bool):
+def _draws(n: int, seed: int, posterior: str):
     @F.pandas_udf(_DRAWN)
     def draw(segment: pd.Series, mean_t: pd.Series, se_t: pd.Series, n_t: pd.Series,
              mean_c: pd.Series, se_c: pd.Series, n_c: pd.Series) -> pd.DataFrame:
         out = []
         for key, mt, st, nt, mc, sc, nc in zip(segment, mean_t, se_t, n_t, mean_c, se_c, n_c, strict=True):
-            large = nt > LARGE_ARM and nc > LARGE_ARM
-            if nt < 2 or nc < 2 or (large and not always):
+            exact = posterior == "normal" or posterior == "by_size" and min(nt, nc) > LARGE_ARM
+            if nt < 2 or nc < 2 or exact:
                 out.append((None,) * 6)
                 continue
             rng = np.random.default_rng([seed, zlib.crc32(str(key).encode())])
-            if large:
-                a, b = rng.normal(mt, st, n), rng.normal(mc, sc, n)
-            else:
-                a = mt + st * rng.standard_t(max(nt - 1, 1), n)
-                b = mc + sc * rng.standard_t(max(nc - 1, 1), n)
-            d = a - b
+            d = mt - mc + st * rng.standard_t(max(nt - 1, 1), n) - sc * rng.standard_t(max(nc - 1, 1), n)
             lo, hi = np.percentile(d, [2.5, 97.5])
             out.append((np.mean(d > 0), np.mean(np.maximum(-d, 0.0)), np.mean(np.maximum(d, 0.0)),
                         lo, hi, np.mean(d)))
@@ -44,24 +39,24 @@ def _draws(n: int, seed: int, always: bool):
     return draw
 
 
-def bayesian_test(m: DataFrame, draws: int = 10_000, seed: int = 42, simulate: bool = False) -> DataFrame:
+def bayesian_test(m: DataFrame, draws: int = 10_000, seed: int = 42, posterior: str = "by_size") -> DataFrame:
     """Probability, expected losses, 95% interval, uplift and total effect.
 
-    On changes (post - pre) when pre data is used, else on the outcome. Arms of
-    more than 30 units use the exact normal posterior in column arithmetic;
-    smaller arms use seeded t draws. ``simulate`` draws for every segment.
+    On changes (post - pre) when pre data is used, else on the outcome. The
+    normal posterior is exact column arithmetic, the t posterior seeded draws.
+    ``by_size`` takes the normal one where both arms have more than 30 units.
     """
     m = add(
         m,
         _mt="CASE WHEN has_pre THEN dmean_t ELSE mean_t END", _mc="CASE WHEN has_pre THEN dmean_c ELSE mean_c END",
         _vt="CASE WHEN has_pre THEN dvar_t ELSE var_t END", _vc="CASE WHEN has_pre THEN dvar_c ELSE var_c END",
-        _exact=f"n_t > {LARGE_ARM} AND n_c > {LARGE_ARM} AND {str(not simulate).lower()}")
+        _exact={"normal": "true", "t": "false"}.get(posterior, f"n_t > {LARGE_ARM} AND n_c > {LARGE_ARM}"))
     m = add(
         m, _mu="_mt - _mc",
         _st=f"sqrt(greatest(_vt, {VARIANCE_FLOOR}D) / greatest(n_t, 1))", _sc=f"sqrt(greatest(_vc, {VARIANCE_FLOOR}D) / greatest(n_c, 1))",
         _case="""CASE WHEN n_t < 2 OR n_c < 2 THEN 'short' WHEN _vt = 0 AND _vc = 0 THEN 'fixed'
             WHEN _exact THEN 'exact' ELSE 'drawn' END""")
-    m = m.withColumn("_draw", _draws(draws, seed, simulate)(
+    m = m.withColumn("_draw", _draws(draws, seed, posterior)(
         F.col("segment").cast("string"), *[F.col(x).cast("double") for x in ("_mt", "_st", "n_t", "_mc", "_sc", "n_c")]))
     m = add(m, _sd="sqrt(_st * _st + _sc * _sc)")
     m = add(m, _r="_mu / _sd")

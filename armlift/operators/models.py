@@ -29,7 +29,7 @@ ZONE_REACH = 0.02
 REACH_STEP = 0.05
 HUBER_TOLERANCE = 1e-7
 SMALL_ZONE = 20_000
-SMALL_GROUP = 1_000_000
+SMALL_GROUP = 20_000  # values of a group in one map; Spark keeps at most 128 such maps in a task
 
 
 # --- Huber location shift of two arms -------------------------------------------------
@@ -364,12 +364,12 @@ def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...],
         state = ordinary.join(fit.select("segment"), "segment", "left_anti").unionByName(fit)
 
     if "huber" in kinds:
-        biggest = scales.where("model = 'huber'").agg(F.max("n")).first()[0]
-
         def residuals(fit: DataFrame) -> tuple[DataFrame, list[Column]]:
             at, xs2 = design(scales.join(fit, "segment"))
             return at.withColumn("r", c("y") - _dot(xs2)), xs2
 
+        biggest = scales.where("model = 'huber'").agg(F.max("n")).first()[0]
+
         def mad_of(at: DataFrame) -> DataFrame:
             """Residual scale: the built-in percentile for groups of a proven size."""
             size = at.select("segment", F.abs("r").alias("r"))

@@ -168,22 +168,24 @@ def shapiro_test(rows: DataFrame) -> DataFrame:
     return s.select(*keys, c("n").cast("bigint").alias("n"), "statistic", sanitize_p(c("_p")).alias("p_value"))
 
 
-def normality_test(rows: DataFrame, moments: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """D'Agostino for large segments, Shapiro-Wilk otherwise, per the arm sizes.
+def normality_test(rows: DataFrame, moments: DataFrame, alpha: float = 0.05, test: str = "by_size") -> DataFrame:
+    """One test for all segments, or (``by_size``) D'Agostino for large ones and Shapiro-Wilk otherwise.
 
-    ``moments`` must be staged. Each test runs only on the segments it applies to.
+    ``moments`` must be staged. Each test runs only on the segments it applies to;
+    its name is in the row.
     """
     c = F.col
     low, high = F.least("n_t", "n_c"), F.greatest("n_t", "n_c")
     plan = moments.select("segment", (
-        F.when((low >= DAGOSTINO_MIN_N) & (high > SHAPIRO_MAX_N), "dagostino_k2")
-        .when(low >= 3, "shapiro").otherwise("not_applicable")).alias("normality_test"))
+        F.when((low >= DAGOSTINO_MIN_N) & {
+            "by_size": high > SHAPIRO_MAX_N, "shapiro": F.lit(False)}.get(test, F.lit(True)), "dagostino_k2")
+        .when((low >= 3) & F.lit(test != "dagostino_k2"), "shapiro").otherwise("not_applicable")).alias("normality_test"))
     plan = stage(plan)
     parts = []
-    for name, test in (("dagostino_k2", dagostino_test), ("shapiro", shapiro_test)):
+    for name, run in (("dagostino_k2", dagostino_test), ("shapiro", shapiro_test)):
         mine = plan.where(c("normality_test") == name).select("segment")
         if not mine.isEmpty():
-            parts.append(test(attach(rows, stage(mine), ["segment"])).select("segment", "arm", "statistic", "p_value"))
+            parts.append(run(attach(rows, stage(mine), ["segment"])).select("segment", "arm", "statistic", "p_value"))
     if parts:
         found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         plan = plan.join(side_by_side(found, ["p_value"]), "segment", "left")

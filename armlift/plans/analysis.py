@@ -73,7 +73,7 @@ def core_results(m: DataFrame, options: Options) -> DataFrame:
     m = inf.combined_effects(m)
     m = inf.variance_ratio(m)
     m = power_columns(m, options)
-    m = bayesian_test(m, options.bayes_draws, options.seed)
+    m = bayesian_test(m, options.bayes_draws, options.seed, options.posterior)
     has = c("has_pre")
     return m.withColumns({
         "did_treatment_change": F.when(has, c("dmean_t")).otherwise(0.0),
@@ -193,7 +193,7 @@ def _with_covariates(results: DataFrame, adjusted: DataFrame | None) -> DataFram
 def _with_diagnostics(
     results: DataFrame, df: DataFrame, roles: Roles, options: Options, part: DataFrame, m: DataFrame,
 ) -> DataFrame:
-    normal = normality_test(part, m, options.alpha)
+    normal = normality_test(part, m, options.alpha, options.normality)
     sums = robust_sums(part)
     levene = levene_test(m, sums, options.alpha).drop("levene_df")
     outliers = outlier_sensitivity(m, sums)

@@ -669,7 +669,7 @@ def _(spark, d):
 
 @query("bayesian_draws")
 def _(spark, d):
-    return rounded(bayesian_test(moments_of(spark, d, TINY), simulate=True).select(
+    return rounded(bayesian_test(moments_of(spark, d, TINY), posterior="t").select(
         "segment", "bayesian_prob_treatment_better", "bayesian_expected_loss_treatment",
         "bayesian_credible_lower", "bayesian_credible_upper"))
 
@@ -1028,6 +1028,20 @@ def _(spark, d):
     return rounded(presentation.chart_table(_core(segment_moments(rows_of(spark, d))), "power"))
 
 
+@query("chart_dashboard", FULL + f""" SELECT segment, {r(6, treatment_mean='mean_t', control_mean='mean_c',
+    effect_size=checks.RAW, p_value='pv')}, n_t AS treatment_size, n_c AS control_size FROM h""")
+def _(spark, d):
+    return rounded(presentation.chart_table(_orders_result(spark, d), "dashboard").drop("power"))
+
+
+@query("chart_statistical_summary", FULL + f""" SELECT segment, n_t AS treatment_size, n_c AS control_size,
+    {r(6, effect_size=checks.RAW, cohens_d=checks.RAW + """
+    / sqrt(((n_t-1)*var_t + (n_c-1)*var_c)/(n_t+n_c-2))""", p_value='pv', total_effect='(te + pe)*n_t')} FROM h""")
+def _(spark, d):
+    return rounded(presentation.chart_table(_orders_result(spark, d), "statistical_summary").drop(
+        "power", "bayesian_prob_treatment_better"))
+
+
 BAYES_EV = f"""{EV}, b AS (SELECT *, {checks.RAW} AS mu, sqrt(var_t/n_t + var_c/n_c) AS sd FROM m),
     c AS (SELECT *, {checks.normal_cdf('mu/sd')} AS pb,
     sd*exp(-mu*mu/(2*sd*sd))/sqrt(2*pi()) - mu*({checks.normal_cdf('-mu/sd')}) AS lt FROM b)"""
