@@ -29,9 +29,9 @@ from armlift.llm.encoders import (
 )
 from armlift.llm.shared import slices, text_or_empty, worker_cache
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 5 << 20
 NO_RANK = 1 << 30
-MAX_WORDS = 300_000  # remembered words per worker
+MAX_WORDS = 200_000  # remembered words per worker
 LETTER_BYTES = {c: b for b, c in BYTE_LETTERS.items()}
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
