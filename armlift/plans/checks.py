@@ -55,3 +55,38 @@ def moments(view: str, y: str = "y", x: str | None = None, by: str = "segment")
 
 HC3_SE = "sqrt(var_t/(n_t-1) + var_c/(n_c-1))"
 RAW = "(mean_t - mean_c)"
+
+
+def _t_critical(v: str) -> str:
+    """Upper 2.5 % point of t by the expansion in 1/v; good to 1e-9 from v = 200 on."""
+    z = float(Z975)
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    return f"({Z975} + " + " + ".join(f"{t!r} / power({v}, {i})" for i, t in enumerate(terms, 1)) + ")"
+
+
+def power_columns(base: str, target: float = 0.8, steps: int = 160) -> str:
+    """CTEs from ``base`` (segment, d, n1, n2) to pw (segment, power, required_n, mde), for a two-sided 5 % t-test.
+
+    The power is Simpson's rule over the scale of the error. The wanted size is the least whole number that reaches the
+    target; the detectable effect is read off a short chord, as the curve is nearly straight there.
+    """
+    reach = float(Z975) + NormalDist().inv_cdf(target)
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    at = f"(lo + (hi - lo) * i / {steps})"
+    density = f"exp(ln(2) + v/2*ln(v/2) - lgamma(v/2) + (v-1)*ln({at}) - v*{at}*{at}/2)"
+    inside = f"({normal_cdf(f'(shift - crit*{at})')}) + ({normal_cdf(f'(-shift - crit*{at})')})"
+    total = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: ({weight}) * {density} * ({inside})))"
+    return f"""{base}, pa AS (SELECT *, n2/n1 AS ratio, ceil({reach * reach!r} * (1 + n1/n2) / (d*d)) AS n0,
+            {reach!r} * sqrt(1/n1 + 1/n2) AS d0 FROM base),
+        pg AS (SELECT segment, 'at' AS kind, CAST(0 AS BIGINT) AS k, abs(d) AS d, n1, n2 FROM pa
+            UNION ALL SELECT segment, 'n', k, abs(d), n0 + k, (n0 + k) * ratio FROM pa, range(-4, 9) t(k)
+            UNION ALL SELECT segment, 'm', k, d0 * (1 + k * 0.0005), n1, n2 FROM pa, range(0, 3) t(k)),
+        pv AS (SELECT *, CAST(n1 + n2 - 2 AS DOUBLE) AS v, d * sqrt(n1*n2/(n1 + n2)) AS shift FROM pg),
+        pc AS (SELECT *, {_t_critical('v')} AS crit, greatest(1e-12, 1 - 9/sqrt(2*v)) AS lo, 1 + 9/sqrt(2*v) AS hi FROM pv),
+        pp AS (SELECT *, (hi - lo) / {steps} / 3 * {total} AS p FROM pc),
+        pw AS (SELECT segment, max(p) FILTER (kind = 'at') AS power,
+            CAST(min(n1) FILTER (kind = 'n' AND p >= {target}) AS BIGINT) AS required_n,
+            max(d) FILTER (kind = 'm' AND k = 0) + ({target} - max(p) FILTER (kind = 'm' AND k = 0))
+            * (max(d) FILTER (kind = 'm' AND k = 2) - max(d) FILTER (kind = 'm' AND k = 0))
+            / (max(p) FILTER (kind = 'm' AND k = 2) - max(p) FILTER (kind = 'm' AND k = 0)) AS mde
+            FROM pp GROUP BY segment)"""

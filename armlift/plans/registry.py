@@ -674,7 +674,14 @@ def _(spark, d):
         "bayesian_credible_lower", "bayesian_credible_upper"))
 
 
-@query("power_analysis")
+D_SQL = "(mean_t - mean_c)/sqrt(((n_t-1)*var_t + (n_c-1)*var_c)/(n_t+n_c-2))"
+POWER_SQL = checks.power_columns(f"""{EV}, o AS (SELECT * FROM m UNION ALL SELECT * FROM
+    ({checks.moments(views.EVENTS, by="'Overall'").replace('WITH v AS', 'WITH v2 AS').replace('FROM v ', 'FROM v2 ')}
+    SELECT * FROM m)), base AS (SELECT segment, {D_SQL} AS d, CAST(n_t AS DOUBLE) AS n1, CAST(n_c AS DOUBLE) AS n2 FROM o)""")
+
+
+@query("power_analysis", POWER_SQL + f""" SELECT base.segment, {r(6, cohens_d='d', power='power')},
+    required_n AS required_sample_size, {r(6, achieved_mde='mde')} FROM pw JOIN base ON base.segment = pw.segment""")
 def _(spark, d):
     m = power_columns(inf.cohens_d(moments_of(spark, d, scope="both")), Options())
     return rounded(m.select("segment", "cohens_d", "power", "required_sample_size", "achieved_mde"))
@@ -696,7 +703,13 @@ def _(spark, d):
     return rounded(t.select("segment", "mde", "baseline_rate", "standardized_effect"))
 
 
-@query("sample_size_table")
+@query("sample_size_table", checks.power_columns("""WITH b AS (SELECT event_type AS s, avg(value) AS m, stddev_samp(value) AS sd,
+    avg(CASE WHEN value <> 0 THEN 1.0 ELSE 0.0 END) AS rate FROM events GROUP BY 1),
+    e AS (SELECT s || ':' || e AS segment, s, m, sd, rate, CAST(e AS DOUBLE) AS mde, e/sd AS d FROM b, (VALUES (1.0), (2.0), (5.0)) g(e)),
+    base AS (SELECT segment, d, 1000.0::DOUBLE AS n1, 2000.0::DOUBLE AS n2 FROM e)""") + f""" SELECT s AS segment, {r(
+    6, baseline_mean='m', baseline_std='sd', baseline_rate='rate', mde='e.mde', standardized_effect='d')},
+    required_n AS treatment_n, 2 * required_n AS control_n, 3 * required_n AS total_n
+    FROM pw JOIN e ON e.segment = pw.segment""")
 def _(spark, d):
     return rounded(sample_size_table(views.table(spark, d, "events"), "value", [1.0, 2.0, 5.0], segment="event_type", ratio=2.0))
 
@@ -1023,7 +1036,9 @@ def _(spark, d):
     return rounded(presentation.chart_table(_orders_result(spark, d), "conversion"))
 
 
-@query("chart_power")
+@query("chart_power", checks.power_columns(f"""{EV}, base AS (SELECT segment, {D_SQL} AS d, CAST(n_t AS DOUBLE) AS n1,
+    CAST(n_c AS DOUBLE) AS n2 FROM m)""") + f""" SELECT segment, {r(6, power_percent='100*power')},
+    80.0::DOUBLE AS target_percent, power >= 0.8 AS is_adequate FROM pw""")
 def _(spark, d):
     return rounded(presentation.chart_table(_core(segment_moments(rows_of(spark, d))), "power"))
 
