@@ -90,3 +90,35 @@ def power_columns(base: str, target: float = 0.8, steps: int = 160) -> str:
             * (max(d) FILTER (kind = 'm' AND k = 2) - max(d) FILTER (kind = 'm' AND k = 0))
             / (max(p) FILTER (kind = 'm' AND k = 2) - max(p) FILTER (kind = 'm' AND k = 0)) AS mde
             FROM pp GROUP BY segment)"""
+
+
+def irls(view: str, y: str, x: str, kind: str, rounds: int = 14) -> str:
+    """CTEs to f (segment, n, b, se): treatment coefficient of a GLM on arm and one covariate, by Newton steps.
+
+    ``kind`` is 'binomial' or 'nb' (log link, dispersion 1). The covariate is standardised, which changes neither.
+    """
+    if kind == "binomial":
+        mu, w, start = "1/(1 + exp(-eta))", "mu*(1 - mu)", "ln(avg(y)/(1 - avg(y)))"
+        z = "eta + (y - mu)/(mu*(1 - mu))"
+    else:
+        mu, w, z, start = "exp(eta)", "mu/(1 + mu)", "eta + (y - mu)/mu", "ln(avg(y))"
+    det = "(s00*(s11*s22 - s12*s12) - s01*(s01*s22 - s12*s02) + s02*(s01*s12 - s11*s02))"
+    b0 = f"(r0*(s11*s22 - s12*s12) - s01*(r1*s22 - s12*r2) + s02*(r1*s12 - s11*r2))/{det}"
+    b1 = f"(s00*(r1*s22 - r2*s12) - r0*(s01*s22 - s12*s02) + s02*(s01*r2 - r1*s02))/{det}"
+    b2 = f"(s00*(s11*r2 - s12*r1) - s01*(s01*r2 - r1*s02) + r0*(s01*s12 - s11*s02))/{det}"
+    sums = ", ".join(f"sum(w*{a}) AS {n}" for n, a in (
+        ("s00", "1"), ("s01", "t"), ("s02", "x"), ("s11", "t*t"), ("s12", "t*x"), ("s22", "x*x"), ("r0", "z"),
+        ("r1", "t*z"), ("r2", "x*z")))
+    at = f"""(SELECT *, {z} AS z FROM (SELECT *, {w} AS w FROM (SELECT *, {mu} AS mu FROM (
+        SELECT k, d.segment, t, x, y, b0 + b1*t + b2*x AS eta FROM it JOIN d ON d.segment = it.segment))))"""
+    last = at.replace("FROM it JOIN d ON d.segment = it.segment", f"FROM it JOIN d ON d.segment = it.segment AND k = {rounds}")
+    return f"""WITH RECURSIVE raw AS ({view}),
+        d AS (SELECT segment, CASE WHEN grp = 'treatment' THEN 1.0::DOUBLE ELSE 0.0 END AS t, CAST({y} AS DOUBLE) AS y,
+            ({x} - avg({x}) OVER w)/stddev_pop({x}) OVER w AS x FROM raw WINDOW w AS (PARTITION BY segment)),
+        it(k, segment, b0, b1, b2) AS (
+            SELECT 0, segment, {start}, 0.0::DOUBLE, 0.0::DOUBLE FROM d GROUP BY segment UNION ALL
+            SELECT k + 1, segment, {b0}, {b1}, {b2} FROM (SELECT k, segment, {sums} FROM {at} GROUP BY k, segment)
+            WHERE k < {rounds}),
+        g AS (SELECT segment, count(*) AS n, {sums} FROM {last} GROUP BY segment),
+        f AS (SELECT g.segment, g.n, b1 AS b, sqrt((s00*s22 - s02*s02)/{det}) AS se FROM g JOIN it
+            ON it.segment = g.segment AND it.k = {rounds})"""

@@ -834,15 +834,23 @@ LATE = f"""SELECT o_orderkey, o_orderpriority AS segment, {views.ARM.format(key=
     CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders"""
 
 
-@query("covariate_logit")
+ADJUSTED = f""" SELECT segment, true AS covariate_adjustment_applied, {r(6, covariate_adjusted_effect='b',
+    covariate_adjusted_p_value=checks.both_tails('b/se'), covariate_adjusted_ci_lower=f'b - {Z}*se',
+    covariate_adjusted_ci_upper=f'b + {Z}*se')}, '{{type}}' AS covariate_adjusted_model_type,
+    '{{scale}}' AS covariate_adjusted_effect_scale, {r(6, covariate_adjusted_effect_exponentiated='exp(b)')},
+    n AS covariate_adjusted_rows, true AS covariate_model_converged, '' AS covariate_model_reason FROM f"""
+UNCHECKED = ("covariates_used", "average_marginal_effect_se")
+
+
+@query("covariate_logit", checks.irls(LATE, "y", "price", "binomial") + ADJUSTED.format(type="glm_binomial", scale="log_odds"))
 def _(spark, d):
-    return rounded(_covariates(spark, d, LATE, views.roles(covariates=("price",)), ("price",), Options()).drop("covariates_used"))
+    return rounded(_covariates(spark, d, LATE, views.roles(covariates=("price",)), ("price",), Options()).drop(*UNCHECKED))
 
 
-@query("covariate_count")
+@query("covariate_count", checks.irls(views.LINES, "y", "l_discount", "nb") + ADJUSTED.format(type="glm_negative_binomial", scale="log_rate"))
 def _(spark, d):
     return rounded(_covariates(spark, d, views.LINES, views.roles(covariates=("l_discount",)), ("l_discount",),
-                               Options()).drop("covariates_used"))
+                               Options()).drop(*UNCHECKED))
 
 
 @query("covariate_huber")
