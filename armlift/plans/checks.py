@@ -122,3 +122,31 @@ def irls(view: str, y: str, x: str, kind: str, rounds: int = 14) -> str:
         g AS (SELECT segment, count(*) AS n, {sums} FROM {last} GROUP BY segment),
         f AS (SELECT g.segment, g.n, b1 AS b, sqrt((s00*s22 - s02*s02)/{det}) AS se FROM g JOIN it
             ON it.segment = g.segment AND it.k = {rounds})"""
+
+
+def huber(view: str, rounds: int = 60) -> str:
+    """CTEs to h (segment, effect, se, scale): two-arm Huber location with MAD scale, iterated over the rows."""
+    tune, mad = "1.345", "0.6744897501960817"
+    centre = "CASE WHEN v.g = 1 THEN mt ELSE mc END"
+
+    def moved(g: int) -> str:
+        here = f"FILTER (v.g = {g} AND abs(v.y - {centre}) <= {tune}*s)"
+        out = (f"count(*) FILTER (v.g = {g} AND v.y - {centre} > {tune}*s)"
+               f" - count(*) FILTER (v.g = {g} AND v.y - {centre} < -{tune}*s)")
+        return f"(sum(v.y) {here} + {tune}*max(s)*({out})) / count(*) {here}"
+
+    return f"""WITH RECURSIVE v AS (SELECT segment, CASE WHEN grp = 'treatment' THEN 1 ELSE 0 END AS g, y FROM ({view})
+            WHERE y IS NOT NULL),
+        a AS (SELECT segment, avg(y) FILTER (g = 1) AS mt, avg(y) FILTER (g = 0) AS mc FROM v GROUP BY segment),
+        it(k, segment, mt, mc, s) AS (
+            SELECT 0, v.segment, max(mt), max(mc), median(abs(v.y - {centre}))/{mad} FROM v JOIN a ON a.segment = v.segment
+            GROUP BY v.segment UNION ALL
+            SELECT k + 1, v.segment, max(mt), max(mc), median(abs(v.y - {centre}))/{mad} FROM
+            (SELECT k, v.segment, {moved(1)} AS mt, {moved(0)} AS mc FROM it JOIN v ON v.segment = it.segment
+            WHERE k < {rounds} GROUP BY k, v.segment) q JOIN v ON v.segment = q.segment GROUP BY k, v.segment),
+        e AS (SELECT v.segment, g, (v.y - {centre})/s AS r, mt, mc, s FROM it JOIN v ON v.segment = it.segment AND k = {rounds}),
+        q AS (SELECT segment, max(mt) - max(mc) AS effect, max(s) AS scale, count(*) AS n, count(*) FILTER (g = 1) AS n_t,
+            count(*) FILTER (g = 0) AS n_c, avg(CASE WHEN abs(r) <= {tune} THEN 1.0 ELSE 0.0 END) AS sh,
+            sum(least(r*r, {tune}*{tune})) AS psi2 FROM e GROUP BY segment),
+        h AS (SELECT segment, effect, scale, (1 + 2.0/n*(sh*(1 - sh))/(sh*sh))
+            * sqrt(psi2/(n - 2)*scale*scale/(sh*sh)*(1.0/n_t + 1.0/n_c)) AS se FROM q)"""

@@ -566,9 +566,10 @@ def _(spark, d):
     return rounded(inf.primary_test(m, options).select(*PRIMARY))
 
 
-@query("huber_shift")
+@query("huber_shift", checks.huber(views.EVENTS) + f""" SELECT segment, {r(5, fit_effect='effect', fit_se='se', fit_scale='scale')},
+    'rlm_huber' AS fit_type FROM h""")
 def _(spark, d):
-    return rounded(huber_shift(rows_of(spark, d).where("y IS NOT NULL")))
+    return rounded(huber_shift(rows_of(spark, d).where("y IS NOT NULL")).drop("fit_raw_se"), 5)
 
 
 @query("degenerate_branches", """WITH v AS (SELECT event_type AS segment, CASE WHEN user_id % 2 = 0 THEN 'treatment' ELSE 'control' END AS grp,
