@@ -7,6 +7,7 @@ random or list-valued and are checked by the tests.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -30,7 +31,9 @@ from armlift.operators.moments import (
 )
 from armlift.operators.multiplicity import bh_fdr, sequential
 from armlift.operators.ratio import ratio_metric
+from armlift.functions.normal import polynomial
 from armlift.operators.robustness import (
+    ROYSTON_LARGE_MEAN, ROYSTON_LARGE_SD, ROYSTON_LAST, ROYSTON_SECOND,
     dagostino_test, levene_test, normality_test, outlier_sensitivity, robust_sums, shapiro_test,
 )
 from armlift.operators.summary import (
@@ -771,12 +774,39 @@ def _(spark, d):
     return t.select("segment", "arm", "n", F.round("statistic", 5).alias("statistic"), F.round("p_value", 6).alias("p_value"))
 
 
-@query("shapiro_test")
+def _shapiro_sql(view: str, y: str) -> str:
+    """Royston's W over window ranks, for arms of more than eleven units."""
+    plain = lambda text: re.sub(r"(?<=[0-9.])D\b", "", text)
+    poly = lambda coefs, x: plain(polynomial(x, coefs[::-1]))
+    root_n = "(1 / sqrt(n))"
+    # normal scores by Newton's method on the distribution function
+    newton = " ".join(f"""q{i} AS (SELECT *, m{i - 1} - ({checks.normal_cdf(f'm{i - 1}')} - pos)
+        * sqrt(2*pi()) * exp(m{i - 1}*m{i - 1}/2) AS m{i} FROM q{i - 1}),""" for i in (1, 2, 3))
+    return f"""WITH v AS (SELECT segment, left(grp, 1) AS arm, {y} AS y FROM ({view}) WHERE {y} IS NOT NULL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY segment, arm ORDER BY y) AS i, avg(y) OVER w AS mean,
+            CAST(count(*) OVER w AS DOUBLE) AS n, var_samp(y) OVER w AS v FROM v WINDOW w AS (PARTITION BY segment, arm)),
+        p AS (SELECT *, (i - 0.375)/(n + 0.25) AS pos FROM k), q0 AS (SELECT *, (power(pos, 0.135) - power(1 - pos, 0.135))/0.1975 AS m0 FROM p), {newton}
+        q AS (SELECT *, m3 AS m FROM q3),
+        s AS (SELECT segment, arm, max(n) AS n, max(v) AS v, sum(m*m) AS mm, sum(m*(y - mean)) AS my, max(m) AS m1,
+            max(m) FILTER (i = n - 1) AS m2, max(y) - min(y) AS g1,
+            max(y) FILTER (i = n - 1) - max(y) FILTER (i = 2) AS g2 FROM q GROUP BY segment, arm),
+        a AS (SELECT *, m1/sqrt(mm) + {poly(ROYSTON_LAST, root_n)} AS a1, m2/sqrt(mm) + {poly(ROYSTON_SECOND, root_n)} AS a2 FROM s),
+        b AS (SELECT *, (my - m1*g1 - m2*g2)/sqrt((mm - 2*m1*m1 - 2*m2*m2)/(1 - 2*a1*a1 - 2*a2*a2)) + a1*g1 + a2*g2 AS b FROM a),
+        w AS (SELECT *, b*b/((n - 1)*v) AS w, ln(n) AS ln_n FROM b),
+        z AS (SELECT *, (ln(1 - w) - ({poly(ROYSTON_LARGE_MEAN, 'ln_n')}))/exp({poly(ROYSTON_LARGE_SD, 'ln_n')}) AS z FROM w)
+        SELECT segment, arm, CAST(n AS BIGINT) AS n, round(w, 6) AS statistic,
+            round(1 - ({checks.normal_cdf('z')}), 6) AS p_value FROM z"""
+
+
+@query("shapiro_test", _shapiro_sql(views.USERS, "total"))
 def _(spark, d):
     return rounded(shapiro_test(rows_of(spark, d, views.USERS, views.roles(outcome="total"))))
 
 
-@query("normality_test")
+@query("normality_test", f"""WITH shapiro AS ({_shapiro_sql(views.USERS, "total")}) SELECT segment, 'shapiro' AS normality_test,
+    max(p_value) FILTER (arm = 't') AS treatment_normality_p_value, max(p_value) FILTER (arm = 'c') AS control_normality_p_value,
+    max(p_value) FILTER (arm = 't') > 0.05 AS treatment_normality_passed,
+    max(p_value) FILTER (arm = 'c') > 0.05 AS control_normality_passed FROM shapiro GROUP BY segment""")
 def _(spark, d):
     rows = rows_of(spark, d, views.USERS, views.roles(outcome="total"))
     return rounded(normality_test(rows, stage(enough(segment_moments(rows)))))
