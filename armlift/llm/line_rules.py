@@ -1,10 +1,10 @@
 """Quality rules: base statistics of each text and cross-document line frequency.
 
-One scan computes the base statistics and, for each line with a word, a hash of its lower-cased words, its number of
-words and a content sketch of the rest of its document (least hash of the three-word shingles of all other lines).
-Per host, a line's distinct documents are its distinct sketches, so that copies and near copies of one page count about
-once: they are for deduplication, not for line rules. Lines in more than ``max(MIN_DOCUMENTS, SHARE of the host's
-rows)`` distinct documents are above the limit. They are removed, and a document that is left with fewer than
+One scan computes the base statistics, a hash of each text's lines (its content), and for each line with a word a hash
+of its lower-cased words and its number of words. Per host, a line's documents are the distinct contents that have it,
+and the host's size is its number of distinct contents: rows whose lines have the same lower-cased words are one document,
+all others are documents of their own, however much they share. Lines in more than ``max(MIN_DOCUMENTS, SHARE of the
+host's documents)`` documents are above the limit. They are removed, and a document that is left with fewer than
 ``MIN_LEFT`` words or less than ``LEFT_SHARE`` of its words is depleted and rejected.
 
 Counting is a distinct and a count, both combined before the shuffle, so a line or host with a third of all rows costs
@@ -31,11 +31,10 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 SLICE_BYTES = 1 << 20
 BROADCAST_LINES = 500_000
-NONE = np.uint64((1 << 64) - 1)
 
 MEASURES = ("row bigint, doc_id bigint, text_hash bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, "
             "n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, "
-            "lines array<struct<hash:bigint,sketch:bigint,words:int>>")
+            "content bigint, lines array<struct<hash:bigint,words:int>>")
 
 
 def repeated_words(h: np.ndarray, width: int = WINDOW) -> int:
@@ -57,7 +56,7 @@ def repeated_lines(text: str) -> int:
 
 
 def line_hashes(words: Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first line of each row, hash, sketch, words) of all lines with a word; ``h`` are lower-case word hashes."""
+    """(first line of each row, hash, content of the row, words) of all lines with a word; ``h`` are lower-case word hashes."""
     n = len(h)
     breaks = np.flatnonzero(words.data == 10)
     line = np.searchsorted(breaks, words.start)
@@ -69,23 +68,17 @@ def line_hashes(words: Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.searchsorted(starts, words.first)
     if not n:
         return first, np.zeros(0, np.uint64), np.zeros(0, np.uint64), counts
-    place = np.arange(n) - np.repeat(starts, counts)
+    hashes = _in_order(h, starts, counts)
+    rows = np.flatnonzero(first[1:] > first[:-1])
+    lines = (first[1:] - first[:-1])[rows]
+    return first, hashes, np.repeat(_in_order(hashes, first[:-1][rows], lines), lines), counts
+
+
+def _in_order(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One hash per run of ``h``, of its values in their order."""
+    place = np.arange(len(h)) - np.repeat(starts, counts)
     power = np.cumprod(np.full(int(counts.max()), 0x9E3779B97F4A7C15, np.uint64))
-    hashes = mix(np.add.reduceat(h * power[place], starts) ^ counts.astype(np.uint64))
-    three = np.full(n, NONE)
-    three[: max(0, n - 2)] = windows(h, 3)
-    left = np.repeat(counts, counts) - place
-    three[left < 3] = NONE
-    least = np.minimum.reduceat(three, starts)
-    least = np.where(counts < 3, hashes, least)
-    sketches = np.zeros(len(starts), np.uint64)
-    for a, b in zip(first[:-1], first[1:]):
-        if b - a > 1:  # a document of one line has no rest: its copies count once
-            own = least[a:b]
-            at = int(own.argmin())
-            sketches[a:b] = own[at]
-            sketches[a + at] = np.delete(own, at).min()
-    return first, hashes, sketches, counts
+    return mix(np.add.reduceat(h * power[place], starts) ^ counts.astype(np.uint64))
 
 
 def _measure(batches, max_repeat_percent: int, min_words: int):
@@ -101,7 +94,9 @@ def _measure(batches, max_repeat_percent: int, min_words: int):
             text = batch.column(3).slice(a, b - a)
             raw, low = Words(text, lower=False), Words(text)
             exact = raw.hashes()
-            first, hashes, sketches, counts = line_hashes(low, low.hashes())
+            first, hashes, contents, counts = line_hashes(low, low.hashes())
+            content = np.zeros(b - a, np.uint64)  # of texts without words
+            content[first[1:] > first[:-1]] = contents[first[:-1][first[1:] > first[:-1]]]
             n_words = np.diff(raw.first)
             points = np.r_[0, np.cumsum((raw.data & 0xC0) != 0x80)]
             in_word = np.r_[0, np.cumsum(points[raw.end] - points[raw.start])]
@@ -109,14 +104,13 @@ def _measure(batches, max_repeat_percent: int, min_words: int):
             repeats = np.array([repeated_words(exact[x:y]) for x, y in zip(raw.first[:-1], raw.first[1:])], np.int64)
             failed = (n_words < min_words) | (100 * repeats > max_repeat_percent * n_words)
             lines = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(sketches.view(np.int64)),
-                 pa.array(counts.astype(np.int32))], ["hash", "sketch", "words"]))
+                [pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int32))], ["hash", "words"]))
             yield pa.RecordBatch.from_arrays([
                 pa.array((part << 33) + row + np.arange(b - a)), *(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(n_words),
                 pa.array(in_word[raw.first[1:]] - in_word[raw.first[:-1]]),
                 pa.array(marks[raw.bounds[1:]] - marks[raw.bounds[:-1]]),
                 pa.array([repeated_lines(t) for t in text.to_pylist()], pa.int64()),
-                pa.array(repeats), pa.array(failed), lines], [f.split()[0] for f in MEASURES.split(", ")])
+                pa.array(repeats), pa.array(failed), pa.array(content.view(np.int64)), lines], [f.split()[0] for f in MEASURES.split(", ")])
             row += b - a
 
 
@@ -131,17 +125,18 @@ def judge(
         "doc_id", "text_hash", "host", "text")
     measured = save(rows.mapInArrow(
         partial(_measure, max_repeat_percent=max_repeat_percent, min_words=min_words), MEASURES), "measures")
-    lines = measured.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.*")
-    sizes = measured.groupBy("host").agg(F.count("*").alias("rows"))
-    counted = lines.select("host", "hash", "sketch").distinct().groupBy("host", "hash").agg(
+    lines = measured.select("row", "host", "content", F.explode("lines").alias("line")).select(
+        "row", "host", "content", "line.*")
+    sizes = measured.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("texts"))
+    counted = lines.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(
         F.count("*").alias("documents")).where(F.col("documents") > min_documents)
     frequent = counted.join(sizes, counted["host"].eqNullSafe(sizes["host"])).where(
-        F.col("documents") > share * F.col("rows")).select(counted["host"].alias("host_"), F.col("hash").alias("hash_"))
+        F.col("documents") > share * F.col("texts")).select(counted["host"].alias("host_"), F.col("hash").alias("hash_"))
     frequent = broadcast_if_small(save(frequent, "frequent"), BROADCAST_LINES)
     removed = lines.join(
         frequent, F.col("host").eqNullSafe(F.col("host_")) & (F.col("hash") == F.col("hash_"))).groupBy("row").agg(
         F.sum("words").alias("removed"))
-    judged = measured.drop("lines", "host").join(removed, "row", "left").withColumn(
+    judged = measured.drop("lines", "host", "content").join(removed, "row", "left").withColumn(
         "words_left", F.col("n_words") - F.coalesce("removed", F.lit(0)))
     depleted = (F.col("words_left") < min_left) | (F.col("words_left") < left_share * F.col("n_words"))
     return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("row", "removed")

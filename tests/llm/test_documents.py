@@ -143,6 +143,24 @@ def test_line_rules(small, edge, edge_rows, make_docs):
     assert line_rules.judge(make_docs([])).count() == 0
 
 
+def test_pages_that_share_most_lines_are_documents_of_their_own(make_docs):
+    shared = [" ".join(f"s{line}x{k}" for k in range(20)) for line in range(9)]
+    rows = [(k, "\n".join([*shared, " ".join(f"own{k}x{j}" for j in range(10))]), "a") for k in range(200)]
+    rows += [(1000 + k, "\n".join(shared[: 2 + k % 7]), "b") for k in range(200)]  # 7 documents, copied
+    rows += [(2000 + k, "\n".join([shared[0], *(x for j, x in enumerate(shared[1:]) if k >> j & 1)]), "c")
+             for k in range(64)]  # 64 documents of common lines only
+    seen, sizes = {}, {}
+    for _, text, host in rows:
+        sizes.setdefault(host, set()).add(text)
+        for line in text.split("\n"):
+            seen.setdefault((host, line), set()).add(text)
+    over = {k for k, texts in seen.items() if len(texts) > max(20, 0.02 * len(sizes[k[0]]))}
+    want = {i: sum(len(x.split()) for x in text.split("\n") if (host, x) not in over) for i, text, host in rows}
+    got = {r.doc_id: (r.words_left, r.kept) for r in line_rules.judge(make_docs(rows), max_repeat_percent=100).collect()}
+    assert {i: left for i, (left, _) in got.items()} == want
+    assert [got[k] for k in (0, 199)] == [(10, False)] * 2 and got[1000] == (40, True) and got[2063] == (0, False)
+
+
 def test_rejected_rows_go_and_others_stay_as_they_are(edge, edge_rows):
     verdicts = line_rules.judge(edge)
     stays = without(edge, verdicts)
