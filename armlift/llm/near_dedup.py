@@ -225,7 +225,8 @@ def _blocks(rows: DataFrame, blocks: str) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> DataFrame:
-    """(row, doc_id, text_hash, n_shingles, component_id, kept) for every row; ``row`` tells apart rows with the same doc_id."""
+    """(row, root, doc_id, text_hash, n_shingles, component_id, kept) for every row; ``row`` tells apart rows with the same
+    doc_id, ``root`` tells apart components, also where doc_ids are null or repeated, and is null without shingles."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text")
     sets = save(rows.mapInArrow(partial(_sets, width=width), f"{SETS}, text string"), "sets")
@@ -261,7 +262,7 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> DataF
     own = save(own, "rooted")
     least = own.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = own.join(least, "root", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("row", "doc_id", "text_hash", "n_shingles", "component_id",
+    return out.select("row", "root", "doc_id", "text_hash", "n_shingles", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -58,10 +58,13 @@ def slices(sizes, limit: int):
         yield start, len(sizes)
 
 
+def same_row(docs: DataFrame, keys: DataFrame) -> Column:
+    """Match rows of ``docs`` with keys (id_, hash_): a doc_id and a hash of the text."""
+    return docs["doc_id"].cast("bigint").eqNullSafe(keys["id_"]) & (F.xxhash64(text_or_empty(docs["text"])) == keys["hash_"])
+
+
 def without(docs: DataFrame, verdicts: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Rows of ``docs`` that no verdict (doc_id, text_hash, kept) rejects, with their columns as they are."""
     gone = save(verdicts.where("NOT kept").select(
-        F.col("doc_id").alias("rejected_id"), F.col("text_hash").alias("rejected_hash")).distinct(), "rejected")
-    match = docs["doc_id"].cast("bigint").eqNullSafe(gone["rejected_id"]) & (
-        F.xxhash64(text_or_empty(docs["text"])) == gone["rejected_hash"])
-    return docs.join(broadcast_if_small(gone, max_rows), match, "left_anti")
+        F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct(), "rejected")
+    return docs.join(broadcast_if_small(gone, max_rows), same_row(docs, gone), "left_anti")

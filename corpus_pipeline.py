@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armlift.llm import line_rules, near_dedup, packing, quality_model
-from armlift.llm.shared import save, without
+from armlift.llm.shared import broadcast_if_small, same_row, save, without
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,26 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; of rows with one doc_id and shingle set, one stays."""
+    """One row of each near-duplicate group, with the smallest doc_id and of those the first; all other rows stay."""
     found = save(near_dedup.near_groups(docs), "near")
-    kept = without(docs, found)
-    again = found.where("kept").groupBy("component_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1)
-    return kept.dropDuplicates(["doc_id"]) if again.count() else kept
+    # rows kept by doc_id alone: a group has several where its smallest doc_id is repeated, or all are null
+    named = found.where("kept AND root IS NOT NULL")
+    again = save(named.groupBy(F.col("root").alias("root_")).agg(
+        F.count("*").alias("rows"), F.min_by("text_hash", "row").alias("stays")).where("rows > 1"), "again")
+    several = named.join(broadcast_if_small(again, 500_000), F.col("root") == F.col("root_"))
+    kept = without(docs, found.select("doc_id", "text_hash", "kept").union(several.where("text_hash <> stays").select(
+        "doc_id", "text_hash", F.lit(False))))
+    copies = save(several.where("text_hash = stays").groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(
+        F.count("*").alias("rows")).where("rows > 1").drop("rows"), "copies")
+    if copies.isEmpty():
+        return kept
+    keys = broadcast_if_small(copies, 1_000_000)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # rows of one doc_id and text may differ in other columns: the choice does not hang on the order of tasks
+    one = kept.join(keys, same_row(kept, copies), "left_semi").groupBy("doc_id", "text").agg(
+        F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("rest_")).select(
+        "doc_id", "text", "rest_.*") if rest else kept.join(keys, same_row(kept, copies), "left_semi").distinct()
+    return kept.join(keys, same_row(kept, copies), "left_anti").unionByName(one)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,22 @@ def test_dedup_stage_keeps_one_row_of_each_group(spark, make_docs, folder):
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 3, 9] and out.columns == docs.columns
 
 
+def test_dedup_stage_leaves_unrelated_rows(spark, make_docs, folder):
+    rng = np.random.default_rng(6)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 60)) for _ in range(9)]
+    rows = [(None, text[0], "a"), (None, text[1], "a"), (None, text[2], "a"), (None, text[2], "b"),  # one null copy goes
+            (7, text[3], "a"), (7, text[4], "a"), (7, text[4] + " end", "a"),  # one id: two groups
+            (8, text[5], "a"), (8, text[5], "a"), (9, text[5] + " end", "a"), (None, text[5], "a"),  # one group
+            (5, None, "a"), (5, None, "a"), (6, text[6], "a")]
+    out = pipeline.drop_near_copies(spark, make_docs(rows), folder)
+    assert out.columns == make_docs(rows).columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    want = [(None, text[0]), (None, text[1]), (None, text[2]), (7, text[3]), (7, text[4]), (8, text[5]), (5, None), (5, None),
+            (6, text[6])]
+    ends = [(i, t.removesuffix(" end") if t else t) for i, t in got]  # which of the two comes first is the input's order
+    assert sorted(ends, key=repr) == sorted(want, key=repr)
+
+
 def test_stages_on_an_empty_table(spark, make_docs, folder):
     none = make_docs([])
     for _, stage in pipeline.STAGES:
