@@ -4,8 +4,9 @@ One scan computes the base statistics, a hash of each text's lines (its content)
 of its lower-cased words and its number of words. Per host, a line's documents are the distinct contents that have it,
 and the host's size is its number of distinct contents: rows whose lines have the same lower-cased words are one document,
 all others are documents of their own, however much they share. Lines in more than ``max(MIN_DOCUMENTS, SHARE of the
-host's documents)`` documents are above the limit. They are removed, and a document that is left with fewer than
-``MIN_LEFT`` words or less than ``LEFT_SHARE`` of its words is depleted and rejected.
+host's documents)`` documents are above the limit. A document that is left with fewer than ``MIN_LEFT`` words or less than
+``LEFT_SHARE`` of its words without them is depleted and rejected. :func:`judge` gives the counts and verdicts,
+:func:`clean` the other documents without these lines.
 
 Counting is a distinct and a count, both combined before the shuffle, so a line or host with a third of all rows costs
 no skew. Null or empty texts have no words and fail the base rule. A null host is a host of its own. Repeated rows are
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armlift.llm.shared import broadcast_if_small, save, slices
+from armlift.llm.shared import broadcast_if_small, save, slices, text_or_empty
 from armlift.llm.words import Words, mix, windows
 
 MIN_DOCUMENTS = 20
@@ -34,7 +35,7 @@ BROADCAST_LINES = 500_000
 
 MEASURES = ("row bigint, doc_id bigint, text_hash bigint, host string, n_words bigint, word_chars bigint, n_symbols bigint, "
             "n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, "
-            "content bigint, lines array<struct<hash:bigint,words:int>>")
+            "content bigint, lines array<struct<hash:bigint,words:int,number:int>>")
 
 
 def repeated_words(h: np.ndarray, width: int = WINDOW) -> int:
@@ -55,15 +56,22 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def line_hashes(words: Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(first line of each row, hash, content of the row, words) of all lines with a word; ``h`` are lower-case word hashes."""
-    n = len(h)
+def line_heads(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, number in its row's text from 0) of all lines with a word."""
     breaks = np.flatnonzero(words.data == 10)
     line = np.searchsorted(breaks, words.start)
-    head = np.ones(n, bool)
+    head = np.ones(len(line), bool)
     head[1:] = line[1:] != line[:-1]
-    head[words.first[:-1][words.first[:-1] < n]] = True
+    head[words.first[:-1][words.first[:-1] < len(line)]] = True
     starts = np.flatnonzero(head)
+    row = np.searchsorted(words.first, starts, side="right") - 1
+    return starts, line[starts] - np.searchsorted(breaks, words.bounds[row])
+
+
+def line_hashes(words: Words, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first line of each row, hash, content of the row, words) of all lines with a word; ``h`` are lower-case word hashes."""
+    n = len(h)
+    starts, _ = line_heads(words)
     counts = np.diff(np.r_[starts, n])
     first = np.searchsorted(starts, words.first)
     if not n:
@@ -104,7 +112,8 @@ def _measure(batches, max_repeat_percent: int, min_words: int):
             repeats = np.array([repeated_words(exact[x:y]) for x, y in zip(raw.first[:-1], raw.first[1:])], np.int64)
             failed = (n_words < min_words) | (100 * repeats > max_repeat_percent * n_words)
             lines = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays(
-                [pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int32))], ["hash", "words"]))
+                [pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int32)),
+                 pa.array(line_heads(low)[1].astype(np.int32))], ["hash", "words", "number"]))
             yield pa.RecordBatch.from_arrays([
                 pa.array((part << 33) + row + np.arange(b - a)), *(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(n_words),
                 pa.array(in_word[raw.first[1:]] - in_word[raw.first[:-1]]),
@@ -114,12 +123,11 @@ def _measure(batches, max_repeat_percent: int, min_words: int):
             row += b - a
 
 
-def judge(
+def _verdicts(
     docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS,
     share: float = SHARE, min_left: int = MIN_LEFT, left_share: float = LEFT_SHARE, max_repeat_percent: int = 20,
     min_words: int = 10,
 ) -> DataFrame:
-    """Base statistics, ``words_left`` after the removal of frequent lines, and ``kept`` for every row."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(host).cast("string").alias("host"),
                        F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text")).select(
         "doc_id", "text_hash", "host", "text")
@@ -135,8 +143,47 @@ def judge(
     frequent = broadcast_if_small(save(frequent, "frequent"), BROADCAST_LINES)
     removed = lines.join(
         frequent, F.col("host").eqNullSafe(F.col("host_")) & (F.col("hash") == F.col("hash_"))).groupBy("row").agg(
-        F.sum("words").alias("removed"))
-    judged = measured.drop("lines", "host", "content").join(removed, "row", "left").withColumn(
+        F.sum("words").alias("removed"), F.collect_list("number").alias("removed_lines"))
+    judged = measured.drop("lines", "content").join(removed, "row", "left").withColumn(
         "words_left", F.col("n_words") - F.coalesce("removed", F.lit(0)))
     depleted = (F.col("words_left") < min_left) | (F.col("words_left") < left_share * F.col("n_words"))
     return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("row", "removed")
+
+
+def judge(docs: DataFrame, host: str = "source", *limits, **named) -> DataFrame:
+    """Base statistics, ``words_left`` after the removal of frequent lines, and ``kept`` for every row; limits are
+    those of :func:`_verdicts`."""
+    return _verdicts(docs, host, *limits, **named).drop("host", "removed_lines")
+
+
+def _without_lines(batches, place: int):
+    """Texts (at ``place``) without the lines numbered in the last column, which goes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for whole in batches:
+        for a, b in slices(pc.coalesce(pc.binary_length(whole.column(place)), 0).to_pylist(), SLICE_BYTES):
+            batch = whole.slice(a, b - a)
+            names, columns = batch.schema.names, batch.columns
+            if columns[-1].null_count < len(batch):
+                texts = columns[place].to_pylist()
+                for i, numbers in enumerate(columns[-1].to_pylist()):
+                    if numbers:
+                        gone = set(numbers)
+                        texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
+                columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns[:-1], names[:-1])
+
+
+def clean(docs: DataFrame, host: str = "source", *limits, **named) -> DataFrame:
+    """Kept rows of ``docs``, their texts without frequent lines; other columns, and texts without such lines, stay."""
+    # a verdict and its lines follow from host and text alone
+    edits = save(_verdicts(docs, host, *limits, **named).where("NOT kept OR removed_lines IS NOT NULL").select(
+        F.col("host").alias("host_"), F.col("text_hash").alias("hash_"), F.col("kept").alias("kept_"), F.expr(
+            "IF(kept, removed_lines, NULL)").alias("lines_")).dropDuplicates(["host_", "hash_"]), "edits")
+    size = edits.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce("lines_", F.array()))), F.lit(0))).first()[0]
+    match = docs[host].cast("string").eqNullSafe(edits["host_"]) & (
+        F.xxhash64(text_or_empty(docs["text"])) == edits["hash_"])
+    found = docs.join(F.broadcast(edits) if size <= BROADCAST_LINES else edits, match, "left").where(
+        F.coalesce("kept_", F.lit(True))).select(*(docs[c] for c in docs.columns), "lines_")
+    return found.mapInArrow(partial(_without_lines, place=docs.columns.index("text")), docs.schema)

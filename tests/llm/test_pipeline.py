@@ -49,6 +49,26 @@ def test_dedup_stage_leaves_unrelated_rows(spark, make_docs, folder):
     assert sorted(ends, key=repr) == sorted(want, key=repr)
 
 
+def test_rules_stage_takes_frequent_lines_out_of_the_text(spark, make_docs, folder):
+    rng = np.random.default_rng(8)
+
+    def prose(n):
+        return " ".join(f"w{x}" for x in rng.integers(0, 9000, n))
+
+    own = [f"  {prose(12)}\n\n{prose(9)} é\n" for _ in range(60)]
+    rows = [(k, f"Follow us \there\n{own[k]}follow US here", "a" if k < 40 else None) for k in range(60)]
+    rows += [(100, "Follow us here\n" + prose(20), "b"), (101, "follow us here", "a"), (102, None, "a")]
+    rows += [(103, rows[0][1], "b"), (0, rows[0][1], "b"), (104, f"{prose(12)} follow us here", "a")]
+    docs = make_docs(rows)
+    out = pipeline.apply_rules(spark, docs, folder)
+    assert out.schema == docs.schema
+    want = {(k, "a"): own[k].removesuffix("\n") for k in range(40)}
+    want |= {(i, s): t for i, t, s in rows if i in (100, 103, 104) or s is None or (i, s) == (0, "b")}
+    got = out.collect()
+    assert {(r.doc_id, r.source): r.text for r in got} == want and len(got) == len(want)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 def test_stages_on_an_empty_table(spark, make_docs, folder):
     none = make_docs([])
     for _, stage in pipeline.STAGES:
