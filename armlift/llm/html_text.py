@@ -32,15 +32,22 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>"
     r"|<[!?/][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(\bhidden\b)""")
+CLOSED = re.compile(r"(?<!=)(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/\Z")  # not the end of a bare value
 SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 # Fixed sets of HTML names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object audio video canvas select".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+# Elements whose content is not shown as text; they do not break the text around them.
+UNSEEN = frozenset("noscript template svg object audio video canvas select annotation annotation-xml".split())
+# Elements in which '/>' closes, the tags of HTML that end them, and the parts of them that hold HTML.
+FOREIGN = frozenset(("svg", "math"))
+INTEGRATION = frozenset("foreignobject desc annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html legend li listing main menu nav ol optgroup "
     "option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split())
+BREAKOUT = BLOCK | frozenset("b big br code em embed hr i img meta nobr ruby s small span strong strike sub sup tt u var".split())
 CHROME = frozenset("nav header footer aside form dialog menu button fieldset".split())
 NAMED_MAIN = frozenset(("article", "main"))
 CLOSES = {
@@ -87,6 +94,8 @@ class Dom:
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters inside links
         self._text: list[str] = []
         self._linked = 0
+        self._runs: list[tuple[list[str], int]] = []  # text begun around each open element that is not shown
+        self._foreign = 0
         stack: list[tuple[str, int]] = [("body", 0)]  # inline elements share their block's node
         self._stack, links, at, size = stack, 0, 0, len(page)
         while at < size:
@@ -104,6 +113,10 @@ class Dom:
             if close:
                 links -= self._close(name)
                 continue
+            if self._foreign and name in BREAKOUT:
+                links -= self._break_out()
+            if (self._foreign or name in FOREIGN) and CLOSED.search(rest):
+                continue
             if name == "br" or name == "wbr":
                 self._text.append("\n" if name == "br" else "")
                 continue
@@ -115,15 +128,21 @@ class Dom:
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = end.end() if end else size
                 continue
-            if not is_block(name):
+            self._foreign += name in FOREIGN
+            if name in UNSEEN:
+                self._runs.append((self._text, self._linked))
+                self._text, self._linked = [], 0
+            elif not is_block(name):
                 stack.append((name, stack[-1][1]))
                 links += name == "a"
                 continue
-            self._flush()
-            links -= self._implied(name)
+            else:
+                self._flush()
+                links -= self._implied(name)
             self.parent.append(stack[-1][1])
             self.names.append((name, rest))
             stack.append((name, len(self.parent) - 1))
+        self._pop_to(1)
         self._flush()
 
     def _add(self, raw: str, links: int) -> None:
@@ -141,8 +160,26 @@ class Dom:
             self._text, self._linked = [], 0
 
     def _pop_to(self, i: int) -> int:
-        gone = sum(n == "a" for n, _ in self._stack[i:])
-        del self._stack[i:]
+        gone = 0
+        while len(self._stack) > i:
+            name = self._stack[-1][0]
+            if name in UNSEEN or is_block(name):
+                self._flush()
+            if name in UNSEEN:
+                self._text, self._linked = self._runs.pop()
+            self._foreign -= name in FOREIGN
+            gone += name == "a"
+            self._stack.pop()
+        return gone
+
+    def _break_out(self) -> int:
+        """Close the drawings and formulas that a tag of HTML ends."""
+        gone = 0
+        for i in range(len(self._stack) - 1, 0, -1):
+            if self._stack[i][0] in INTEGRATION:
+                break
+            if self._stack[i][0] in FOREIGN:
+                gone += self._pop_to(i)
         return gone
 
     def _implied(self, name: str) -> int:
@@ -191,6 +228,12 @@ def _hints(rest: str) -> tuple[bool, bool, bool]:
     return against, favour, hidden
 
 
+def _traits(name: str, rest: str) -> tuple[bool, bool, bool]:
+    """Hints of an element; what is never shown is hidden."""
+    against, favour, hidden = _hints(rest) if rest else (False, False, False)
+    return against, favour, hidden or name in UNSEEN
+
+
 def edge_kind(chrome_above: bool, chrome: bool, block: bool) -> str:
     return "in_chrome" if chrome_above else "chrome" if chrome else "block" if block else "plain"
 
@@ -200,7 +243,7 @@ def is_chrome(features: list[float]) -> bool:
 
 
 def element_features(name: str, rest: str, hide: bool = False) -> list[float]:
-    against, favour, hidden = _hints(rest) if rest else (False, False, False)
+    against, favour, hidden = _traits(name, rest)
     main = name in NAMED_MAIN and not hide
     return [1.0, float(main), float(name in CHROME), float(against), float(favour and not hide), float(hidden),
             float(name in ("section", "div"))]
@@ -221,7 +264,7 @@ def labels_of(dom: Dom) -> list[bool] | None:
             state.append(False)
             continue
         above = state[dom.parent[i]]
-        against, _, hidden = _hints(rest) if rest else (False, False, False)
+        against, _, hidden = _traits(name, rest)
         if name in CHROME or against or hidden:
             state.append(False)
         elif name in NAMED_MAIN or 'role="main"' in rest:

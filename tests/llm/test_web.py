@@ -116,6 +116,23 @@ def test_other_pages(model, page):
     assert html_text.main_text(page, model[1]) == PAGES[page]
 
 
+SHOWN = "The first words of the story stand here for all.\nMore words of it follow here, up to the end."
+A, B = (f"<p>{x}</p>" for x in SHOWN.split("\n"))
+
+
+@pytest.mark.parametrize("page", [
+    f"<article>{A}<svg width='1'/>{B}</article>", f"<article>{A}<math/>{B}</article>", f"<article>{A}<svg><path/>{B}</article>",
+    f"<article>{A}<div><select><option>One choice<option>Another choice</div>{B}</article>",
+    f"<article>{A}<div><video src=a>No video for you, dear reader.</div>{B}</article>",
+    f"<article>{A}<div><canvas></div><object data=a><p>A text in place of the thing.</p></object>{B}</article>",
+    f"<article>{A}<noscript><p>Please switch scripts on for this.</p></noscript>{B}</article>",
+    f"<article>{A.replace('words of', 'words <svg><title>t</title><text>label</text></svg>of')}{B}</article>",
+    f"<article>{A.replace('all', '<math><mi>a</mi><mspace/><mi>l</mi><mo>l</mo><annotation>tex</annotation></math>')}{B}</article>",
+])
+def test_drawings_formulas_and_controls_take_nothing_else(model, page):
+    assert html_text.main_text(page, model[1]) == SHOWN
+
+
 def test_page_table_with_nulls(spark):
     pages = spark.createDataFrame(
         [(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<article><p>Hi there.</p></article>", "t"),
