@@ -33,7 +33,7 @@ TOKEN = re.compile(
     r"|<[!?/][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(\bhidden\b)""")
 CLOSED = re.compile(r"(?<!=)(?:^|[\s\"']|(?:^|\s)[^\s=\"']+)/\Z")  # not the end of a bare value
-SPLIT_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+SPLIT_NAME = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 # Fixed sets of HTML names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -55,12 +55,18 @@ CLOSES = {
     "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"),
 }
 CLOSE_LIMIT = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
-HINT_AGAINST = (
-    "nav", "menu", "breadcrumb", "sidebar", "side", "widget", "foot", "header", "masthead", "banner", "cookie",
-    "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "advert", "adsense", "promo", "sponsor", "share",
-    "social", "related", "recommend", "comment", "disqus", "repl", "respond", "subscri", "newsletter", "signup",
-    "login", "search", "form", "pag", "copyright", "legal", "toolbar", "teaser", "contentinfo", "complementary")
-HINT_WHOLE = frozenset(("ad", "ads", "adv", "tags", "meta", "byline", "dialog"))
+# Whole parts of names: a word that only begins like one (page, format, football, commentary) says nothing.
+HINT_AGAINST = frozenset(
+    "nav navs navbar navigation topnav subnav sidenav menu menus menubar submenu breadcrumb breadcrumbs sidebar sidebars "
+    "side widget widgets foot footer footers header headers masthead banner banners cookie cookies cookiebar "
+    "cookiebanner cookienotice consent gdpr notice notices alert alerts popup popups modal modals overlay overlays ad ads "
+    "adv advert adverts advertisement advertisements advertising adsense promo promos promotion promotions promoted "
+    "sponsor sponsors sponsored share shares sharing sharebar sharedaddy sharethis social socials related recommend "
+    "recommends recommended recommendation recommendations comment comments commentlist commentform commentbox "
+    "commentarea postcomments disqus reply replies replied respond subscribe subscribes subscriber subscribers "
+    "subscription subscriptions newsletter newsletters signup login search searchbar searchbox searchform form forms "
+    "pager pagers pagination paginator paginate paging pagenav pagenavi copyright legal toolbar toolbars teaser teasers "
+    "contentinfo complementary tags meta byline dialog".split())
 HINT_FOR = frozenset(
     "article main content post entry story body text maintext bodytext articlebody maincontent".split())
 
@@ -222,16 +228,16 @@ def _hints(rest: str) -> tuple[bool, bool, bool]:
         hidden |= bool(bare) or key == "aria-hidden" and value == "true"
         hidden |= key == "style" and "display:none" in value.replace(" ", "").lower()
         if key in ("class", "id", "role", "itemprop"):
-            for word in SPLIT_NAME.split(value.lower()):
-                against |= word in HINT_WHOLE or word.startswith(HINT_AGAINST) or "comment" in word
-                favour |= word in HINT_FOR
+            for word in [*SPLIT_NAME.split(value), *re.split("[^a-z0-9]+", value.lower())]:
+                against |= word.lower() in HINT_AGAINST
+                favour |= word.lower() in HINT_FOR
     return against, favour, hidden
 
 
 def _traits(name: str, rest: str) -> tuple[bool, bool, bool]:
-    """Hints of an element; what is never shown is hidden."""
+    """Hints of an element. Names on the whole page tell of its parts; what is never shown is hidden."""
     against, favour, hidden = _hints(rest) if rest else (False, False, False)
-    return against, favour, hidden or name in UNSEEN
+    return against and name not in ("html", "body"), favour, hidden or name in UNSEEN
 
 
 def edge_kind(chrome_above: bool, chrome: bool, block: bool) -> str:
@@ -264,15 +270,18 @@ def labels_of(dom: Dom) -> list[bool] | None:
             state.append(False)
             continue
         above = state[dom.parent[i]]
-        against, _, hidden = _traits(name, rest)
-        if name in CHROME or against or hidden:
+        against, favour, hidden = _traits(name, rest)
+        main = name in NAMED_MAIN or 'role="main"' in rest
+        # an article named like a comment or teaser within the main part is none; elsewhere the markup outweighs names
+        if name in CHROME or hidden or against and not (main and (favour or not above or name != "article")):
             state.append(False)
-        elif name in NAMED_MAIN or 'role="main"' in rest:
+        elif main:
             # an article below chrome (a reader's comment, a teaser) is not the main part
             outer = dom.parent[i]
             clear = True
             while outer > 0 and clear:
-                clear = dom.names[outer][0] not in CHROME and not _hints(dom.names[outer][1])[0]
+                up, text = dom.names[outer]
+                clear = up not in CHROME and (state[outer] or not _traits(up, text)[0]) and not _traits(up, text)[2]
                 outer = dom.parent[outer]
             state.append(clear)
             named |= clear

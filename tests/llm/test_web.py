@@ -133,6 +133,26 @@ def test_drawings_formulas_and_controls_take_nothing_else(model, page):
     assert html_text.main_text(page, model[1]) == SHOWN
 
 
+@pytest.mark.parametrize("wrap", [
+    '<body class="page page-id-2 has-sidebar"><div id="page">%s</div></body>', '<div class="formula">%s</div>',
+    '<div class="page-wrap"><div class="football">%s</div></div>', '<div class="commentary footnotes">%s</div>'])
+def test_names_that_only_begin_like_a_hint(model, wrap):
+    page = wrap % f'<main><article class="post format-standard">{A}{B}</article></main>'
+    assert html_text.main_text(page, model[1]) == SHOWN
+    dom = html_text.Dom(page)
+    state = html_text.labels_of(dom)
+    assert state is not None and all(state[i] for i, _, _ in dom.blocks)
+    assert html_text.main_text(wrap % (A + B), model[1]) == html_text.main_text(f"<div>{A}{B}</div>", model[1]) == SHOWN
+
+
+def test_named_parts_win_over_class_hints():
+    dom = html_text.Dom(f'<main class="legal"><article class="post has-sidebar">{A}</article><article class="comment">{B}</article></main>')
+    state = html_text.labels_of(dom)
+    assert [state[i] for i, _, _ in dom.blocks] == [True, False]
+    for names in ("siteHeader", "pagination", "comments-list", "navBar"):
+        assert html_text._hints(f'class="{names}"')[0]
+
+
 def test_page_table_with_nulls(spark):
     pages = spark.createDataFrame(
         [(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<article><p>Hi there.</p></article>", "t"),
