@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from armlift.llm import (
-    bpe, fingerprints, html_text, line_rules, near_dedup, packing, quality_model, token_counts, token_files, url_filter,
+    bpe, collocations, exact_dedup, fingerprints, html_text, line_rules, near_dedup, packing, quality_model, source_audit,
+    token_counts, token_files, url_filter,
 )
 
 
@@ -60,11 +61,26 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.verdicts(_table(spark, folder, "documents"))
+
+
+def op13_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.audit(_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_bpe, op3_near_dedup, op4_quality, op5_token_files, op6_token_counts, op7_fingerprints,
-    op8_html_text, op9_quality_rules, op10_packing,
+    op8_html_text, op9_quality_rules, op10_packing, op11_collocations, op12_exact_dedup, op13_source_audit,
 )}
 CHECKS: dict[str, str] = {
     "op1_url_filter": url_filter.check_sql(ALLOW, BLOCK),
     "op3_near_dedup": near_dedup.check_sql(),
+    "op11_collocations": collocations.check_sql(),
+    "op12_exact_dedup": exact_dedup.check_sql(),
+    "op13_source_audit": source_audit.check_sql(),
 }
