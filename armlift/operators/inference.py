@@ -104,7 +104,8 @@ def primary_test(m: DataFrame, options: Options) -> DataFrame:
     """Metric-aware effect, statistic, p-value and both intervals.
 
     Needs ``metric_type``. Heavy-tailed segments take their fit from the columns
-    ``fit_*`` when a model pass supplied them and the HC3 difference otherwise.
+    ``fit_*`` when a model pass supplied them and the HC3 difference otherwise; a
+    segment that the pass could not fit is marked as a fallback.
     """
     alpha, z = options.alpha, f"{z_quantile(1 - options.alpha / 2)!r}D"
     eps, small = f"{VARIANCE_EPSILON}D", MIN_SAMPLE
@@ -112,7 +113,8 @@ def primary_test(m: DataFrame, options: Options) -> DataFrame:
     m = cohens_d(m)
     if welch:
         m = welch_test(m, alpha)
-    if "fit_effect" not in m.columns:
+    fitted = "fit_effect" in m.columns
+    if not fitted:
         m = add(m, fit_effect="CAST(NULL AS DOUBLE)", fit_se="CAST(NULL AS DOUBLE)",
                 fit_raw_se="CAST(NULL AS DOUBLE)", fit_type="CAST(NULL AS STRING)")
     over = f"(mean_all > {eps} AND var_all > {OVERDISPERSION} * mean_all)"
@@ -129,7 +131,7 @@ def primary_test(m: DataFrame, options: Options) -> DataFrame:
             WHEN metric_type = 'count' AND mean_t > 0 AND mean_c > 0
                 THEN CASE WHEN {negative} THEN 'glm_negative_binomial' ELSE 'glm_poisson' END
             WHEN metric_type = 'heavy_tail' AND fit_effect IS NOT NULL THEN fit_type
-            WHEN metric_type IN ('binary', 'count') THEN 'ols_hc3_fallback'
+            WHEN metric_type IN ('binary', 'count'{", 'heavy_tail'" if fitted else ""}) THEN 'ols_hc3_fallback'
             ELSE '{"welch_t" if welch else "ols_hc3"}' END""")
     m = add(
         m,

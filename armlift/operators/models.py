@@ -1,7 +1,6 @@
-"""Models that need the rows: robust and log fits, and covariate adjustment.
+"""Two-arm models that need the rows: robust and log fits.
 
-Each pass is one grouped aggregation over all segments; only sums per segment
-reach Python, for a small linear solve.
+Each pass is one grouped aggregation over all segments.
 """
 
 from __future__ import annotations
@@ -13,23 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from armlift.config import Options
-from armlift.functions.guards import VARIANCE_EPSILON, sanitize_p, zero_if_tiny
-from armlift.functions.normal import two_sided, z_quantile
-from armlift.operators.families import OVERDISPERSION
-from armlift.operators.order_stats import LINEAR_STEPS, log_bucket, percentiles
+from armlift.operators.order_stats import LINEAR_STEPS, log_bucket
 from armlift.session import attach, stage
 
 # Fixed values of the robust fit.
 HUBER_T = 1.345
 MAD_SCALE = 0.6744897501960817
-MAX_ITERATIONS = 50
-TOLERANCE = 1e-8
 ZONE_REACH = 0.02
 REACH_STEP = 0.05
-HUBER_TOLERANCE = 1e-7
 SMALL_ZONE = 20_000
-SMALL_GROUP = 20_000  # values of a group in one map; Spark keeps at most 128 such maps in a task
 
 
 # --- Huber location shift of two arms -------------------------------------------------
@@ -173,307 +164,3 @@ def log_shift(rows: DataFrame, moments: DataFrame) -> DataFrame:
     return out.select(
         "segment", (c("l_t") - c("l_c")).alias("fit_effect"), F.sqrt(c("s_t") + c("s_c")).alias("fit_se"),
         raw.alias("fit_raw_se"), F.lit("ols_log1p_hc3").alias("fit_type"), smear.alias("fit_scale"))
-
-
-# --- covariate-adjusted models --------------------------------------------------------
-
-_SOLVED = "beta array<double>, inverse array<double>"
-
-
-def _unflatten(values, p: int) -> np.ndarray:
-    a = np.zeros((p, p))
-    a[np.triu_indices(p)] = values
-    return a + np.triu(a, 1).T
-
-
-def _solver(p: int):
-    """Weighted least squares from summed cross products; constant columns get 0."""
-
-    @F.pandas_udf(_SOLVED)
-    def solve(xx: pd.Series, xz: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b in zip(xx, xz, strict=True):
-            if a is None or b is None or np.any(~np.isfinite(np.asarray(a, float))):
-                out.append((None, None))
-                continue
-            m, v = _unflatten(np.asarray(a, dtype=float), p), np.asarray(b, dtype=float)
-            live = np.diag(m) > 1e-12 * max(np.max(np.diag(m)), 1e-300)
-            inv = np.zeros((p, p))
-            idx = np.ix_(live, live)
-            inv[idx] = np.linalg.pinv(m[idx])
-            out.append(((inv @ v).tolist(), inv.ravel().tolist()))
-        return pd.DataFrame(out, columns=["beta", "inverse"])
-
-    return solve
-
-
-def _sandwich(p: int):
-    @F.pandas_udf("double")
-    def variance(inverse: pd.Series, meat: pd.Series) -> pd.Series:
-        out = []
-        for inv, m in zip(inverse, meat, strict=True):
-            if inv is None or m is None:
-                out.append(np.nan)
-                continue
-            a = np.asarray(inv, dtype=float).reshape(p, p)
-            out.append((a @ _unflatten(np.asarray(m, dtype=float), p) @ a)[1, 1])
-        return pd.Series(out, dtype=float)
-
-    return variance
-
-
-def _quadratic(p: int):
-    @F.pandas_udf("double")
-    def form(inverse: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series([
-            np.nan if i is None or v is None else
-            float(np.asarray(v, float) @ np.asarray(i, float).reshape(p, p) @ np.asarray(v, float))
-            for i, v in zip(inverse, g, strict=True)], dtype=float)
-
-    return form
-
-
-def _dot(xs: list[Column], beta: str = "beta") -> Column:
-    total = F.element_at(beta, 1) * xs[0]
-    for i, x in enumerate(xs[1:], start=2):
-        total = total + F.element_at(beta, i) * x
-    return total
-
-
-def _cross(xs: list[Column], w: Column) -> list[Column]:
-    return [F.sum(w * xs[i] * xs[j]) for i in range(len(xs)) for j in range(i, len(xs))]
-
-
-def _extrapolated(b0: DataFrame, b1: DataFrame, b2: DataFrame) -> DataFrame:
-    """Aitken's step from three successive fits, kept only where it is moderate."""
-    both = b2.join(b1.select("segment", F.col("beta").alias("b1")), "segment").join(
-        b0.select("segment", F.col("beta").alias("b0")), "segment")
-    jump = """transform(beta, (b, i) -> b - coalesce(
-        (b - b1[i]) * (b - b1[i]) / nullif((b - b1[i]) - (b1[i] - b0[i]), 0D), 0D))"""
-    both = both.withColumn("jump", F.expr(jump))
-    return both.select("segment", F.expr(
-        "transform(beta, (b, i) -> CASE WHEN abs(jump[i] - b) <= 10 * abs(b - b1[i]) THEN jump[i] ELSE b END)"
-    ).alias("beta"), "inverse")
-
-
-def covariate_model(rows: DataFrame, moments: DataFrame, names: tuple[str, ...], options: Options) -> DataFrame:
-    """Treatment effect adjusted for covariates, one model per segment.
-
-    ``rows`` hold segment, arm, y and c0..; ``moments`` is staged with
-    ``metric_type``. Linear models take two scans; GLM and Huber fits iterate one
-    grouped scan at a time for all segments together until every segment settled.
-    A fit that does not settle (separated outcomes, say) is given up for the linear
-    model; ``covariate_model_converged`` and ``covariate_model_reason`` tell so, and
-    which covariates were left out for being constant.
-    """
-    k = len(names)
-    p = k + 2
-    covs = [f"c{i}" for i in range(k)]
-    c = F.col
-    complete = rows.where(" and ".join(f"{x} is not null" for x in ["y", *covs]))
-    over = (c("mean_all") > VARIANCE_EPSILON) & (c("var_all") > OVERDISPERSION * c("mean_all"))
-    wants_nb = {"negative_binomial": F.lit(True), "auto": over}.get(options.count_model, F.lit(False))
-    fixed = (c("var_t") <= VARIANCE_EPSILON) & (c("var_c") <= VARIANCE_EPSILON)
-    robust = "huber" if options.heavy_tail_strategy != "log_transform" else "log"
-    model = (
-        F.when(fixed | (c("n_t") < 2) | (c("n_c") < 2), "none")
-        .when((c("metric_type") == "binary") & (c("mean_all") > 0) & (c("mean_all") < 1), "binomial")
-        .when((c("metric_type") == "count") & (c("mean_all") > 0) & wants_nb, "nb")
-        .when((c("metric_type") == "count") & (c("mean_all") > 0), "poisson")
-        .when(c("metric_type") == "heavy_tail", robust)
-        .otherwise("ols")
-    )
-    shift = F.when(c("min") <= -1.0, F.abs("min") + 1.0).otherwise(1.0)
-    plan = stage(moments.select("segment", model.alias("model"), shift.alias("shift"), "mean_all")
-                 .where(c("model") != "none"))
-    scales = attach(complete, plan, ["segment"]).groupBy("segment").agg(
-        F.count(F.lit(1)).alias("n"), F.first("model").alias("model"), F.first("shift").alias("shift"),
-        F.first("mean_all").alias("mean_all"),
-        *[e for x in covs for e in (
-            F.avg(x).alias(f"m_{x}"), F.stddev_pop(x).alias(f"s_{x}"),
-            (F.min(x) < F.max(x)).alias(f"v_{x}"))])
-    scales = stage(scales)
-    kinds = {r[0] for r in scales.select("model").distinct().collect()}  # at most six names
-
-    def design(state: DataFrame) -> tuple[DataFrame, list[Column]]:
-        """Rows with per-segment state and standardised covariates x1.. ."""
-        data = attach(complete, state, ["segment"])
-        data = data.withColumns({
-            "x0": (c("arm") == "t").cast("double"),
-            **{f"x{i + 1}": F.when(c(f"v_{x}"), (c(x) - c(f"m_{x}")) / c(f"s_{x}")).otherwise(0.0)
-               for i, x in enumerate(covs)}})
-        target = F.when(c("model") == "log", F.log(c("y") + c("shift"))).otherwise(c("y"))
-        return data.withColumn("z0", target), [F.lit(1.0), *[c(f"x{i}") for i in range(p - 1)]]
-
-    def solve(data: DataFrame, xs: list[Column], w: Column, z: Column) -> DataFrame:
-        sums = data.groupBy("segment").agg(
-            F.array(*_cross(xs, w)).alias("xx"), F.array(*[F.sum(w * x * z) for x in xs]).alias("xz"))
-        fit = sums.withColumn("fit", _solver(p)("xx", "xz"))
-        return fit.select("segment", "fit.beta", "fit.inverse")
-
-    data, xs = design(scales)
-    one = F.lit(1.0)
-    ordinary = stage(solve(data, xs, one, c("z0")))
-    plain_inverse = ordinary.select("segment", c("inverse").alias("xtx_inverse"))
-    state = ordinary
-
-    # Largest relative step of a segment's coefficients.
-    change = F.aggregate(
-        F.zip_with("beta", "old", lambda a, b: F.abs(a - b) / (1 + F.abs(a))),
-        F.lit(0.0), lambda acc, v: F.greatest(acc, v))
-
-    def steps_between(new: DataFrame, old: DataFrame) -> DataFrame:
-        return stage(new.join(old.select("segment", c("beta").alias("old")), "segment", "right").select(
-            "segment", change.alias("step")))
-
-    def largest(steps: DataFrame) -> float | None:
-        """The largest step, or none where a fit broke down."""
-        step, broken = steps.agg(F.max("step"), F.count_if(c("step").isNull() | F.isnan("step"))).first()
-        return None if broken else step
-
-    # segments whose iteration ended without settling
-    lost: list[DataFrame] = []
-
-    def settled(fit: DataFrame, steps: DataFrame, tolerance: float) -> DataFrame:
-        good = stage(steps.where((c("step") < tolerance) & ~F.isnan("step")).select("segment"))
-        lost.append(steps.join(good, "segment", "left_anti").select("segment"))
-        return fit.join(good, "segment")
-
-    glm = c("model").isin("binomial", "poisson", "nb")
-    if kinds & {"binomial", "poisson", "nb"}:
-        start = F.when(c("model") == "binomial", (c("y") + 0.5) / 2).otherwise((c("y") + c("mean_all")) / 2)
-        link = F.when(c("model") == "binomial", F.log(c("mu") / F.nullif(1 - c("mu"), F.lit(0.0)))).otherwise(F.log("mu"))
-        slope = F.when(c("model") == "binomial", c("mu") * (1 - c("mu"))).otherwise(c("mu"))
-        weight = F.when(c("model") == "nb", c("mu") / (1 + c("mu"))).otherwise(slope)
-
-        def irls(data: DataFrame, xs: list[Column]) -> DataFrame:
-            return solve(data.where(glm), xs, weight, c("eta") + (c("y") - c("mu")) / F.nullif(slope, F.lit(0.0)))
-
-        first = data.withColumn("mu", start)
-        fit = stage(irls(first.withColumn("eta", link), xs))
-        for _ in range(MAX_ITERATIONS):
-            at, xs2 = design(scales.join(fit, "segment"))
-            at = at.withColumn("eta", _dot(xs2))
-            mean = F.when(c("model") == "binomial", 1 / (1 + F.exp(-c("eta")))).otherwise(F.exp("eta"))
-            new = stage(irls(at.withColumn("mu", mean), xs2))
-            moves = steps_between(new, fit)
-            fit = new
-            if (moved := largest(moves)) is not None and moved < TOLERANCE:
-                break
-        fit = settled(fit, moves, TOLERANCE)
-        state = ordinary.join(fit.select("segment"), "segment", "left_anti").unionByName(fit)
-
-    if "huber" in kinds:
-        def residuals(fit: DataFrame) -> tuple[DataFrame, list[Column]]:
-            at, xs2 = design(scales.join(fit, "segment"))
-            return at.withColumn("r", c("y") - _dot(xs2)), xs2
-
-        biggest = scales.where("model = 'huber'").agg(F.max("n")).first()[0]
-
-        def mad_of(at: DataFrame) -> DataFrame:
-            """Residual scale: the built-in percentile for groups of a proven size."""
-            size = at.select("segment", F.abs("r").alias("r"))
-            if biggest <= SMALL_GROUP:
-                mad = size.groupBy("segment").agg(F.percentile("r", 0.5).alias("mad"))
-            else:
-                mad = percentiles(size, ["segment"], "r", {"mad": 0.5})
-            return stage(mad.select("segment", (c("mad") / MAD_SCALE).alias("scale")))
-
-        fit = stage(ordinary.join(scales.where("model = 'huber'").select("segment"), "segment"))
-        steps = [fit]
-        for _ in range(MAX_ITERATIONS):
-            at, xs2 = residuals(fit)
-            at = attach(at, mad_of(at), ["segment"])
-            w = F.when(F.abs("r") <= HUBER_T * c("scale"), 1.0).otherwise(
-                HUBER_T * c("scale") / F.nullif(F.abs("r"), F.lit(0.0)))
-            new = stage(solve(at.where("scale > 0"), xs2, w, c("y")))
-            moves = steps_between(new, fit)
-            fit = new
-            if (moved := largest(moves)) is not None and moved < HUBER_TOLERANCE:
-                break
-            steps.append(new)
-            if len(steps) == 3:
-                fit = stage(_extrapolated(*steps))
-                steps = [fit]
-        fit = settled(fit, moves, HUBER_TOLERANCE)
-        fit = stage(fit.join(mad_of(residuals(fit)[0]), "segment"))
-        state = state.join(fit.select("segment"), "segment", "left_anti").select(
-            "*", F.lit(None).cast("double").alias("scale")).unionByName(fit)
-    if "scale" not in state.columns:
-        state = state.withColumn("scale", F.lit(None).cast("double"))
-
-    failed = F.lit(False)
-    scales = scales.withColumn("converged", ~failed)
-    if lost:
-        gone = lost[0] if len(lost) == 1 else lost[0].unionByName(lost[1])
-        scales = stage(scales.drop("converged").join(
-            gone.distinct().withColumn("converged", F.lit(False)), "segment", "left").withColumns({
-                "converged": F.coalesce("converged", F.lit(True))}).withColumn(
-                "model", F.when(c("converged"), c("model")).otherwise("ols")))
-
-    # Last scan: HC3 meat, robust sums and the gradient of the average marginal effect.
-    state = stage(state.join(plain_inverse, "segment"))
-    at, xs2 = design(scales.join(state, "segment"))
-    at = at.withColumn("eta", _dot(xs2))
-    h = F.lit(0.0)
-    for i in range(p):
-        for j in range(p):
-            h = h + F.element_at("xtx_inverse", i * p + j + 1) * xs2[i] * xs2[j]
-    at = at.withColumns({"h": h, "e": c("z0") - c("eta")})
-    w3 = c("e") * c("e") / F.nullif((1 - c("h")) * (1 - c("h")), F.lit(0.0))
-    r = c("e") / F.nullif(c("scale"), F.lit(0.0))
-    inner = F.abs(r) <= HUBER_T
-    b1 = F.element_at("beta", 2)
-    eta0 = c("eta") - b1 * c("x0")
-    eta1 = eta0 + b1
-
-    def slope_at(eta: Column) -> Column:
-        m = 1 / (1 + F.exp(-eta))
-        return F.when(c("model") == "binomial", m * (1 - m)).when(
-            c("model").isin("poisson", "nb", "log"), F.exp(eta)).otherwise(1.0)
-
-    at = at.withColumns({"d1": slope_at(eta1), "d0": slope_at(eta0)})
-    grads = [F.avg(c("d1") * (F.lit(1.0) if i == 1 else x) - c("d0") * (F.lit(0.0) if i == 1 else x))
-             for i, x in enumerate(xs2)]
-    final = at.groupBy("segment").agg(
-        F.array(*_cross(xs2, w3)).alias("meat"),
-        F.sum(F.when(inner, r * r).otherwise(HUBER_T * HUBER_T)).alias("psi2"),
-        F.avg(inner.cast("double")).alias("inner"),
-        F.array(*grads).alias("gradient"),
-        F.avg(F.when(c("model") == "log", F.exp("e"))).alias("smear"),
-    )
-    out = final.join(state, "segment").join(scales.select("segment", "n", "model", "converged", *[f"v_{x}" for x in covs]), "segment")
-    share = F.nullif(c("inner"), F.lit(0.0))
-    correction = 1 + (p * 1.0) / c("n") * (share * (1 - share)) / (share * share)
-    tt = F.element_at("inverse", p + 2)
-    used = F.array_compact(F.array(*[F.when(c(f"v_{x}"), F.lit(n)) for x, n in zip(covs, names, strict=True)]))
-    flat = F.array_compact(F.array(*[F.when(~c(f"v_{x}"), F.lit(n)) for x, n in zip(covs, names, strict=True)]))
-    reason = F.concat_ws("; ", F.when(~c("converged"), "model_fit_failed_fallback_to_ols"),
-                         F.when(F.size(flat) > 0, F.concat(F.lit("constant_covariates:"), F.concat_ws(",", flat))))
-    hc3 = _sandwich(p)(c("xtx_inverse"), c("meat"))
-    out = out.withColumns({"_hc3": hc3, "_gvg": _quadratic(p)(c("inverse"), c("gradient")), "used": used})
-    xtx_tt = F.element_at("xtx_inverse", p + 2)
-    h1 = correction * correction * (c("psi2") / F.nullif(c("n") - p, F.lit(0)) * c("scale") * c("scale")) / (share * share) * xtx_tt
-    variance = F.when(c("model").isin("ols", "log"), c("_hc3")).when(c("model") == "huber", h1).otherwise(tt)
-    out = out.withColumns({"_b": zero_if_tiny(F.element_at("beta", 2)), "_s": F.sqrt(variance)})
-    out = out.withColumn("_z", c("_b") / F.nullif(c("_s"), F.lit(0.0)))
-    out = out.withColumn("_p", F.expr(two_sided("_z")))
-    half = F.lit(z_quantile(1 - options.alpha / 2)) * c("_s")
-    scale_name = (F.when(c("model") == "binomial", "log_odds").when(c("model").isin("poisson", "nb"), "log_rate")
-                  .when(c("model") == "log", "log_mean_difference").when(c("model") == "huber", "location_shift")
-                  .otherwise("mean_difference"))
-    type_name = (F.when(c("model") == "binomial", "glm_binomial").when(c("model") == "poisson", "glm_poisson")
-                 .when(c("model") == "nb", "glm_negative_binomial").when(c("model") == "log", "ols_log1p_hc3")
-                 .when(c("model") == "huber", "rlm_huber").otherwise("ols_hc3"))
-    ratio = c("model").isin("binomial", "poisson", "nb", "log")
-    return out.select(
-        "segment", (F.size("used") > 0).alias("covariate_adjustment_applied"), c("used").alias("covariates_used"),
-        c("_b").alias("covariate_adjusted_effect"),
-        sanitize_p(c("_p")).alias("covariate_adjusted_p_value"),
-        (c("_b") - half).alias("covariate_adjusted_ci_lower"), (c("_b") + half).alias("covariate_adjusted_ci_upper"),
-        type_name.alias("covariate_adjusted_model_type"), scale_name.alias("covariate_adjusted_effect_scale"),
-        F.when(ratio, F.exp("_b")).otherwise(1.0).alias("covariate_adjusted_effect_exponentiated"),
-        F.when(glm, F.sqrt("_gvg")).alias("average_marginal_effect_se"),
-        c("n").alias("covariate_adjusted_rows"), c("converged").alias("covariate_model_converged"),
-        reason.alias("covariate_model_reason"),
-    )

@@ -13,9 +13,10 @@ from armlift.operators import inference as inf
 from armlift.operators.arms import analysis_rows, mark_overall
 from armlift.operators.balance import rebalance_control
 from armlift.operators.bayes import bayesian_test
+from armlift.operators.covariates import covariate_model
 from armlift.operators.duplicates import duplicate_units
 from armlift.operators.families import metric_family
-from armlift.operators.models import covariate_model, huber_shift, log_shift
+from armlift.operators.models import huber_shift, log_shift
 from armlift.operators.moments import (
     aligned_rows, enough, failures, segment_moments,
 )
@@ -181,6 +182,9 @@ def _with_covariates(results: DataFrame, adjusted: DataFrame | None) -> DataFram
         "covariate_adjusted_model_type": (F.lit("none"), "string"),
         "covariate_adjusted_effect_scale": (c("model_effect_scale"), "string"),
         "covariate_adjusted_effect_exponentiated": (c("model_effect_exponentiated"), "double"),
+        "average_marginal_effect_se": (F.lit(None).cast("double"), "double"),
+        "covariate_raw_ci_lower": (c("ci_lower"), "double"),
+        "covariate_raw_ci_upper": (c("ci_upper"), "double"),
         "covariate_model_converged": (F.lit(None).cast("boolean"), "boolean"),
         "covariate_model_reason": (F.lit(""), "string"),
     }

@@ -92,36 +92,68 @@ def power_columns(base: str, target: float = 0.8, steps: int = 160) -> str:
             FROM pp GROUP BY segment)"""
 
 
+# Inverse of a symmetric 3 x 3 matrix s00..s22, over its determinant.
+DET = "(s00*(s11*s22 - s12*s12) - s01*(s01*s22 - s12*s02) + s02*(s01*s12 - s11*s02))"
+INVERSE = {
+    "00": "(s11*s22 - s12*s12)", "01": "(s12*s02 - s01*s22)", "02": "(s01*s12 - s11*s02)",
+    "11": "(s00*s22 - s02*s02)", "12": "(s01*s02 - s00*s12)", "22": "(s00*s11 - s01*s01)"}
+SOLVED = [" + ".join(f"{INVERSE[''.join(sorted((i, j)))]}*r{j}" for j in "012") for i in "012"]
+CROSS = ("s00", "1"), ("s01", "t"), ("s02", "x"), ("s11", "t*t"), ("s12", "t*x"), ("s22", "x*x")
+THREE = """d AS (SELECT segment, CASE WHEN grp = 'treatment' THEN 1.0::DOUBLE ELSE 0.0 END AS t, CAST({y} AS DOUBLE) AS y,
+            ({x} - avg({x}) OVER w)/stddev_pop({x}) OVER w AS x FROM raw WHERE {y} IS NOT NULL AND {x} IS NOT NULL
+            WINDOW w AS (PARTITION BY segment))"""
+
+
 def irls(view: str, y: str, x: str, kind: str, rounds: int = 14) -> str:
-    """CTEs to f (segment, n, b, se): treatment coefficient of a GLM on arm and one covariate, by Newton steps.
+    """CTEs to f (segment, n, b, se, ame, raw): treatment coefficient of a GLM on arm and one covariate, by Newton steps,
+    and the error of the average marginal effect by the delta method.
 
-    ``kind`` is 'binomial' or 'nb' (log link, dispersion 1). The covariate is standardised, which changes neither.
+    ``kind`` is 'binomial' or 'nb' (log link, dispersion 1). The covariate is standardised, which changes none of them.
     """
     if kind == "binomial":
-        mu, w, start = "1/(1 + exp(-eta))", "mu*(1 - mu)", "ln(avg(y)/(1 - avg(y)))"
+        mu, w, start, slope = "1/(1 + exp(-eta))", "mu*(1 - mu)", "ln(avg(y)/(1 - avg(y)))", "exp(-{e})/power(1 + exp(-{e}), 2)"
         z = "eta + (y - mu)/(mu*(1 - mu))"
     else:
-        mu, w, z, start = "exp(eta)", "mu/(1 + mu)", "eta + (y - mu)/mu", "ln(avg(y))"
-    det = "(s00*(s11*s22 - s12*s12) - s01*(s01*s22 - s12*s02) + s02*(s01*s12 - s11*s02))"
-    b0 = f"(r0*(s11*s22 - s12*s12) - s01*(r1*s22 - s12*r2) + s02*(r1*s12 - s11*r2))/{det}"
-    b1 = f"(s00*(r1*s22 - r2*s12) - r0*(s01*s22 - s12*s02) + s02*(s01*r2 - r1*s02))/{det}"
-    b2 = f"(s00*(s11*r2 - s12*r1) - s01*(s01*r2 - r1*s02) + r0*(s01*s12 - s11*s02))/{det}"
-    sums = ", ".join(f"sum(w*{a}) AS {n}" for n, a in (
-        ("s00", "1"), ("s01", "t"), ("s02", "x"), ("s11", "t*t"), ("s12", "t*x"), ("s22", "x*x"), ("r0", "z"),
-        ("r1", "t*z"), ("r2", "x*z")))
+        mu, w, z, start, slope = "exp(eta)", "mu/(1 + mu)", "eta + (y - mu)/mu", "ln(avg(y))", "exp({e})"
+    sums = ", ".join(f"sum(w*{a}) AS {n}" for n, a in (*CROSS, ("r0", "z"), ("r1", "t*z"), ("r2", "x*z")))
     at = f"""(SELECT *, {z} AS z FROM (SELECT *, {w} AS w FROM (SELECT *, {mu} AS mu FROM (
         SELECT k, d.segment, t, x, y, b0 + b1*t + b2*x AS eta FROM it JOIN d ON d.segment = it.segment))))"""
     last = at.replace("FROM it JOIN d ON d.segment = it.segment", f"FROM it JOIN d ON d.segment = it.segment AND k = {rounds}")
-    return f"""WITH RECURSIVE raw AS ({view}),
-        d AS (SELECT segment, CASE WHEN grp = 'treatment' THEN 1.0::DOUBLE ELSE 0.0 END AS t, CAST({y} AS DOUBLE) AS y,
-            ({x} - avg({x}) OVER w)/stddev_pop({x}) OVER w AS x FROM raw WINDOW w AS (PARTITION BY segment)),
+    marginal = " + ".join(f"{1 if i == j else 2}*g{i}*g{j}*{INVERSE[i + j]}" for i in "012" for j in "012" if i <= j)
+    return f"""WITH RECURSIVE raw AS ({view}), {THREE.format(y=y, x=x)},
         it(k, segment, b0, b1, b2) AS (
             SELECT 0, segment, {start}, 0.0::DOUBLE, 0.0::DOUBLE FROM d GROUP BY segment UNION ALL
-            SELECT k + 1, segment, {b0}, {b1}, {b2} FROM (SELECT k, segment, {sums} FROM {at} GROUP BY k, segment)
-            WHERE k < {rounds}),
+            SELECT k + 1, segment, ({SOLVED[0]})/{DET}, ({SOLVED[1]})/{DET}, ({SOLVED[2]})/{DET}
+            FROM (SELECT k, segment, {sums} FROM {at} GROUP BY k, segment) WHERE k < {rounds}),
         g AS (SELECT segment, count(*) AS n, {sums} FROM {last} GROUP BY segment),
-        f AS (SELECT g.segment, g.n, b1 AS b, sqrt((s00*s22 - s02*s02)/{det}) AS se FROM g JOIN it
-            ON it.segment = g.segment AND it.k = {rounds})"""
+        e AS (SELECT d.segment, t, x, y, {slope.format(e='(b0 + b1 + b2*x)')} AS d1, {slope.format(e='(b0 + b2*x)')} AS d0
+            FROM it JOIN d ON d.segment = it.segment AND k = {rounds}),
+        m AS (SELECT segment, avg(d1 - d0) AS g0, avg(d1) AS g1, avg((d1 - d0)*x) AS g2,
+            avg(y) FILTER (t = 1) - avg(y) FILTER (t = 0) AS raw FROM e GROUP BY segment),
+        f AS (SELECT g.segment, g.n, b1 AS b, sqrt({INVERSE['11']}/{DET}) AS se, sqrt(({marginal})/{DET}) AS ame, raw
+            FROM g JOIN it ON it.segment = g.segment AND it.k = {rounds} JOIN m ON m.segment = g.segment)"""
+
+
+def huber_fit(view: str, y: str, x: str, rounds: int = 60) -> str:
+    """CTEs to f (segment, n, b, se): Huber fit with MAD scale on arm and one covariate, by reweighting all rows."""
+    tune, mad = "1.345", "0.6744897501960817"
+    sums = ", ".join(f"sum(w*{a}) AS {n}" for n, a in (*CROSS, ("r0", "y"), ("r1", "t*y"), ("r2", "x*y")))
+    residual = "(d.y - b0 - b1*d.t - b2*d.x)"
+    return f"""WITH RECURSIVE raw AS ({view}), {THREE.format(y=y, x=x)},
+        a AS (SELECT segment, avg(y) AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM d GROUP BY segment),
+        it(k, segment, b0, b1, b2, s) AS (
+            SELECT 0, d.segment, max(b0), max(b1), max(b2), median(abs({residual}))/{mad} FROM d JOIN a ON a.segment = d.segment
+            GROUP BY d.segment UNION ALL
+            SELECT k + 1, d.segment, max(b0), max(b1), max(b2), median(abs({residual}))/{mad} FROM (
+                SELECT k, segment, ({SOLVED[0]})/{DET} AS b0, ({SOLVED[1]})/{DET} AS b1, ({SOLVED[2]})/{DET} AS b2 FROM (
+                    SELECT k, segment, {sums} FROM (SELECT k, d.segment, t, x, y, least(1, {tune}*s/abs({residual})) AS w
+                        FROM it JOIN d ON d.segment = it.segment WHERE k < {rounds}) GROUP BY k, segment)) q
+            JOIN d ON d.segment = q.segment GROUP BY k, d.segment),
+        e AS (SELECT d.segment, t, x, 1.0::DOUBLE AS w, b1, s, {residual}/s AS r FROM it JOIN d ON d.segment = it.segment
+            AND k = {rounds}),
+        g AS (SELECT segment, count(*) AS n, max(b1) AS b, max(s) AS s, avg(CASE WHEN abs(r) <= {tune} THEN 1.0 ELSE 0.0 END) AS sh,
+            sum(least(r*r, {tune}*{tune})) AS psi2, {', '.join(f'sum(w*{q}) AS {n}' for n, q in CROSS)} FROM e GROUP BY segment),
+        f AS (SELECT segment, n, b, (1 + 3.0/n*(sh*(1 - sh))/(sh*sh)) * sqrt(psi2/(n - 3)*s*s/(sh*sh)*{INVERSE['11']}/{DET}) AS se FROM g)"""
 
 
 def huber(view: str, rounds: int = 60) -> str:

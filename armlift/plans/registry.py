@@ -22,9 +22,10 @@ from armlift.operators import presentation, profile
 from armlift.operators.arms import analysis_rows, segment_slice, split_arms
 from armlift.operators.balance import rebalance_control
 from armlift.operators.bayes import bayesian_test
+from armlift.operators.covariates import covariate_model
 from armlift.operators.duplicates import duplicate_units
 from armlift.operators.families import metric_family
-from armlift.operators.models import covariate_model, huber_shift, log_shift
+from armlift.operators.models import huber_shift, log_shift
 from armlift.operators.moments import (
     aligned_rows, arm_moments, conversion_rates, difference_in_differences, enough, failures,
     segment_moments, unit_rollup,
@@ -865,29 +866,60 @@ LATE = f"""SELECT o_orderkey, o_orderpriority AS segment, {views.ARM.format(key=
     CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders"""
 
 
-ADJUSTED = f""" SELECT segment, true AS covariate_adjustment_applied, {r(6, covariate_adjusted_effect='b',
-    covariate_adjusted_p_value=checks.both_tails('b/se'), covariate_adjusted_ci_lower=f'b - {Z}*se',
-    covariate_adjusted_ci_upper=f'b + {Z}*se')}, '{{type}}' AS covariate_adjusted_model_type,
-    '{{scale}}' AS covariate_adjusted_effect_scale, {r(6, covariate_adjusted_effect_exponentiated='exp(b)')},
-    n AS covariate_adjusted_rows, true AS covariate_model_converged, '' AS covariate_model_reason FROM f"""
-UNCHECKED = ("covariates_used", "average_marginal_effect_se")
+def _adjusted_sql(name: str, model: str, scale: str, digits: int = 6, marginal: bool = True) -> str:
+    more = (r(digits, average_marginal_effect_se="ame", covariate_raw_ci_lower=f"raw - {Z}*ame",
+              covariate_raw_ci_upper=f"raw + {Z}*ame") if marginal else "CAST(NULL AS DOUBLE) AS average_marginal_effect_se, "
+            + r(digits, covariate_raw_ci_lower=f"b - {Z}*se", covariate_raw_ci_upper=f"b + {Z}*se"))
+    return f""" SELECT segment, true AS covariate_adjustment_applied, '{name}' AS covariates_used, {r(
+        digits, covariate_adjusted_effect='b', covariate_adjusted_p_value=checks.both_tails('b/se'),
+        covariate_adjusted_ci_lower=f'b - {Z}*se', covariate_adjusted_ci_upper=f'b + {Z}*se')},
+        '{model}' AS covariate_adjusted_model_type, '{scale}' AS covariate_adjusted_effect_scale,
+        {r(digits, covariate_adjusted_effect_exponentiated='exp(b)' if marginal else '1.0::DOUBLE')}, {more},
+        n AS covariate_adjusted_rows, true AS covariate_model_converged, '' AS covariate_model_reason FROM f"""
 
 
-@query("covariate_logit", checks.irls(LATE, "y", "price", "binomial") + ADJUSTED.format(type="glm_binomial", scale="log_odds"))
+def _adjusted(spark, d, sql, roles, name, options, digits: int = 6) -> DataFrame:
+    found = _covariates(spark, d, sql, roles, (name,), options)
+    return rounded(found.withColumn("covariates_used", F.concat_ws(",", "covariates_used")), digits)
+
+
+@query("covariate_logit", checks.irls(LATE, "y", "price", "binomial") + _adjusted_sql("price", "glm_binomial", "log_odds"))
+def _(spark, d):
+    return _adjusted(spark, d, LATE, views.roles(covariates=("price",)), "price", Options())
+
+
+@query("covariate_count", checks.irls(views.LINES, "y", "l_discount", "nb")
+       + _adjusted_sql("l_discount", "glm_negative_binomial", "log_rate"))
 def _(spark, d):
-    return rounded(_covariates(spark, d, LATE, views.roles(covariates=("price",)), ("price",), Options()).drop(*UNCHECKED))
+    return _adjusted(spark, d, views.LINES, views.roles(covariates=("l_discount",)), "l_discount", Options())
 
 
-@query("covariate_count", checks.irls(views.LINES, "y", "l_discount", "nb") + ADJUSTED.format(type="glm_negative_binomial", scale="log_rate"))
+@query("covariate_huber", checks.huber_fit(views.CUSTOMERS, "post", "c_acctbal")
+       + _adjusted_sql("c_acctbal", "rlm_huber", "location_shift", 3, marginal=False))
 def _(spark, d):
-    return rounded(_covariates(spark, d, views.LINES, views.roles(covariates=("l_discount",)), ("l_discount",),
-                               Options()).drop(*UNCHECKED))
+    return _adjusted(spark, d, views.CUSTOMERS, views.roles(outcome="post", covariates=("c_acctbal",)), "c_acctbal",
+                     Options(metric_type="heavy_tail"), 3)
+
 
+# One segment's outcome is decided by the covariate, and a second covariate repeats the first.
+SPLIT = f"""SELECT o_orderpriority AS segment, {views.ARM.format(key='o_custkey')} AS grp, o_totalprice AS price,
+    2 * o_totalprice AS twice, CASE WHEN o_orderpriority LIKE '1%' THEN CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END
+    WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders"""
 
-@query("covariate_huber")
+
+@query("covariate_fallbacks", checks.irls(SPLIT.replace("FROM orders", "FROM orders WHERE o_orderpriority NOT LIKE '1%'"),
+                                          "y", "price", "binomial") + f""" SELECT segment, 'price' AS covariates_used,
+    'glm_binomial' AS covariate_adjusted_model_type, {r(6, covariate_adjusted_effect='b')}, true AS covariate_model_converged,
+    'collinear_covariates:twice' AS covariate_model_reason FROM f UNION ALL SELECT segment, 'price', 'ols_hc3',
+    round((covar_pop(t, y) - covar_pop(t, x)*covar_pop(x, y)/var_pop(x)) / (var_pop(t) - covar_pop(t, x)*covar_pop(t, x)/var_pop(x)), 6),
+    false, 'model_fit_failed_fallback_to_ols; separated_outcomes; collinear_covariates:twice'
+    FROM (SELECT segment, CASE WHEN grp = 'treatment' THEN 1.0 ELSE 0.0 END AS t, price AS x, y FROM ({SPLIT}) WHERE segment LIKE '1%')
+    GROUP BY segment""")
 def _(spark, d):
-    return rounded(_covariates(spark, d, views.CUSTOMERS, views.roles(outcome="post", covariates=("c_acctbal",)),
-                               ("c_acctbal",), Options(metric_type="heavy_tail")).drop("covariates_used"), 3)
+    found = _covariates(spark, d, SPLIT, views.roles(covariates=("price", "twice")), ("price", "twice"), Options())
+    return rounded(found.select("segment", F.concat_ws(",", "covariates_used").alias("covariates_used"),
+                                "covariate_adjusted_model_type", "covariate_adjusted_effect", "covariate_model_converged",
+                                "covariate_model_reason"))
 
 
 # --- multiplicity, sequential, presentation -----------------------------------------------

@@ -11,9 +11,9 @@ from armlift.config import Options, Roles, Sequential, parse_covariates, resolve
 from armlift.operators import inference as inf
 from armlift.operators.arms import analysis_rows
 from armlift.operators.bayes import bayesian_test
+from armlift.operators.covariates import covariate_model
 from armlift.operators.duplicates import duplicate_units
 from armlift.operators.families import metric_family
-from armlift.operators.models import covariate_model
 from armlift.operators.moments import aligned_rows, enough, failures, segment_moments
 from armlift.operators.multiplicity import sequential
 from armlift.operators.ratio import ratio_metric
@@ -260,6 +260,130 @@ def test_covariate_names(spark):
     assert resolve_covariates(df, roles) == ("age", "pre")
 
 
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    out = run()
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def fits(spark, df, names, **options):
+    roles = Roles("grp", "y", "t", "c", segment="segment", covariates=names)
+    o = Options(**options)
+    rows = analysis_rows(spark.createDataFrame(df), roles, covariates=names)
+    m = stage(metric_family(enough(segment_moments(rows)), rows, o))
+    return {r.segment: r for r in covariate_model(aligned_rows(rows, m), m, names, o).collect()}
+
+
+def trial(n, seed, y, segment="s", **columns):
+    rng = np.random.default_rng(seed)
+    x, g = rng.normal(50, 9, n), (np.arange(n) % 3 == 0).astype(float)
+    df = pd.DataFrame({"segment": segment, "grp": np.where(g == 1, "t", "c"), "x": x})
+    df["y"] = y(rng, g, (x - 50) / 9)
+    for k, f in columns.items():
+        df[k] = f(rng, x)
+    return df
+
+
+def test_huber_with_covariates_matches_reweighting(spark):
+    df = trial(700, 5, lambda r, g, x: 3 + g + 2 * x + r.standard_t(2, 700) + 5 * (r.random(700) < 0.2),
+               z=lambda r, x: r.exponential(2, len(x)))
+    row = fits(spark, df, ("x", "z"), metric_type="heavy_tail")["s"]
+    X = np.c_[np.ones(700), df.grp == "t", df.x, df.z].astype(float)
+    y, b = df.y.to_numpy(), np.linalg.lstsq(np.c_[np.ones(700), df.grp == "t", df.x, df.z].astype(float), df.y, rcond=None)[0]
+    for _ in range(400):
+        r = y - X @ b
+        s = np.median(np.abs(r)) / 0.6744897501960817
+        w = np.minimum(1, 1.345 * s / np.abs(r))
+        b = np.linalg.solve((X.T * w) @ X, (X.T * w) @ y)
+    r = (y - X @ b) / s
+    share = np.mean(np.abs(r) <= 1.345)
+    k = 1 + 4 / 700 * (share * (1 - share)) / share**2
+    se = k * np.sqrt(np.sum(np.minimum(r * r, 1.345**2)) / 696 * s * s / share**2 * np.linalg.inv(X.T @ X)[1, 1])
+    assert row.covariate_adjusted_model_type == "rlm_huber" and row.covariate_model_converged
+    assert row.covariate_adjusted_effect == pytest.approx(b[1], abs=1e-6)
+    assert row.covariate_adjusted_ci_upper == pytest.approx(b[1] + 1.959963984540054 * se, abs=1e-5)
+
+
+def test_huber_with_covariates_on_hard_shapes(spark):
+    bimodal = trial(600, 6, lambda r, g, x: np.where(r.random(600) < 0.5, -10, 10) + r.normal(size=600) + g, "bimodal")
+    constant = trial(600, 7, lambda r, g, x: np.where(r.random(600) < 0.7, 4.0, 4 + r.exponential(9, 600)), "constant")
+    got = fits(spark, pd.concat([bimodal, constant]), ("x",), metric_type="heavy_tail")
+    for row in got.values():  # settled, or the linear model with the reason
+        assert row.covariate_model_converged == (row.covariate_adjusted_model_type == "rlm_huber")
+        assert row.covariate_model_converged or row.covariate_model_reason == "model_fit_failed_fallback_to_ols"
+        assert math.isfinite(row.covariate_adjusted_ci_lower)
+
+
+def test_marginal_effect_errors_match_the_delta_method(spark):
+    rate = lambda g, x: 1 / (1 + np.exp(0.4 - 0.8 * g - 0.5 * x))
+    df = trial(900, 8, lambda r, g, x: (r.random(900) < rate(g, x)).astype(float))
+    row = fits(spark, df, ("x",), metric_type="binary")["s"]
+    X = np.c_[np.ones(900), df.grp == "t", (df.x - 50) / 9].astype(float)
+    b, y = np.zeros(3), df.y.to_numpy()
+    for _ in range(30):
+        m = 1 / (1 + np.exp(-X @ b))
+        b = b + np.linalg.solve((X.T * (m * (1 - m))) @ X, X.T @ (y - m))
+    cov = np.linalg.inv((X.T * (m * (1 - m))) @ X)
+    one, none = X.copy(), X.copy()
+    one[:, 1], none[:, 1] = 1, 0
+    d1, d0 = (1 / (1 + np.exp(-Z @ b)) for Z in (one, none))
+    g = np.mean((d1 * (1 - d1))[:, None] * one - (d0 * (1 - d0))[:, None] * none, axis=0)
+    raw, se = y[X[:, 1] == 1].mean() - y[X[:, 1] == 0].mean(), math.sqrt(g @ cov @ g)
+    assert row.average_marginal_effect_se == pytest.approx(se, rel=1e-6)
+    assert row.covariate_raw_ci_lower == pytest.approx(raw - 1.959963984540054 * se, rel=1e-6)
+
+    df["y"] = np.exp(0.3 * X[:, 1] + 0.4 * X[:, 2] + np.random.default_rng(9).normal(0, 1, 900)) - 1
+    row = fits(spark, df, ("x",), metric_type="heavy_tail", heavy_tail_strategy="log_transform")["s"]
+    z = np.log(df.y.to_numpy() + 1)
+    inv = np.linalg.inv(X.T @ X)
+    b = inv @ X.T @ z
+    h = np.einsum("ij,jk,ik->i", X, inv, X)
+    u = (z - X @ b) / (1 - h)
+    cov, smear = inv @ ((X.T * u**2) @ X) @ inv, np.mean(np.exp(z - X @ b))
+    g = smear * np.mean(np.exp(one @ b)[:, None] * one - np.exp(none @ b)[:, None] * none, axis=0)
+    assert row.covariate_adjusted_model_type == "ols_log1p_hc3"
+    assert row.average_marginal_effect_se == pytest.approx(math.sqrt(g @ cov @ g), rel=1e-6)
+
+
+@pytest.mark.parametrize("kind", ["complete", "quasi", "arm", "count"])
+def test_separated_segments_leave_early(spark, kind):
+    outcome = {
+        "complete": lambda r, g, x: (x > 0.2).astype(float),
+        "quasi": lambda r, g, x: np.where(x > 1, 1.0, (r.random(len(x)) < 0.4)).astype(float) * (x > -9),
+        "arm": lambda r, g, x: np.where(g == 1, 1.0, (r.random(len(x)) < 0.4)).astype(float),
+        "count": lambda r, g, x: np.where(g == 1, 0.0, r.poisson(2.0, len(x)))}[kind]
+    mixed = trial(600, 3, lambda r, g, x: (r.random(600) < 0.4 + 0.1 * g).astype(float) if kind != "count" else r.poisson(3.0, 600), "mixed")
+    split = trial(600, 4, outcome, "split")
+    if kind == "quasi":
+        for df in (mixed, split):
+            df["x"] = (df.x > 59).astype(float)  # one cell without other outcomes
+    options = {"metric_type": "count" if kind == "count" else "binary", "count_model": "poisson"}
+    alone, few = jobs_of(spark, f"alone-{kind}", lambda: fits(spark, mixed, ("x",), **options))
+    both, more = jobs_of(spark, f"both-{kind}", lambda: fits(spark, pd.concat([mixed, split]), ("x",), **options))
+    assert both["mixed"].covariate_adjusted_effect == pytest.approx(alone["mixed"].covariate_adjusted_effect, rel=1e-9)
+    assert both["split"].covariate_model_reason == "model_fit_failed_fallback_to_ols; separated_outcomes"
+    assert both["split"].covariate_adjusted_model_type == "ols_hc3"
+    assert more <= few + 3 * 5  # at most three passes beyond its neighbour
+
+
+def test_rare_outcomes_are_not_taken_for_separated(spark):
+    df = trial(30_000, 11, lambda r, g, x: (r.random(30_000) < 1 / (1 + np.exp(7 - 0.5 * g - 1.5 * x))).astype(float))
+    row = fits(spark, df, ("x",), metric_type="binary")["s"]
+    assert row.covariate_adjusted_model_type == "glm_binomial" and row.covariate_model_reason == ""
+
+
+def test_collinear_covariates_are_named(spark):
+    df = trial(300, 12, lambda r, g, x: g + x + r.normal(size=300), double=lambda r, x: 2 * x, other=lambda r, x: r.normal(size=len(x)),
+               total=lambda r, x: x * 0 + 7)
+    df["mix"] = df.x - 3 * df.other
+    row = fits(spark, df, ("x", "double", "other", "mix", "total"), metric_type="continuous")["s"]
+    assert row.covariates_used == ["x", "other"]
+    assert row.covariate_model_reason == "constant_covariates:total; collinear_covariates:double,mix"
+    b, se = hc3(np.c_[np.ones(300), df.grp == "t", df.x, df.other].astype(float), df.y.to_numpy())
+    assert row.covariate_adjusted_effect == pytest.approx(b, rel=1e-8)
+    assert row.covariate_adjusted_ci_upper == pytest.approx(b + 1.959963984540054 * se, rel=1e-8)
+
+
 def test_covariate_fit_that_cannot_settle_falls_back(spark):
     from armlift.config import Options, Roles
     from armlift.plans.analysis import analyze
