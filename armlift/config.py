@@ -157,7 +157,6 @@ class Options:
     covariates: bool = True
     posterior: str = "by_size"         # "normal", "t", or t where an arm is small
     normality: str = "by_size"         # "shapiro", "dagostino_k2", or the latter where an arm is large
-    bayes_draws: int = 10_000
     seed: int = 42
     sequential: Sequential = field(default_factory=Sequential)
 

@@ -74,7 +74,7 @@ def core_results(m: DataFrame, options: Options) -> DataFrame:
     m = inf.combined_effects(m)
     m = inf.variance_ratio(m)
     m = power_columns(m, options)
-    m = bayesian_test(m, options.bayes_draws, options.seed, options.posterior)
+    m = bayesian_test(m, options.posterior)
     has = c("has_pre")
     return m.withColumns({
         "did_treatment_change": F.when(has, c("dmean_t")).otherwise(0.0),

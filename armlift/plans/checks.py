@@ -182,3 +182,35 @@ def huber(view: str, rounds: int = 60) -> str:
             sum(least(r*r, {tune}*{tune})) AS psi2 FROM e GROUP BY segment),
         h AS (SELECT segment, effect, scale, (1 + 2.0/n*(sh*(1 - sh))/(sh*sh))
             * sqrt(psi2/(n - 2)*scale*scale/(sh*sh)*(1.0/n_t + 1.0/n_c)) AS se FROM q)"""
+
+
+def t_posterior(base: str, steps: int = 400, rounds: int = 16) -> str:
+    """CTEs from ``base`` (segment, mu, st, vt, sc, vc) to b (segment, prob, loss_t, loss_c, lo, hi) for mu + st T(vt) - sc T(vc).
+
+    A beta mixture of t variables with vt + vc degrees of freedom, by Simpson's rule over the logit and the finite series
+    of t at whole degrees of freedom. The interval by Newton's method from the normal one, which lies inside.
+    """
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    even = "list_sum(list_transform(range(0, CAST(floor(v/2) AS BIGINT)), lambda j: power(cos({a}), 2*j) * exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi())))"
+    odd = ("coalesce(list_sum(list_transform(range(0, CAST(floor((v - 1)/2) AS BIGINT)), lambda j: power(cos({a}), 2*j + 1)"
+           " * exp(lgamma(j + 1) - lgamma(j + 1.5)) * sqrt(pi()) / 2)), 0)")
+
+    def cdf(x: str) -> str:
+        a = f"atan({x}/sqrt(v))"
+        return (f"(0.5 + 0.5 * CASE WHEN v % 2 = 0 THEN sin({a}) * {even.format(a=a)} "
+                f"ELSE 2/pi() * ({a} + sin({a}) * {odd.format(a=a)}) END)")
+
+    def density(x: str) -> str:
+        return f"exp(lgamma((v + 1)/2.0) - lgamma(v/2.0) - 0.5*ln(v*pi()) - (v + 1)/2.0*ln(1 + ({x})*({x})/v))"
+
+    newton = " ".join(f"""q{k + 1} AS (SELECT g.segment, max(q) - (sum(w*{cdf('(q/s)')}) - 0.975) / sum(w/s*{density('(q/s)')}) AS q
+        FROM g JOIN q{k} USING (segment) GROUP BY g.segment),""" for k in range(rounds))
+    return f"""{base}, l AS (SELECT segment, mu, st, vt, sc, vc, CAST(vt + vc AS BIGINT) AS v, {weight} AS c,
+            -84.0/vt + i*(84.0/vt + 84.0/vc)/{steps} AS x FROM base, range(0, {steps + 1}) t(i)),
+        g0 AS (SELECT *, c*exp(-vt/2.0*ln(1 + exp(-x)) - vc/2.0*ln(1 + exp(x))) AS w0,
+            sqrt((st*st*vt*(1 + exp(-x)) + sc*sc*vc*(1 + exp(x)))/v) AS s FROM l),
+        g AS MATERIALIZED (SELECT segment, mu, v, least(vt, vc) AS least_v, s, w0/sum(w0) OVER (PARTITION BY segment) AS w FROM g0),
+        p AS (SELECT segment, max(mu) AS mu, sum(w*{cdf('(mu/s)')}) AS prob, CASE WHEN max(least_v) > 1 THEN
+            sum(w*(mu*{cdf('(mu/s)')} + s*{density('(mu/s)')}*(v + mu/s*mu/s)/(v - 1))) END AS gain FROM g GROUP BY segment),
+        q0 AS (SELECT segment, {Z975}*sqrt(st*st + sc*sc) AS q FROM base), {newton}
+        b AS (SELECT segment, prob, gain - mu AS loss_t, gain AS loss_c, mu - q AS lo, mu + q AS hi FROM p JOIN q{rounds} USING (segment))"""

@@ -672,11 +672,18 @@ def _(spark, d):
         "bayesian_relative_uplift", "bayesian_total_effect"), 5)
 
 
-@query("bayesian_draws")
-def _(spark, d):
+@query("bayesian_draws", checks.t_posterior(f"""{checks.moments(TINY)}, base AS (SELECT CAST(segment AS VARCHAR) AS segment,
+    {checks.RAW} AS mu, sqrt(greatest(var_t, 1e-10)/n_t) AS st, n_t - 1 AS vt, sqrt(greatest(var_c, 1e-10)/n_c) AS sc, n_c - 1 AS vc
+    FROM m WHERE n_t >= 2 AND n_c >= 2 AND (var_t > 0 OR var_c > 0))""") + f""" SELECT segment, {r(
+    5, bayesian_prob_treatment_better='prob', bayesian_expected_loss_treatment='loss_t', bayesian_expected_loss_control='loss_c',
+    bayesian_credible_lower='lo', bayesian_credible_upper='hi')} FROM b UNION ALL SELECT CAST(segment AS VARCHAR),
+    (1 + sign({checks.RAW}))/2, {r(5, a=f'greatest(-{checks.RAW}, 0) + 0', b=f'greatest({checks.RAW}, 0) + 0', c=checks.RAW, d=checks.RAW)}
+    FROM m WHERE n_t >= 2 AND n_c >= 2 AND var_t = 0 AND var_c = 0""")
+def _(spark, d):
+    # the t posterior of small arms, by integration; the name is from when it was drawn
     return rounded(bayesian_test(moments_of(spark, d, TINY), posterior="t").select(
-        "segment", "bayesian_prob_treatment_better", "bayesian_expected_loss_treatment",
-        "bayesian_credible_lower", "bayesian_credible_upper"))
+        "segment", "bayesian_prob_treatment_better", "bayesian_expected_loss_treatment", "bayesian_expected_loss_control",
+        "bayesian_credible_lower", "bayesian_credible_upper"), 5)
 
 
 D_SQL = "(mean_t - mean_c)/sqrt(((n_t-1)*var_t + (n_c-1)*var_c)/(n_t+n_c-2))"

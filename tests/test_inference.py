@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from armlift.config import Options, Roles, Sequential, parse_covariates, resolve_covariates
 from armlift.operators import inference as inf
 from armlift.operators.arms import analysis_rows
-from armlift.operators.bayes import bayesian_test
+from armlift.operators.bayes import bayesian_test, t_difference
 from armlift.operators.covariates import covariate_model
 from armlift.operators.duplicates import duplicate_units
 from armlift.operators.families import metric_family
@@ -229,13 +229,29 @@ def test_levene_and_outliers(spark):
     assert out.trimmed_effect == pytest.approx(trim(t) - trim(c))
 
 
-def test_bayes_draws_match_exact(spark):
+def test_t_posterior_meets_the_normal_one_in_large_arms(spark):
     rng = np.random.default_rng(11)
-    m = enough(segment_moments(analysis_rows(arms(spark, rng.normal(1, 3, 200), rng.normal(0.6, 3, 150)), ROLES)))
-    exact, drawn = bayesian_test(m).first(), bayesian_test(m, posterior="t").first()
-    for name, tol in (("bayesian_prob_treatment_better", 0.02), ("bayesian_expected_loss_treatment", 0.02),
-                      ("bayesian_credible_lower", 0.05), ("bayesian_credible_upper", 0.05)):
-        assert exact[name] == pytest.approx(drawn[name], abs=tol)
+    m = enough(segment_moments(analysis_rows(arms(spark, rng.normal(1, 3, 20_000), rng.normal(0.9, 3, 15_000)), ROLES)))
+    normal, t = bayesian_test(m).first(), bayesian_test(m, posterior="t").first()
+    for name in ("prob_treatment_better", "expected_loss_treatment", "expected_loss_control", "credible_lower", "credible_upper"):
+        assert t[f"bayesian_{name}"] == pytest.approx(normal[f"bayesian_{name}"], abs=2e-5)
+
+
+@pytest.mark.parametrize("s1, v1, s2, v2", [(1, 1, 1, 1), (2, 3, 0.5, 7), (0.01, 2, 5, 4), (1, 40, 1, 9), (3, 1, 1, 500), (1, 1e8, 2, 5)])
+def test_difference_of_t_variables(s1, v1, s2, v2):
+    mu = 0.7 * s1
+    prob, loss_t, loss_c, lo, hi = (x[0] for x in t_difference(*([x] for x in (mu, s1, v1, s2, v2))))
+    if v1 == v2 == 1:  # the sum of two Cauchy variables is one
+        assert prob == pytest.approx(0.5 + math.atan(mu / (s1 + s2)) / math.pi, abs=1e-10)
+        assert hi - mu == pytest.approx((s1 + s2) * math.tan(0.475 * math.pi), rel=1e-9)
+    rng = np.random.default_rng(1)
+    d = mu + s1 * rng.standard_t(v1, 2_000_000) - s2 * rng.standard_t(v2, 2_000_000)
+    assert prob == pytest.approx(np.mean(d > 0), abs=2e-3)
+    assert np.mean(d < lo) == pytest.approx(0.025, abs=5e-4) and np.mean(d > hi) == pytest.approx(0.025, abs=5e-4)
+    if min(v1, v2) > 2:
+        assert loss_c == pytest.approx(np.mean(np.maximum(d, 0)), rel=1e-2)
+        assert loss_t == pytest.approx(np.mean(np.maximum(-d, 0)), rel=2e-2)
+    assert math.isnan(loss_t) == (min(v1, v2) <= 1)
 
 
 def test_sequential_options_and_decisions(spark):
