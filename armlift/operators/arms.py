@@ -29,21 +29,39 @@ def split_arms(df: DataFrame, roles: Roles) -> DataFrame:
     return df.withColumn("arm", arm_of(roles)).where(F.col("arm").isNotNull())
 
 
+def is_pooled(roles: Roles, scope: str) -> bool:
+    """Whether the whole table stands beside its segments."""
+    return scope == "both" and bool(roles.segment)
+
+
 def scope_column(roles: Roles, scope: str) -> Column:
-    """Segment label(s) a row counts towards, as an expression for ``select``."""
+    """Segment label of a row. In scope ``both`` the pooled group is told by the column's metadata, and rows without a
+    segment have a null label: they count in the pooled group only."""
     if scope == "overall" or not roles.segment:
-        return F.lit(OVERALL)
+        return F.lit(OVERALL).alias("segment")
     label = F.col(roles.segment).cast("string")
     if scope == "segments":
-        return label
+        return label.alias("segment")
     # a segment of that very name must not mix with the pooled rows
     label = F.when(label == OVERALL, f"{OVERALL} (segment)").otherwise(label)
-    return F.explode(F.array_compact(F.array(label, F.lit(OVERALL))))
+    return label.alias("segment", metadata={"pooled": True})
+
+
+def has_pooled(rows: DataFrame) -> bool:
+    return bool(rows.schema["segment"].metadata.get("pooled"))
+
+
+def each_scope(rows: DataFrame) -> DataFrame:
+    """Rows once for every group they count in: for steps whose pooled result is no sum over segments."""
+    if not has_pooled(rows):
+        return rows
+    groups = F.explode(F.array_compact(F.array("segment", F.lit(OVERALL))))
+    return rows.select(groups.alias("segment", metadata={}), *[c for c in rows.columns if c != "segment"])
 
 
-def mark_overall(results: DataFrame, scope: str) -> DataFrame:
+def mark_overall(results: DataFrame, pooled: bool) -> DataFrame:
     """``is_overall`` is true where a row pools the segments that stand beside it."""
-    return results.withColumn("is_overall", (F.col("segment") == OVERALL) & F.lit(scope == "both"))
+    return results.withColumn("is_overall", (F.col("segment") == OVERALL) & F.lit(pooled))
 
 
 def segment_rows(results: DataFrame) -> DataFrame:
@@ -60,10 +78,12 @@ def analysis_rows(
 ) -> DataFrame:
     """Project the needed columns only: segment, arm, y[, x][, c0..][, unit].
 
-    Missing values stay null here; each operator decides which rows are complete.
+    Missing values stay null here; each operator decides which rows are complete. In
+    scope ``both`` a row is still one row: moments of the pooled group are merged
+    from those of the segments, other steps take :func:`each_scope`.
     """
     roles.check(df)
-    cols = [scope_column(roles, scope).alias("segment"), arm_of(roles).alias("arm"),
+    cols = [scope_column(roles, scope), arm_of(roles).alias("arm"),
             not_nan(F.col(roles.outcome)).alias("y")]
     if roles.usable_pre(df):
         cols.append(sanitize_numeric(F.col(roles.pre_effect)).alias("x"))
@@ -72,4 +92,4 @@ def analysis_rows(
     if unit and roles.customer_id:
         cols.append(F.col(roles.customer_id).cast("string").alias("unit"))
     rows = df.select(*cols).where(F.col("arm").isNotNull())
-    return rows.where(F.col("segment").isNotNull())
+    return rows if is_pooled(roles, scope) else rows.where(F.col("segment").isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armlift.functions import tails
+from armlift.operators.arms import each_scope
 from armlift.operators.inference import aa_test, welch_columns
 from armlift.operators.order_stats import order_statistics
 from armlift.session import attach, stage
@@ -34,6 +35,7 @@ def rebalance_control(
     moments. A control arm no larger than the treatment arm has one possible
     subsample, itself, so nothing is drawn for it.
     """
+    rows = each_scope(rows)
     checked = stage(aa_test(moments, alpha))
     failed = checked.where(~F.col("aa_test_passed")).select(
         "segment", F.col("aa_n_t").alias("n_t"), F.col("aa_n_c").alias("n_c"),

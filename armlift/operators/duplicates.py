@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armlift.config import Roles
-from armlift.operators.arms import OVERALL, scope_column
+from armlift.operators.arms import each_scope, has_pooled, scope_column
 
 REPEAT_TEXT = "%d unit(s) appear more than once in one arm: roll rows up to units before testing"
 CROSS_TEXT = "%d unit(s) were seen in BOTH arms: find out how units are assigned"
@@ -20,20 +20,26 @@ def duplicate_units(df: DataFrame, roles: Roles, scope: str = "overall") -> Data
     values of the group column count, not only the two arms; null units do not.
     """
     if not roles.customer_id or roles.customer_id not in df.columns:
-        label = F.lit(OVERALL) if scope == "overall" or not roles.segment else scope_column(roles, scope)
-        base = df.select(label.alias("segment")).where("segment is not null")
+        base = df.select(scope_column(roles, scope))
+        pooled = has_pooled(base)
         base = base.groupBy("segment").agg(F.count(F.lit(1)).alias("total_rows"))
+        if pooled:
+            base = each_scope(base).groupBy("segment").agg(F.sum("total_rows").alias("total_rows"))
+        base = base.where("segment is not null")
         return base.select(
             "segment", F.lit(False).alias("is_applicable"), F.lit(0).cast("bigint").alias("unique_units"),
             "total_rows", F.lit(0).cast("bigint").alias("within_arm_repeats"),
             F.lit(0).cast("bigint").alias("cross_arm_units"), F.lit(False).alias("has_duplicates"),
             F.lit("").alias("warning"))
     slim = df.select(
-        scope_column(roles, scope).alias("segment"),
+        scope_column(roles, scope),
         F.col(roles.customer_id).alias("unit"),
         F.col(roles.group).alias("grp"),
-    ).where("segment is not null")
+    )
     per_arm = slim.groupBy("segment", "unit", "grp").agg(F.count(F.lit(1)).alias("k"))
+    if has_pooled(slim):  # counts of the pooled group are sums of the segments' counts
+        per_arm = each_scope(per_arm).groupBy("segment", "unit", "grp").agg(F.sum("k").alias("k"))
+    per_arm = per_arm.where("segment is not null")
     named = F.col("grp").isNotNull()
     per_unit = per_arm.groupBy("segment", "unit").agg(
         F.sum("k").alias("k"),

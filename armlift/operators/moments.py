@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from armlift.functions.guards import add, sanitize_numeric
-from armlift.session import attach
+from armlift.operators.arms import OVERALL, each_scope, has_pooled
+from armlift.session import attach, stage
 
 
 def arm_moments(rows: DataFrame) -> DataFrame:
     """Long form: one row per (segment, arm) with the outcome and pre statistics."""
+    rows = each_scope(rows)
     y = F.col("y")
     exprs = [
         F.count(y).alias("n"),
@@ -58,8 +60,62 @@ def _view(prefix: str, keep: str, with_pre: bool) -> dict[str, str]:
     return out
 
 
+def merged_moments(wide: DataFrame, views: dict[str, tuple[str, bool]]) -> DataFrame:
+    """The row of all segments together, from the staged moments of each: central moments are moved to the common mean.
+
+    Sums of squares, cross products and the third and fourth powers about the mean of a segment turn into those about the
+    common mean by the distance of the two, so nothing large is subtracted and no row is read again.
+    """
+    means, sums, out = {}, {}, {"rows_dropped": "rows_dropped"}
+    sums["rows_dropped"] = "sum(rows_dropped)"
+    weighted = lambda m, n: f"sum({n} * {m}) / nullif(sum(CASE WHEN {m} IS NOT NULL THEN {n} END), 0)"
+    for view, (_, pre) in views.items():
+        for arm in "tc":
+            p, n = f"{view}_{arm}", f"{view}_{arm}_n"
+            sums |= {f"{p}_{x}": f"sum({p}_{x})" for x in ("rows", "n", "conv")}
+            out |= {f"{p}_{x}": f"{p}_{x}" for x in ("rows", "n", "conv")}
+            pairs = [("mean", "var"), *((("xmean", "xvar"), ("dmean", "dvar")) if pre else ())]
+            for mean, var in pairs:
+                means[f"all_{p}_{mean}"] = weighted(f"{p}_{mean}", n)
+                gap = f"({p}_{mean} - all_{p}_{mean})"
+                sums |= {f"{p}_{mean}": f"max(all_{p}_{mean})",
+                         f"{p}_{var}_m2": f"sum(coalesce({p}_{var} * ({n} - 1), 0D) + {n} * {gap} * {gap})"}
+                out |= {f"{p}_{mean}": f"{p}_{mean}", f"{p}_{var}": f"CASE WHEN {n} > 1 THEN {p}_{var}_m2 / ({n} - 1) END"}
+            if pre:
+                gap = f"({p}_mean - all_{p}_mean) * ({p}_xmean - all_{p}_xmean)"
+                sums[f"{p}_cov_m2"] = f"sum(coalesce({p}_cov * ({n} - 1), 0D) + {n} * {gap})"
+                out[f"{p}_cov"] = f"CASE WHEN {n} > 1 THEN {p}_cov_m2 / ({n} - 1) END"
+        # both arms together: n, mean and powers about the mean of each segment
+        means[f"all_{view}_mean"] = weighted(f"{view}_mean", f"{view}_n")
+        gap = f"({view}_mean - all_{view}_mean)"
+        sums |= {
+            f"{view}_n": f"sum({view}_n)", f"{view}_m2": f"sum({view}_m2 + {view}_n * {gap} * {gap})",
+            f"{view}_m3": f"sum({view}_m3 + 3 * {gap} * {view}_m2 + {view}_n * {gap} * {gap} * {gap})",
+            f"{view}_m4": f"sum({view}_m4 + 4 * {gap} * {view}_m3 + 6 * {gap} * {gap} * {view}_m2 + {view}_n * power({gap}, 4))",
+            f"{view}_min": f"min({view}_min)", f"{view}_max": f"max({view}_max)",
+            f"{view}_is01": f"bool_and({view}_is01)", f"{view}_whole": f"bool_and({view}_whole)"}
+        out |= {f"{view}_skew": f"CASE WHEN {view}_m2 > 0 THEN sqrt({view}_n) * {view}_m3 / power({view}_m2, 1.5D) END",
+                f"{view}_kurt": f"CASE WHEN {view}_m2 > 0 THEN {view}_n * {view}_m4 / ({view}_m2 * {view}_m2) - 3 END"}
+        out |= {f"{view}_{x}": f"{view}_{x}" for x in ("min", "max", "is01", "whole")}
+    powers = wide
+    for view in views:
+        t, c = f"{view}_t", f"{view}_c"
+        powers = add(powers, **{f"{view}_n": f"{t}_n + {c}_n"})
+        powers = add(powers, **{
+            f"{view}_mean": f"(coalesce({t}_n * {t}_mean, 0D) + coalesce({c}_n * {c}_mean, 0D)) / nullif({view}_n, 0)",
+            f"{view}_m2": f"""coalesce({t}_var * ({t}_n - 1), 0D) + coalesce({c}_var * ({c}_n - 1), 0D) + coalesce(
+                ({t}_mean - {c}_mean) * ({t}_mean - {c}_mean) * {t}_n * {c}_n / nullif({view}_n, 0), 0D)"""})
+        powers = add(powers, **{
+            f"{view}_m3": f"coalesce({view}_skew * power({view}_m2, 1.5D) / sqrt({view}_n), 0D)",
+            f"{view}_m4": f"coalesce(({view}_kurt + 3) * {view}_m2 * {view}_m2 / {view}_n, 0D)"})
+    powers = powers.withColumn("one", F.lit(1))
+    common = powers.groupBy("one").agg(*[F.expr(e).alias(k) for k, e in means.items()])
+    whole = powers.join(F.broadcast(common), "one").groupBy("one").agg(*[F.expr(e).alias(k) for k, e in sums.items()])
+    return whole.select(F.lit(OVERALL).alias("segment"), *[F.expr(e).alias(k) for k, e in out.items()])
+
+
 def segment_moments(rows: DataFrame) -> DataFrame:
-    """Wide form: one row per segment, both arms side by side.
+    """Wide form: one row per segment, both arms side by side, and in scope ``both`` one of all rows.
 
     Completeness views (outcome; outcome and pre; outcome and covariates) are all
     aggregated in the same pass and the applicable one is chosen per segment, so
@@ -80,6 +136,9 @@ def segment_moments(rows: DataFrame) -> DataFrame:
     for name, (keep, pre) in views.items():
         sums |= _view(name, keep, pre)
     wide = rows.groupBy("segment").agg(*[F.expr(e).alias(k) for k, e in sums.items()])
+    if has_pooled(rows):
+        wide = stage(wide)
+        wide = wide.where("segment IS NOT NULL").unionByName(merged_moments(wide, views))
     order = [v for v in ("cov", "pair") if v in views]
 
     def usable(view: str) -> str:
@@ -118,6 +177,7 @@ def aligned_rows(rows: DataFrame, staged: DataFrame) -> DataFrame:
 
     ``staged`` needs ``segment`` and ``view``; segments it lacks are left out.
     """
+    rows = each_scope(rows)
     covs = [c for c in rows.columns if c[0] == "c" and c[1:].isdigit()]
     tagged = attach(rows, staged.select("segment", "view"), ["segment"])
     keep = sanitize_numeric(F.col("y")).isNotNull()
@@ -144,7 +204,7 @@ def failures(m: DataFrame) -> DataFrame:
 
 def conversion_rates(rows: DataFrame) -> DataFrame:
     """Share of rows with a positive outcome per segment and arm, over all rows of the arm."""
-    agg = rows.groupBy("segment").agg(
+    agg = each_scope(rows).groupBy("segment").agg(
         F.count_if((F.col("arm") == "t") & (F.col("y") > 0)).alias("treatment_conversions"),
         F.count_if(F.col("arm") == "t").alias("treatment_n"),
         F.count_if((F.col("arm") == "c") & (F.col("y") > 0)).alias("control_conversions"),
@@ -185,4 +245,4 @@ def unit_rollup(rows: DataFrame, how: str = "sum") -> DataFrame:
     cols = [fn("y").alias("y"), F.count(F.lit(1)).alias("rows_merged")]
     if "x" in rows.columns:
         cols.append(fn("x").alias("x"))
-    return rows.where(F.col("unit").isNotNull()).groupBy("segment", "arm", "unit").agg(*cols)
+    return each_scope(rows).where(F.col("unit").isNotNull()).groupBy("segment", "arm", "unit").agg(*cols)

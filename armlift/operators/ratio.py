@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from armlift.config import Roles
 from armlift.functions.guards import add, not_nan
 from armlift.functions.normal import two_sided, z_quantile
-from armlift.operators.arms import arm_of, scope_column
+from armlift.operators.arms import arm_of, each_scope, scope_column
 
 ZERO_DENOMINATOR = 1e-12
 
@@ -26,10 +26,10 @@ def ratio_metric(
         raise ValueError(f"Columns not found: {', '.join(missing)}")
     if roles.treatment is None or roles.control is None:
         raise ValueError("Treatment/control labels not set")
-    pairs = df.select(
-        scope_column(roles, scope).alias("segment"), arm_of(roles).alias("arm"),
+    pairs = each_scope(df.select(
+        scope_column(roles, scope), arm_of(roles).alias("arm"),
         not_nan(F.col(numerator)).alias("num"), not_nan(F.col(denominator)).alias("den"),
-    ).where("segment is not null and arm is not null and num is not null and den is not null")
+    )).where("segment is not null and arm is not null and num is not null and den is not null")
     exprs = []
     for a in "tc":
         num, den = F.when(F.col("arm") == a, F.col("num")), F.when(F.col("arm") == a, F.col("den"))

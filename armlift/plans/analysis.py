@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from armlift.config import Options, Roles, resolve_covariates
 from armlift.functions import tails
 from armlift.operators import inference as inf
-from armlift.operators.arms import analysis_rows, mark_overall
+from armlift.operators.arms import analysis_rows, is_pooled, mark_overall
 from armlift.operators.balance import rebalance_control
 from armlift.operators.bayes import bayesian_test
 from armlift.operators.covariates import covariate_model
@@ -141,7 +141,7 @@ def analyze(df: DataFrame, roles: Roles, options: Options | None = None) -> Anal
         mine = aligned_rows(rows, target)
         fits = log_shift(mine, target) if options.heavy_tail_strategy == "log_transform" else huber_shift(mine)
         base = m.join(fits.drop("fit_scale"), "segment", "left")
-    results = mark_overall(core_results(base, options).select(*RESULT_COLUMNS), options.scope)
+    results = mark_overall(core_results(base, options).select(*RESULT_COLUMNS), is_pooled(roles, options.scope))
     results = _with_balance(results, report, m)
     if covs:
         results = _with_covariates(results, covariate_model(part, m, covs, options))

@@ -203,6 +203,43 @@ def test_pooled_row_changes_no_total_and_no_adjusted_p(spark):
     assert presentation.waterfall(both.results).count() == 4
 
 
+def test_pooled_moments_are_merged_from_those_of_segments(spark):
+    from armlift.operators.arms import each_scope
+    from armlift.operators.moments import segment_moments
+
+    rng = np.random.default_rng(31)
+    n = 3000
+    df = pd.DataFrame({
+        "segment": rng.choice(["a", "b", "c", "lonely", None], n, p=[0.5, 0.3, 0.1, 0.001, 0.099]), "grp": rng.choice(["t", "c", "other"], n),
+        "pre": 1e6 + rng.normal(size=n), "age": rng.exponential(9, n)})
+    df["y"] = 1e6 + rng.exponential(2, n) + df.segment.map({"a": 0, "b": 5}).fillna(-3)
+    for k in ("pre", "age", "y"):
+        df.loc[rng.random(n) < 0.05, k] = None
+    df.loc[5, "y"] = np.inf
+    roles = Roles("grp", "y", "t", "c", segment="segment", pre_effect="pre", covariates=("age",))
+    for covs in ((), ("age",), ("age", "pre")):
+        rows = analysis_rows(spark.createDataFrame(df), roles, "both", covs)
+        assert rows.count() == len(df[df.grp != "other"])  # no row is doubled
+        merged = {r.segment: r.asDict() for r in segment_moments(rows).collect()}
+        direct = {r.segment: r.asDict() for r in segment_moments(each_scope(rows)).collect()}
+        assert merged.keys() == direct.keys() and "Overall" in merged
+        for name, row in direct.items():
+            for k, v in row.items():
+                got = merged[name][k]
+                assert got == (pytest.approx(v, rel=1e-6, abs=1e-9) if isinstance(v, float) else v), (name, k)
+
+
+def test_scope_both_without_a_segment_column(spark, sample):
+    roles = Roles("grp", "y", "t", "c")
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame({"grp": ["t", "c"] * 300, "y": rng.normal(5, 1, 600)}))
+    both = analyze(df, roles, Options(scope="both", diagnostics=False))
+    overall = analyze(df, roles, Options(scope="overall", diagnostics=False))
+    assert [r.is_overall for r in both.results.collect()] == [False]
+    assert both.summary.first() == overall.summary.first()
+    assert both.summary.first().total_segments_analyzed == 1
+
+
 def test_only_queries_are_run(spark):
     spark.range(3).createOrReplaceTempView("three")
     good = "WITH a AS (SELECT id, replace('update', 'u', 'x') AS t FROM three LIMIT 2) SELECT * FROM a WHERE t <> 'drop'"
