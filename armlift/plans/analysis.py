@@ -118,7 +118,7 @@ def analyze(df: DataFrame, roles: Roles, options: Options | None = None) -> Anal
     """
     options = options or Options()
     covs = resolve_covariates(df, roles) if options.covariates else ()
-    rows = analysis_rows(df, roles, options.scope, covs)
+    rows = analysis_rows(df, roles, options.scope, covs, unit=options.rebalance and roles.customer_id in df.columns)
     moments = stage(segment_moments(rows))
     report = None
     if options.rebalance and roles.usable_pre(df):

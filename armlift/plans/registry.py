@@ -651,12 +651,29 @@ def _(spark, d):
     return rounded(m.select("segment", "aa_t_statistic", "aa_p_value", "pre_effect_diff", "aa_test_passed"))
 
 
-@query("rebalance_control")
-def _(spark, d):
-    # Unequal pre-period levels: every third user's history doubles in the control arm.
-    sql = views.USERS.replace("sum(CASE WHEN ts <", "sum(CASE WHEN user_id % 6 = 1 THEN 2 ELSE 1 END * CASE WHEN ts <")
-    rows = rows_of(spark, d, sql.replace("user_id % 2 = 0", "user_id % 5 < 2"), PRE)
-    _, report = rebalance_control(rows, enough(segment_moments(rows)))
+# A fifth of the customers is treated; a fourth of the others had higher levels before.
+SKEWED = views.CUSTOMERS.replace(views.ARM.format(key="o_custkey"), "CASE WHEN o_custkey % 5 = 1 THEN 'treatment' ELSE 'control' END").replace(
+    "THEN o_totalprice END) AS pre", "THEN o_totalprice * (CASE WHEN o_custkey % 4 = 1 AND o_custkey % 5 <> 1 THEN 1.3 ELSE 1 END) END) AS pre")
+DRAWS = 24  # two batches, where no replicate reaches the wanted p
+
+
+@query("rebalance_control", f"""{checks.moments(SKEWED, "post", "pre")}, a AS (SELECT segment, n_t, n_c, xmean_t AS mean_t, xmean_c AS mean_c,
+    xvar_t AS var_t, xvar_c AS var_c FROM m), {WELCH.replace('FROM m)', 'FROM a)')},
+    f AS (SELECT *, {checks.t_both_tails('t', 'df')} AS p FROM x WHERE {checks.t_both_tails('t', 'df')} <= 0.05),
+    u AS (SELECT v.segment, b, pre, ('0x' || substr(md5(o_custkey || ':' || b || ':42'), 1, 13))::BIGINT AS u
+        FROM v JOIN f ON f.segment = v.segment AND n_c > n_t, range({DRAWS}) r(b) WHERE grp = 'control' AND pre IS NOT NULL AND post IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY segment, b ORDER BY u) AS i FROM u),
+    s AS (SELECT k.segment, b, count(*) AS n_c, avg(pre) AS mean_c, var_samp(pre) AS var_c, max(f.n_t) AS n_t, max(f.mean_t) AS mean_t,
+        max(f.var_t) AS var_t FROM k JOIN f ON f.segment = k.segment AND i <= f.n_t GROUP BY 1, 2),
+    {WELCH.replace('w AS', 'w2 AS').replace('x AS', 'x2 AS').replace('FROM m)', 'FROM s)').replace('FROM w)', 'FROM w2)')},
+    q AS (SELECT *, {checks.t_both_tails('t', 'df')} AS p FROM x2),
+    z AS (SELECT segment, coalesce(min(b) FILTER (p >= 0.9), arg_max(b, p)) AS b FROM q GROUP BY segment)
+    SELECT f.segment, {r(6, p_before='f.p', aa_p_value='coalesce(q.p, f.p)')}, z.b AS replicate, f.n_c AS original_control_size,
+    coalesce(q.n_c, f.n_c) AS balanced_control_size, coalesce(z.b + 1, 1) AS bootstrap_iterations, coalesce(q.p, f.p) > 0.05 AS aa_test_passed
+    FROM f LEFT JOIN z ON z.segment = f.segment LEFT JOIN q ON q.segment = z.segment AND q.b = z.b""")
+def _(spark, d):
+    rows = rows_of(spark, d, SKEWED, views.roles(pre="pre", outcome="post", customer_id="o_custkey"), unit=True)
+    _, report = rebalance_control(rows, enough(segment_moments(rows)), DRAWS, target_p=0.9)
     return rounded(report)
 
 

@@ -119,6 +119,37 @@ def test_rebalance(spark):
     assert rep.first().balanced_control_size == 60 and same.count() == 180
 
 
+def test_rebalance_matches_ranking_all_hashes(spark):
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    n_t, n_c = 700, 4000  # large enough for a window that holds a part of the rows only
+    pre = np.r_[rng.normal(10, 2, n_t), rng.normal(10.3, 2.2, n_c)]
+    df = pd.DataFrame({"segment": "s", "grp": ["t"] * n_t + ["c"] * n_c, "pre": pre, "y": pre + 1, "id": np.arange(n_t + n_c)})
+    twin = df.assign(segment="r", pre=lambda x: x.pre * np.where(x.grp == "c", 1.2, 1))
+    roles = Roles("grp", "y", "t", "c", segment="segment", pre_effect="pre", customer_id="id")
+    rows = analysis_rows(spark.createDataFrame(pd.concat([df, twin])), roles, unit=True)
+    kept, report = rebalance_control(rows, enough(segment_moments(rows)), iterations=20, target_p=0.95)
+    got = {r.segment: r for r in report.collect()}
+
+    def welch(a, b):
+        va, vb = a.var(ddof=1) / len(a), b.var(ddof=1) / len(b)
+        return abs(a.mean() - b.mean()) / np.sqrt(va + vb)
+
+    ids = df.id[n_t:].to_numpy()
+    for name, frame in (("s", df), ("r", twin)):
+        t, c = (frame.pre[frame.grp == g].to_numpy() for g in "tc")
+        picks = []
+        for b in range(20):
+            u = np.array([int(hashlib.md5(f"{i}:{b}:42".encode()).hexdigest()[:13], 16) for i in ids])
+            picks.append(np.sort(np.argsort(u)[:n_t]))
+        best = int(np.argmin([welch(t, c[p]) for p in picks]))
+        assert got[name].replicate == best and got[name].balanced_control_size == n_t
+        left = sorted(int(r.unit) for r in kept.where(f"segment = '{name}' AND arm = 'c'").collect())
+        assert left == ids[picks[best]].tolist()
+    assert rebalance_control(rows, enough(segment_moments(rows)), iterations=0)[1].count() == 2
+
+
 def test_profile_operators(spark):
     v = np.r_[np.arange(1, 100), 1000.0]
     df = spark.createDataFrame(pd.DataFrame({"v": v, "k": np.where(v % 3 == 0, "a", "b"), "g": "t"}))
