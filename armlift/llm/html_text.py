@@ -6,8 +6,10 @@ tree and down again and give every block its exact marginal; blocks above one ha
 
 All potentials are trained from labelled pages: a bounded sample of pages whose markup names the main part (article or
 main element, or such a role) labels its own nodes. In every second one the naming markup is hidden from the features,
-so that the form of the text must carry the decision on pages without it. Weights of features that the sample lacks
-stay at their prior values.
+so that the form of the text must carry the decision on pages without it; in every third one paragraphs count as plain
+divisions, so that text straight inside div, section or td is a block like any paragraph. Weights of features that the
+sample lacks stay at their prior values. Pages are chosen by a hash among those that name their main part and have at most
+``PAGE_BYTES``, one per page_id: so the sample is as large where few pages do, and bounded in bytes.
 
 Null or empty html has the text "". Pages of any length are read whole; unclosed or misnested tags are repaired as
 browsers do for paragraphs, list items and table parts. Repeated rows are extracted alike; null urls and page_ids are
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 300
+PAGE_BYTES = 1 << 18
+NAMES_MAIN = r"(?i)<(article|main)[\s>/]|role=\"main\""
 TEXTS = "page_id bigint, url string, text string, n_chars bigint"
 
 TOKEN = re.compile(
@@ -318,12 +322,14 @@ def train(pages: list[str]) -> dict:
             continue
         text = {node: (t, linked) for node, t, linked in dom.blocks}
         chrome = [False]
+        plain = k % 3 == 1
         for i in range(1, len(dom.parent)):
             up, (name, rest) = dom.parent[i], dom.names[i]
+            around = "div" if plain and dom.names[up][0] == "p" else dom.names[up][0]
             chrome.append(i not in text and is_chrome(element_features(name, rest)))
             pairs[edge_kind(chrome[up], chrome[i], i in text)][int(state[up]), int(state[i])] += 1
             if i in text:
-                blocks.append(block_features(dom.names[up][0], *text[i]))
+                blocks.append(block_features(around, *text[i]))
                 block_y.append(state[i])
             else:
                 elements.append(element_features(name, rest, hide=k % 2 == 1))
@@ -402,7 +408,9 @@ def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; the model is trained on at most ``sample`` pages first."""
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce("html", F.lit("")).alias("html"))
-    chosen = rows.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    found = rows.join(F.broadcast(chosen), "page_id").select("page_id", "html").toPandas()
-    model = train(found.sort_values(["page_id", "html"])["html"].tolist()[: 2 * sample])
+    named = rows.where(F.col("html").rlike(NAMES_MAIN) & (F.octet_length("html") <= PAGE_BYTES))
+    chosen = named.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    found = named.join(F.broadcast(chosen), named["page_id"].eqNullSafe(chosen["page_id"]), "left_semi").groupBy("page_id").agg(
+        F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("html")).toPandas()
+    model = train(found.sort_values(["page_id", "html"])["html"].tolist())
     return rows.mapInArrow(partial(_extract, model=model), TEXTS)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armlift.llm.shared import broadcast_if_small, save, slices, text_or_empty
+from armlift.llm.shared import broadcast_if_small, private, save, slices, text_or_empty
 from armlift.llm.words import Words, mix, windows
 
 MIN_DOCUMENTS = 20
@@ -177,13 +177,14 @@ def _without_lines(batches, place: int):
 
 def clean(docs: DataFrame, host: str = "source", *limits, **named) -> DataFrame:
     """Kept rows of ``docs``, their texts without frequent lines; other columns, and texts without such lines, stay."""
-    # a verdict and its lines follow from host and text alone
+    # a verdict and its lines follow from host and text alone; the names of their columns clash with none of docs
+    host_, hash_, kept, lines = (private(docs, f"rules_{name}") for name in ("host", "hash", "kept", "lines"))
     edits = save(_verdicts(docs, host, *limits, **named).where("NOT kept OR removed_lines IS NOT NULL").select(
-        F.col("host").alias("host_"), F.col("text_hash").alias("hash_"), F.col("kept").alias("kept_"), F.expr(
-            "IF(kept, removed_lines, NULL)").alias("lines_")).dropDuplicates(["host_", "hash_"]), "edits")
-    size = edits.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce("lines_", F.array()))), F.lit(0))).first()[0]
-    match = docs[host].cast("string").eqNullSafe(edits["host_"]) & (
-        F.xxhash64(text_or_empty(docs["text"])) == edits["hash_"])
+        F.col("host").alias(host_), F.col("text_hash").alias(hash_), F.col("kept").alias(kept), F.expr(
+            "IF(kept, removed_lines, NULL)").alias(lines)).dropDuplicates([host_, hash_]), "edits")
+    size = edits.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce(lines, F.array()))), F.lit(0))).first()[0]
+    match = docs[host].cast("string").eqNullSafe(edits[host_]) & (
+        F.xxhash64(text_or_empty(docs["text"])) == edits[hash_])
     found = docs.join(F.broadcast(edits) if size <= BROADCAST_LINES else edits, match, "left").where(
-        F.coalesce("kept_", F.lit(True))).select(*(docs[c] for c in docs.columns), "lines_")
+        F.coalesce(edits[kept], F.lit(True))).select(*(docs[c] for c in docs.columns), edits[lines])
     return found.mapInArrow(partial(_without_lines, place=docs.columns.index("text")), docs.schema)

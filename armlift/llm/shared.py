@@ -58,6 +58,14 @@ def slices(sizes, limit: int):
         yield start, len(sizes)
 
 
+def private(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def same_row(docs: DataFrame, keys: DataFrame) -> Column:
     """Match rows of ``docs`` with keys (id_, hash_): a doc_id and a hash of the text."""
     return docs["doc_id"].cast("bigint").eqNullSafe(keys["id_"]) & (F.xxhash64(text_or_empty(docs["text"])) == keys["hash_"])

@@ -233,26 +233,62 @@ def test_fingerprints(small, edge, edge_rows, make_docs):
         assert sorted(found, key=repr) == sorted(want, key=repr)
         for r in got:
             assert r.near_edited == (bits(r.fingerprint) == bits(r.edited_fingerprint)).mean()
-            near = sum((bits(r.fingerprint) != bits(x.fingerprint)).sum() <= 3 for x in got) - 1
+            near = sum((bits(r.fingerprint) != bits(x.fingerprint)).sum() <= fingerprints.RADIUS for x in got) - 1
             assert r.n_near == (near if r.doc_id is not None and r.doc_id % 50 == 0 else None)
     assert fingerprints.fingerprint_report(make_docs([])).count() == 0
 
 
-def test_block_tables_find_all_within_the_radius(spark):
+@pytest.mark.parametrize("radius", [0, 3, 12, 16])
+def test_block_tables_find_all_within_the_radius(spark, radius):
     rng = np.random.default_rng(4)
     base = rng.integers(-(1 << 63), 1 << 63, (40, 2), dtype=np.int64)
     rows = [tuple(x) for x in base.tolist()]
     for a, b in base.tolist():
         for _ in range(6):
-            flips = rng.choice(128, rng.integers(1, 6), replace=False).tolist()
+            flips = rng.choice(128, rng.integers(1, radius + 3), replace=False).tolist()
             x = [a & (1 << 64) - 1, b & (1 << 64) - 1]
             for f in flips:
                 x[f // 64] ^= 1 << f % 64
             rows.append(tuple(v - (v >> 63 << 64) for v in x))
     prints = spark.createDataFrame(rows, "f0 bigint, f1 bigint")
-    got = {tuple(r)[:4] for r in fingerprints.within_radius(prints, prints).collect()}
+    got = Counter(tuple(r)[:4] for r in fingerprints.within_radius(prints, prints, radius).collect())
     full = [((a & (1 << 64) - 1) << 64 | b & (1 << 64) - 1, (a, b)) for a, b in set(rows)]
-    want = {(*p, *q) for x, p in full for y, q in full if (x ^ y).bit_count() <= 3}
+    want = Counter((*p, *q) for x, p in full for y, q in full if (x ^ y).bit_count() <= radius)
     assert got == want
-    with pytest.raises(ValueError):
-        fingerprints.within_radius(prints, prints, 4)
+
+
+def simhash(text):
+    """Votes of all words by a plain loop."""
+    import xxhash
+
+    total, votes = 0, np.zeros(128, np.int64)
+    for word in re.split("[\x20\x09-\x0d]+", text):
+        weight = min(len(word), fingerprints.LONGEST) ** 2
+        h0 = xxhash.xxh64(word.encode(), seed=42).intdigest()
+        h1 = xxhash.xxh64((1).to_bytes(4, "little"), seed=h0).intdigest()
+        total += weight
+        votes += weight * np.array([h0 >> i & 1 for i in range(64)] + [h1 >> i & 1 for i in range(64)])
+    on = 2 * votes > total
+    return "".join(f"{sum(int(x) << i for i, x in enumerate(on[64 * k : 64 * k + 64])):016x}" for k in (0, 1))
+
+
+def test_fingerprints_are_the_votes_of_all_words(small, edge, edge_rows):
+    for docs, rows in ((small[0], small[1]), (edge, [(i, t) for i, t, _ in edge_rows])):
+        got = Counter((r.doc_id, r.n_chars, r.fingerprint) for r in fingerprints.fingerprint_report(docs).collect())
+        assert got == Counter((i, len(t or ""), simhash(t or "")) for i, t in rows)
+
+
+def test_recall_on_edited_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    sharing = {}
+    for i, found in sets.items():
+        for x in found:
+            sharing.setdefault(x, []).append(i)
+    seen = {p for ids in sharing.values() if len(ids) < 200 for p in combinations(ids, 2)}
+    linked = [(a, b) for a, b in seen if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    prints = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint_report(docs).collect()}
+    apart = np.array([(bits(prints[a]) != bits(prints[b])).sum() for a, b in linked])
+    assert len(linked) >= 20 and (apart <= fingerprints.RADIUS).mean() >= 0.9
+

@@ -73,3 +73,13 @@ def test_stages_on_an_empty_table(spark, make_docs, folder):
     none = make_docs([])
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0
+
+
+def test_rules_stage_with_clashing_columns(spark, folder):
+    line = "a line that all of the host's documents share with each other"
+    rows = [(i, f"{line}\n" + " ".join(f"word{i}x{k}" for k in range(30)), "en", "h", 1, *range(6)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, kept_ int, "
+                                       "lines_ int, host_ int, hash_ int, rules_kept int, RULES_LINES int")
+    out = pipeline.apply_rules(spark, docs, folder)
+    assert out.columns == docs.columns and out.count() == 60
+    assert all(line not in r.text and r.lines_ == 1 and r.n_chars == len(r.text) for r in out.collect())

@@ -153,6 +153,37 @@ def test_named_parts_win_over_class_hints():
         assert html_text._hints(f'class="{names}"')[0]
 
 
+STORY = "The river was low that year and people walked across it without fear."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<nav><a href=x>Home</a></nav><div>{' '.join([STORY] * 20)}</div><footer>Copyright</footer>", " ".join([STORY] * 20)),
+    (f"<div class=container>{STORY}<br>{STORY}<br><br>{STORY}</div><footer>Contact us</footer>", " ".join([STORY] * 3)),
+    ("<section>" + f"<div>{STORY} {STORY} {STORY}</div>" * 4 + "</section>", "\n".join([" ".join([STORY] * 3)] * 4)),
+    (f"<table><tr><td>{' '.join([STORY] * 8)}</td></tr></table>", " ".join([STORY] * 8)),
+    (f"<div><a href=a>One</a> <a href=b>Two</a></div><div>{' '.join([STORY] * 6)}</div><div>Share this</div>", " ".join([STORY] * 6)),
+])
+def test_text_straight_inside_divisions(model, page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>", model[1]) == want
+
+
+def test_training_pages_are_those_that_name_their_main_part(spark):
+    # one page in a hundred labels itself: a sample by page_id alone would hold hardly any
+    tail = "".join(f"<p>{STORY}</p>" for _ in range(5))
+    rows = [(i, "u", f"<main>{tail}</main><div class=x>Read more</div>" if i % 100 == 0 else f"<div>{tail}</div>") for i in range(2000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    import re as regex
+
+    seen = []
+    train = html_text.train
+    try:
+        html_text.train = lambda found: seen.append(found) or train(found)
+        html_text.extract_text(pages.union(pages), 15)
+    finally:
+        html_text.train = train
+    assert len(seen[0]) == 15 and all(regex.search(html_text.NAMES_MAIN, p) for p in seen[0])
+
+
 def test_page_table_with_nulls(spark):
     pages = spark.createDataFrame(
         [(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<article><p>Hi there.</p></article>", "t"),
