@@ -152,7 +152,9 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -
     """(q0, q1, f0, f1, distance): all fingerprints within ``radius`` of each query fingerprint, each pair once."""
     flips = radius // BLOCKS
     mine = queries.select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
-    found = _tables(mine, "q", flips).join(_tables(prints.select("f0", "f1").distinct(), "f"), ["table", "front"])
+    # a query is one small row before its fronts are made: its size says nothing, so neither side is broadcast
+    asked, known = _tables(mine, "q", flips), _tables(prints.select("f0", "f1").distinct(), "f")
+    found = asked.hint("merge").join(known.hint("merge"), ["table", "front"])
     distance = F.bit_count(F.col("q0").bitwiseXOR(F.col("f0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("f1")))
     earlier = F.lit(False)  # whether a table before this one finds the pair as well
     for k in range(BLOCKS - 1):
