@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from armlift.config import Options, Sequential, resolve_covariates
+from armlift.config import Options, Roles, Sequential, resolve_covariates
 from armlift.functions.guards import add, sanitize_numeric, sanitize_p, zero_if_tiny
 from armlift.operators import inference as inf
 from armlift.operators import presentation, profile
@@ -306,6 +306,17 @@ def _(spark, d):
     return spark.createDataFrame([(k, str(v)) for k, v in vars(found.roles).items()], "role string, value string")
 
 
+@query("set_roles", f"""SELECT segment, count(*) FILTER (grp = 'treatment') AS treated, count(*) FILTER (grp = 'control') AS controls,
+    count(DISTINCT user_id) AS units, 'y' AS outcome FROM ({views.EVENTS}) GROUP BY segment""")
+def _(spark, d):
+    df = views.view(spark, d, views.EVENTS)
+    found = Roles.from_mapping({"group": "grp", "effect_value": "y", "segment": "segment", "customer_id": "user_id"})
+    found = found.with_labels("treatment", "control").check(df)
+    return split_arms(df, found).groupBy(c(found.segment).alias("segment")).agg(
+        F.count_if(c("arm") == "t").alias("treated"), F.count_if(c("arm") == "c").alias("controls"),
+        F.countDistinct(found.customer_id).alias("units"), F.lit(found.outcome).alias("outcome"))
+
+
 @query("infer_labels", f"""WITH g AS (SELECT DISTINCT grp FROM ({views.EVENTS}))
     SELECT max(grp) FILTER (grp LIKE '%treat%') AS treatment, max(grp) FILTER (grp LIKE '%control%') AS control,
     'high' AS confidence FROM g""")
@@ -462,19 +473,18 @@ def _ratio_sql(view, num, den, by):
         + (vn_c + r_c*r_c*vd_c - 2*r_c*cv_c)/(md_c*md_c*n_c)) AS se FROM q), z AS (SELECT *, (r_t-r_c)/se AS z FROM s)
         SELECT segment, n_t AS treatment_n, n_c AS control_n, {r(6, treatment_ratio='r_t', control_ratio='r_c',
         absolute_diff='r_t - r_c', relative_diff='(r_t - r_c)/r_c', standard_error='se', z_statistic='z',
-        p_value=checks.both_tails('z'), ci_lower=f'r_t-r_c-{Z}*se', ci_upper=f'r_t-r_c+{Z}*se')} FROM z"""
+        p_value=checks.both_tails('z'), ci_lower=f'r_t-r_c-{Z}*se', ci_upper=f'r_t-r_c+{Z}*se')}, {checks.both_tails('z')} < 0.05 AS is_significant,
+        CAST(NULL AS VARCHAR) AS reason FROM z"""
 
 
 @query("ratio_metric", _ratio_sql(views.USERS, "total", "events", "segment"))
 def _(spark, d):
-    return rounded(ratio_metric(views.view(spark, d, views.USERS), ROLES, "total", "events", "segments").drop(
-        "reason", "is_significant"))
+    return rounded(ratio_metric(views.view(spark, d, views.USERS), ROLES, "total", "events", "segments"))
 
 
 @query("ratio_metric_overall", _ratio_sql(views.CUSTOMERS, "post", "pre", "'Overall'"))
 def _(spark, d):
-    return rounded(ratio_metric(views.view(spark, d, views.CUSTOMERS), ROLES, "post", "pre").drop(
-        "reason", "is_significant"))
+    return rounded(ratio_metric(views.view(spark, d, views.CUSTOMERS), ROLES, "post", "pre"))
 
 
 @query("unit_rollup", f"""SELECT segment, left(grp, 1) AS arm, CAST(user_id AS VARCHAR) AS unit, {r(4, y='sum(y)')},
@@ -828,10 +838,13 @@ def _(spark, d):
     return rounded(shapiro_test(rows_of(spark, d, views.USERS, views.roles(outcome="total"))))
 
 
-@query("normality_test", f"""WITH shapiro AS ({_shapiro_sql(views.USERS, "total")}) SELECT segment, 'shapiro' AS normality_test,
+NORMALITY_SQL = """WITH shapiro AS ({shapiro}) SELECT segment, 'shapiro' AS normality_test,
     max(p_value) FILTER (arm = 't') AS treatment_normality_p_value, max(p_value) FILTER (arm = 'c') AS control_normality_p_value,
     max(p_value) FILTER (arm = 't') > 0.05 AS treatment_normality_passed,
-    max(p_value) FILTER (arm = 'c') > 0.05 AS control_normality_passed FROM shapiro GROUP BY segment""")
+    max(p_value) FILTER (arm = 'c') > 0.05 AS control_normality_passed FROM shapiro GROUP BY segment"""
+
+
+@query("normality_test", NORMALITY_SQL.format(shapiro=_shapiro_sql(views.USERS, "total")))
 def _(spark, d):
     rows = rows_of(spark, d, views.USERS, views.roles(outcome="total"))
     return rounded(normality_test(rows, stage(enough(segment_moments(rows)))))
@@ -1042,28 +1055,32 @@ def _(spark, d):
     return analyze(views.view(spark, d, views.EVENTS_WITH_GAPS), ROLES).summary
 
 
-RULES_SQL = FULL + """, k AS (SELECT count(*) AS total, count(*) FILTER (sp < 0.05) AS srm, count(*) FILTER (sig) AS sig,
+FULL_POWER = checks.power_columns(FULL + f""", base AS (SELECT segment, {D_SQL} AS d, CAST(n_t AS DOUBLE) AS n1,
+    CAST(n_c AS DOUBLE) AS n2 FROM h)""")
+RULES_SQL = FULL_POWER + """, k AS (SELECT count(*) AS total, count(*) FILTER (sp < 0.05) AS srm, count(*) FILTER (sig) AS sig,
     count(*) FILTER (sig AND mean_t > mean_c) AS pos, count(*) FILTER (sig AND mean_t < mean_c) AS neg,
-    count(*) FILTER (greatest(n_t, n_c) > 2 * least(n_t, n_c)) AS skew FROM h)"""
+    count(*) FILTER (greatest(n_t, n_c) > 2 * least(n_t, n_c)) AS skew,
+    count(*) FILTER (power < 0.8) AS weak FROM h JOIN pw ON pw.segment = h.segment)"""
 
 
 @query("recommendations", RULES_SQL + """ SELECT position, rule, segments FROM (
     SELECT 6 AS position, 'sample_ratio' AS rule, srm AS segments, srm > 0 AS fires FROM k
     UNION ALL SELECT 9, 'multiple_testing', total, total > 1 FROM k UNION ALL SELECT 10, 'positive', pos, pos > 0 FROM k
     UNION ALL SELECT 11, 'negative', neg, neg > 0 FROM k UNION ALL SELECT 12, 'none', sig, sig = 0 FROM k
+    UNION ALL SELECT 13, 'sample_size', weak, weak > 0 FROM k
     UNION ALL SELECT 14, 'imbalance', skew, skew > 0 FROM k) WHERE fires""")
 def _(spark, d):
-    # the rules on power rest on a distribution that the checking SQL lacks
-    return rounded(recommendations(_orders_result(spark, d)).where("rule <> 'sample_size'").drop("recommendation"))
+    return rounded(recommendations(_orders_result(spark, d)).drop("recommendation"))
 
 
-@query("recommended_segments", FULL + """ SELECT 'sample_ratio' AS rule, segment FROM h WHERE sp < 0.05
+@query("recommended_segments", FULL_POWER + """ SELECT 'sample_size' AS rule, segment FROM pw WHERE power < 0.8
+    UNION ALL SELECT 'sample_ratio' AS rule, segment FROM h WHERE sp < 0.05
     UNION ALL SELECT 'multiple_testing', segment FROM h WHERE (SELECT count(*) FROM h) > 1
     UNION ALL SELECT 'positive', segment FROM h WHERE sig AND mean_t > mean_c
     UNION ALL SELECT 'negative', segment FROM h WHERE sig AND mean_t < mean_c
     UNION ALL SELECT 'imbalance', segment FROM h WHERE greatest(n_t, n_c) > 2 * least(n_t, n_c)""")
 def _(spark, d):
-    return recommended_segments(_orders_result(spark, d)).where("rule <> 'sample_size'").drop("detail")
+    return recommended_segments(_orders_result(spark, d)).drop("detail")
 
 
 @query("segment_flags", f"""{EV}, s AS (SELECT segment, (n_t-n_c)*(n_t-n_c)/(n_t+n_c) AS chi FROM m)
@@ -1074,7 +1091,33 @@ def _(spark, d):
     return segment_flags(_core(segment_moments(rows_of(spark, d))))
 
 
-@query("assumption_findings")
+QUALITY_SQL = f"""SELECT s.segment, srm_chi2, srm_p_value, srm_is_mismatch, normality_test, treatment_normality_p_value,
+    control_normality_p_value, treatment_normality_passed, control_normality_passed, levene_p_value, levene_p_value > 0.05 AS equal_variance_passed,
+    winsorized_effect, trimmed_effect, sensitivity_score, is_outlier_sensitive, unique_units, within_arm_repeats, cross_arm_units
+    FROM ({CHECKS['sample_ratio']}) s JOIN ({CHECKS['outlier_sensitivity']}) o ON o.segment = s.segment
+    JOIN ({CHECKS['levene_test']}) l ON l.segment = s.segment JOIN ({CHECKS['duplicate_units']}) u ON u.segment = s.segment
+    JOIN ({NORMALITY_SQL.format(shapiro=_shapiro_sql(views.EVENTS, "y"))}) n ON n.segment = s.segment"""
+
+
+@query("diagnostics_payload", QUALITY_SQL)
+def _(spark, d):
+    res = analyze(views.view(spark, d, views.EVENTS), views.roles(customer_id="user_id"), Options(metric_type="continuous")).results
+    quality = res.select("segment", "diagnostics.experiment_quality.*")
+    return rounded(quality.select(
+        "segment", "srm.srm_chi2", "srm.srm_p_value", "srm.srm_is_mismatch", "assumptions.normality_test",
+        "assumptions.treatment_normality_p_value", "assumptions.control_normality_p_value",
+        "assumptions.treatment_normality_passed", "assumptions.control_normality_passed", "assumptions.levene_p_value",
+        "assumptions.equal_variance_passed", "outlier_sensitivity.winsorized_effect", "outlier_sensitivity.trimmed_effect",
+        "outlier_sensitivity.sensitivity_score", "outlier_sensitivity.is_outlier_sensitive", "duplicate_units.unique_units",
+        "duplicate_units.within_arm_repeats", "duplicate_units.cross_arm_units"))
+
+
+@query("assumption_findings", f"""WITH q AS ({QUALITY_SQL}) SELECT segment, 'normality' AS "check", 'treatment' AS detail FROM q
+    WHERE NOT treatment_normality_passed UNION ALL SELECT segment, 'normality', 'control' FROM q WHERE NOT control_normality_passed
+    UNION ALL SELECT segment, 'equal_variance', 'Levene' FROM q WHERE NOT equal_variance_passed
+    UNION ALL SELECT segment, 'outliers', printf('%.4f', sensitivity_score) FROM q WHERE is_outlier_sensitive
+    UNION ALL SELECT segment, 'duplicate_units', within_arm_repeats || ' unit(s) appear more than once in one arm: roll rows up to units before testing'
+    FROM q WHERE within_arm_repeats > 0""")
 def _(spark, d):
     return assumption_findings(analyze(views.view(spark, d, views.EVENTS), views.roles(customer_id="user_id"),
                                        Options(metric_type="continuous")).results)
@@ -1138,18 +1181,20 @@ def _(spark, d):
     return rounded(presentation.chart_table(_core(segment_moments(rows_of(spark, d))), "power"))
 
 
-@query("chart_dashboard", FULL + f""" SELECT segment, {r(6, treatment_mean='mean_t', control_mean='mean_c',
-    effect_size=checks.RAW, p_value='pv')}, n_t AS treatment_size, n_c AS control_size FROM h""")
+@query("chart_dashboard", FULL_POWER + f""" SELECT h.segment, {r(6, treatment_mean='mean_t', control_mean='mean_c',
+    effect_size=checks.RAW, p_value='pv', power='power')}, n_t AS treatment_size, n_c AS control_size
+    FROM h JOIN pw ON pw.segment = h.segment""")
 def _(spark, d):
-    return rounded(presentation.chart_table(_orders_result(spark, d), "dashboard").drop("power"))
+    return rounded(presentation.chart_table(_orders_result(spark, d), "dashboard"))
 
 
-@query("chart_statistical_summary", FULL + f""" SELECT segment, n_t AS treatment_size, n_c AS control_size,
+@query("chart_statistical_summary", FULL_POWER + f""" SELECT h.segment, n_t AS treatment_size, n_c AS control_size,
     {r(6, effect_size=checks.RAW, cohens_d=checks.RAW + """
-    / sqrt(((n_t-1)*var_t + (n_c-1)*var_c)/(n_t+n_c-2))""", p_value='pv', total_effect='(te + pe)*n_t')} FROM h""")
+    / sqrt(((n_t-1)*var_t + (n_c-1)*var_c)/(n_t+n_c-2))""", p_value='pv', total_effect='(te + pe)*n_t', power='power',
+    bayesian_prob_treatment_better=checks.normal_cdf(checks.RAW + "/sqrt(var_t/n_t + var_c/n_c)"))}
+    FROM h JOIN pw ON pw.segment = h.segment""")
 def _(spark, d):
-    return rounded(presentation.chart_table(_orders_result(spark, d), "statistical_summary").drop(
-        "power", "bayesian_prob_treatment_better"))
+    return rounded(presentation.chart_table(_orders_result(spark, d), "statistical_summary"))
 
 
 BAYES_EV = f"""{EV}, b AS (SELECT *, {checks.RAW} AS mu, sqrt(var_t/n_t + var_c/n_c) AS sd FROM m),
@@ -1177,11 +1222,14 @@ def _(spark, d):
     return rounded(presentation.chart_table(_core(segment_moments(rows_of(spark, d))), "loss"), 5)
 
 
-@query("report_prepost", f"""{US} SELECT segment, {r(6, treatment_pre_mean='xmean_t', control_pre_mean='xmean_c',
-    treatment_post_mean='mean_t', control_post_mean='mean_c', did_effect='dmean_t - dmean_c')} FROM m""")
+@query("report_prepost", f"""{US}, a AS (SELECT segment, n_t, n_c, xmean_t AS mean_t, xmean_c AS mean_c, xvar_t AS var_t,
+    xvar_c AS var_c FROM m), {WELCH.replace('FROM m)', 'FROM a)')} SELECT m.segment, {checks.t_both_tails('t', 'df')} > 0.05
+    AS aa_test_passed, false AS bootstrapping_applied, {r(6, treatment_pre_mean='xmean_t', control_pre_mean='xmean_c',
+    treatment_post_mean='m.mean_t', control_post_mean='m.mean_c', did_effect='dmean_t - dmean_c')}
+    FROM m JOIN x ON x.segment = m.segment""")
 def _(spark, d):
     res = analyze(views.view(spark, d, views.USERS), PRE).results
-    return rounded(presentation.prepost_report(res).drop("aa_test_passed", "bootstrapping_applied"))
+    return rounded(presentation.prepost_report(res))
 
 
 @query("report_frequentist", FULL + f""" SELECT segment, n_t AS treatment_size, n_c AS control_size, {r(6, p_value='pv')},
@@ -1240,12 +1288,23 @@ def _flow(results: DataFrame, *extra: str) -> DataFrame:
         "cohens_d", "variance_ratio", "srm_p_value", *extra))
 
 
-@query("analyze", _flow_sql(f"""{EV}, o AS (SELECT * FROM m UNION ALL SELECT * FROM
+POSTERIOR = {"bayesian_prob_treatment_better": checks.normal_cdf(f"{checks.RAW}/sqrt(var_t/n_t + var_c/n_c)"),
+             "bayesian_credible_lower": f"{checks.RAW} - {Z}*sqrt(var_t/n_t + var_c/n_c)",
+             "bayesian_credible_upper": f"{checks.RAW} + {Z}*sqrt(var_t/n_t + var_c/n_c)",
+             "bayesian_relative_uplift": f"{checks.RAW}/mean_c", "bayesian_total_effect": f"{checks.RAW}*n_t"}
+FITTED = {"p_value": checks.both_tails(f"{checks.RAW}/{checks.HC3_SE}"), "ci_lower": f"{checks.RAW} - {Z}*{checks.HC3_SE}",
+          "ci_upper": f"{checks.RAW} + {Z}*{checks.HC3_SE}"}
+
+
+@query("analyze", f"""SELECT a.*, 'continuous' AS metric_type, 'ols_hc3' AS model_type, {r(6, power='power', achieved_mde='mde')},
+    required_n AS required_sample_size, power >= 0.8 AS is_sample_adequate FROM ({_flow_sql(f"""{EV}, o AS (SELECT * FROM m UNION ALL SELECT * FROM
     ({checks.moments(views.EVENTS, by="'Overall'").replace('WITH v AS', 'WITH v2 AS').replace('FROM v ', 'FROM v2 ')}
-    SELECT * FROM m))"""))
+    SELECT * FROM m))""", ", " + r(6, **FITTED, **POSTERIOR))}) a JOIN (SELECT * FROM ({POWER_SQL} SELECT * FROM pw)) w ON w.segment = a.segment""")
 def _(spark, d):
     # the default analysis, whole; shown are the columns that SQL can express
-    return _flow(analyze(views.view(spark, d, views.EVENTS), views.roles(customer_id="user_id"), Options(scope="both")).results)
+    res = analyze(views.view(spark, d, views.EVENTS), views.roles(customer_id="user_id"), Options(scope="both")).results
+    return _flow(res, "metric_type", "model_type", "power", "achieved_mde", "required_sample_size", "is_sample_adequate",
+                 *FITTED, *POSTERIOR)
 
 
 @query("auto_analyze", _flow_sql(f"{US}, o AS (SELECT * FROM m)", ", " + r(
