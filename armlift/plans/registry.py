@@ -1296,13 +1296,22 @@ FITTED = {"p_value": checks.both_tails(f"{checks.RAW}/{checks.HC3_SE}"), "ci_low
           "ci_upper": f"{checks.RAW} + {Z}*{checks.HC3_SE}"}
 
 
-@query("analyze", f"""SELECT a.*, 'continuous' AS metric_type, 'ols_hc3' AS model_type, {r(6, power='power', achieved_mde='mde')},
+def _by_family(name: str, robust: str) -> str:
+    return f"round(CASE WHEN metric_type = 'heavy_tail' THEN {robust} ELSE a.{name} END, 5) AS {name}"
+
+
+@query("analyze", f"""SELECT a.* EXCLUDE (p_value, ci_lower, ci_upper), coalesce(metric_type, 'continuous') AS metric_type,
+    CASE WHEN metric_type = 'heavy_tail' THEN 'rlm_huber' ELSE 'ols_hc3' END AS model_type,
+    {_by_family('p_value', checks.both_tails('b.effect/b.se'))}, {_by_family('ci_lower', f'b.effect - {Z}*b.se')},
+    {_by_family('ci_upper', f'b.effect + {Z}*b.se')}, {r(6, power='power', achieved_mde='mde')},
     required_n AS required_sample_size, power >= 0.8 AS is_sample_adequate FROM ({_flow_sql(f"""{EV}, o AS (SELECT * FROM m UNION ALL SELECT * FROM
     ({checks.moments(views.EVENTS, by="'Overall'").replace('WITH v AS', 'WITH v2 AS').replace('FROM v ', 'FROM v2 ')}
-    SELECT * FROM m))""", ", " + r(6, **FITTED, **POSTERIOR))}) a JOIN (SELECT * FROM ({POWER_SQL} SELECT * FROM pw)) w ON w.segment = a.segment""")
+    SELECT * FROM m))""", ", " + r(9, **FITTED) + ", " + r(6, **POSTERIOR))}) a JOIN (SELECT * FROM ({POWER_SQL} SELECT * FROM pw)) w ON w.segment = a.segment
+    LEFT JOIN ({FAMILY_SQL}) f ON f.segment = 'value:' || a.segment LEFT JOIN ({checks.huber(views.EVENTS)} SELECT * FROM h) b ON b.segment = a.segment""")
 def _(spark, d):
     # the default analysis, whole; shown are the columns that SQL can express
     res = analyze(views.view(spark, d, views.EVENTS), views.roles(customer_id="user_id"), Options(scope="both")).results
+    res = res.withColumns({k: F.round(c(k), 5) for k in FITTED})
     return _flow(res, "metric_type", "model_type", "power", "achieved_mde", "required_sample_size", "is_sample_adequate",
                  *FITTED, *POSTERIOR)
 
