@@ -75,8 +75,9 @@ def analysis_rows(
     scope: str = "segments",
     covariates: tuple[str, ...] = (),
     unit: bool = False,
+    look: str | None = None,
 ) -> DataFrame:
-    """Project the needed columns only: segment, arm, y[, x][, c0..][, unit].
+    """Project the needed columns only: segment, arm, y[, x][, c0..][, unit][, look].
 
     Missing values stay null here; each operator decides which rows are complete. In
     scope ``both`` a row is still one row: moments of the pooled group are merged
@@ -91,5 +92,7 @@ def analysis_rows(
              for i, c in enumerate(covariates)]
     if unit and roles.customer_id:
         cols.append(F.col(roles.customer_id).cast("string").alias("unit"))
+    if look:
+        cols.append(F.col(look).cast("int").alias("look"))
     rows = df.select(*cols).where(F.col("arm").isNotNull())
     return rows if is_pooled(roles, scope) else rows.where(F.col("segment").isNotNull())

@@ -60,10 +60,10 @@ def _view(prefix: str, keep: str, with_pre: bool) -> dict[str, str]:
     return out
 
 
-def merged_moments(wide: DataFrame, views: dict[str, tuple[str, bool]]) -> DataFrame:
-    """The row of all segments together, from the staged moments of each: central moments are moved to the common mean.
+def merged_moments(wide: DataFrame, views: dict[str, tuple[str, bool]], by: str) -> DataFrame:
+    """One row per ``by``, from the staged moments of its parts: central moments are moved to the common mean.
 
-    Sums of squares, cross products and the third and fourth powers about the mean of a segment turn into those about the
+    Sums of squares, cross products and the third and fourth powers about the mean of a part turn into those about the
     common mean by the distance of the two, so nothing large is subtracted and no row is read again.
     """
     means, sums, out = {}, {}, {"rows_dropped": "rows_dropped"}
@@ -108,10 +108,9 @@ def merged_moments(wide: DataFrame, views: dict[str, tuple[str, bool]]) -> DataF
         powers = add(powers, **{
             f"{view}_m3": f"coalesce({view}_skew * power({view}_m2, 1.5D) / sqrt({view}_n), 0D)",
             f"{view}_m4": f"coalesce(({view}_kurt + 3) * {view}_m2 * {view}_m2 / {view}_n, 0D)"})
-    powers = powers.withColumn("one", F.lit(1))
-    common = powers.groupBy("one").agg(*[F.expr(e).alias(k) for k, e in means.items()])
-    whole = powers.join(F.broadcast(common), "one").groupBy("one").agg(*[F.expr(e).alias(k) for k, e in sums.items()])
-    return whole.select(F.lit(OVERALL).alias("segment"), *[F.expr(e).alias(k) for k, e in out.items()])
+    common = powers.groupBy(by).agg(*[F.expr(e).alias(k) for k, e in means.items()])
+    whole = powers.join(common, by).groupBy(by).agg(*[F.expr(e).alias(k) for k, e in sums.items()])
+    return whole.select(by, *[F.expr(e).alias(k) for k, e in out.items()])
 
 
 def segment_moments(rows: DataFrame) -> DataFrame:
@@ -121,6 +120,9 @@ def segment_moments(rows: DataFrame) -> DataFrame:
     aggregated in the same pass and the applicable one is chosen per segment, so
     the number of Spark jobs does not depend on the number of segments. The
     aggregation is partial on the map side, so a hot segment costs no skew.
+
+    Rows with a column ``look``, the first look of a plan that sees them, give a row
+    ``segment:look`` for that look and every later one, without being repeated.
     """
     covs = [c for c in rows.columns if c[0] == "c" and c[1:].isdigit()]
     has_pre = "x" in rows.columns
@@ -135,10 +137,19 @@ def segment_moments(rows: DataFrame) -> DataFrame:
     sums = {"rows_dropped": "count_if(y IS NULL)"}
     for name, (keep, pre) in views.items():
         sums |= _view(name, keep, pre)
-    wide = rows.groupBy("segment").agg(*[F.expr(e).alias(k) for k, e in sums.items()])
+    parts = ["segment", "look"] if "look" in rows.columns else ["segment"]
+    wide = rows.groupBy(*parts).agg(*[F.expr(e).alias(k) for k, e in sums.items()])
+    if "look" in rows.columns:
+        # a look holds all rows that came before it: its moments are merged from those of the looks up to it
+        wide = stage(wide)
+        last = wide.agg(F.max("look")).scalar()
+        upto = wide.withColumn("look", F.explode(F.sequence("look", last))).withColumn(
+            "segment", F.concat_ws(":", "segment", F.col("look").cast("string"))).drop("look")
+        wide = merged_moments(upto, views, "segment")
     if has_pooled(rows):
         wide = stage(wide)
-        wide = wide.where("segment IS NOT NULL").unionByName(merged_moments(wide, views))
+        together = merged_moments(wide.withColumn("segment", F.lit(OVERALL)), views, "segment")
+        wide = wide.where("segment IS NOT NULL").unionByName(together)
     order = [v for v in ("cov", "pair") if v in views]
 
     def usable(view: str) -> str:

@@ -167,6 +167,28 @@ def _core(m: DataFrame, options: Options = CONTINUOUS, rows: DataFrame | None =
     return sequential(out, options.sequential, options.alpha)
 
 
+@query("partition_overwrite", f"""WITH v AS ({views.EVENTS}) SELECT segment, left(grp, 1) AS arm,
+    CASE WHEN segment = 'click' THEN 2 ELSE 1 END * count(y) AS n FROM v GROUP BY segment, grp""")
+def _(spark, d):
+    # one segment is written again with doubled counts; the others stay as they were
+    path = _out(spark, "partitions")
+    m = arm_moments(rows_of(spark, d)).select("segment", "arm", "n")
+    sinks.write_results_partitioned(m, path, "parquet", ["segment"])
+    again = m.where("segment = 'click'").withColumn("n", 2 * c("n"))
+    sinks.write_results_partitioned(again, path, "parquet", ["segment"], "overwrite_partitions")
+    return spark.read.parquet(path).select(c("segment").cast("string"), "arm", "n")
+
+
+@query("publish_managed_tables", f"""{EV} SELECT segment, n_t AS treatment_size, {r(6, effect_size=checks.RAW)} FROM m""")
+def _(spark, d):
+    m = stage(segment_moments(rows_of(spark, d)))
+    sinks.publish_tables(results=_core(m), managed=True, folder=_out(spark, "tables"))
+    found = rounded(sinks.query_results(spark, f"SELECT segment, treatment_size, effect_size FROM {sinks.RESULTS}").data)
+    found = stage(found)
+    sinks.unpublish_tables(spark)
+    return found
+
+
 @query("publish_tables", f"""{EV} SELECT m.segment, n_t AS treatment_size, {r(6, effect_size=checks.RAW)},
     (SELECT count(*) FROM v WHERE v.segment = m.segment) AS raw_rows FROM m""")
 def _(spark, d):
@@ -1018,14 +1040,14 @@ LOOKS = f"""SELECT event_type || ':' || look AS segment, event_type AS seg, look
       f" p AS (SELECT *, {checks.both_tails('z')} AS p FROM z)" + SEQ.format(source="p", spent=OBF, z=Z)
     + f" SELECT segment, {r(6, p_value='p', sequential_alpha_spent='spent')}, sequential_decision FROM d"))
 def _(spark, d):
-    # Every look is decided in one job: a row counts towards all looks after it.
+    # all looks of a plan from one grouped pass: a row is counted at the first look that sees it
     ev = views.table(spark, d, "events")
     first = F.greatest(F.lit(1), F.ceil((F.unix_micros(c("ts").cast("timestamp")) + 1 - F.unix_micros(
         F.lit("2024-01-01 00:00:00").cast("timestamp"))) / (8 * 86400e6)).cast("int"))
-    df = ev.withColumn("look", F.explode(F.when(first <= 4, F.sequence(first, F.lit(4))))).select(
-        F.concat("event_type", F.lit(":"), c("look").cast("string")).alias("segment"),
-        F.when(c("user_id") % 2 == 0, "treatment").otherwise("control").alias("grp"), c("value").alias("y"))
-    m = metric_family(enough(segment_moments(analysis_rows(df, ROLES))), None, CONTINUOUS)
+    df = ev.select(c("event_type").alias("segment"), F.when(c("user_id") % 2 == 0, "treatment").otherwise("control").alias("grp"),
+                   c("value").alias("y"), first.alias("look")).where("look <= 4")
+    rows = analysis_rows(df, ROLES, look="look")
+    m = metric_family(enough(segment_moments(rows)), None, CONTINUOUS)
     out = core_results(m, CONTINUOUS).select(*RESULT_COLUMNS).withColumns({
         "look_index": F.substring_index("segment", ":", -1).cast("int"), "max_looks": F.lit(4)})
     return rounded(sequential(out, Sequential()).select("segment", "p_value", "sequential_alpha_spent", "sequential_decision"))

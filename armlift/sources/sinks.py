@@ -26,8 +26,17 @@ def write_results_partitioned(
     df: DataFrame, path: str, format: str = "delta", partition_by: list[str] | None = None,
     mode: str = "overwrite",
 ) -> None:
-    """Any Spark sink format; Delta needs its package on the session's class path."""
-    writer = df.write.format(format).mode(mode)
+    """Any Spark sink format; Delta needs its package on the session's class path.
+
+    With mode ``overwrite_partitions`` only the partitions that ``df`` has are
+    replaced; other modes are Spark's own.
+    """
+    if mode == "overwrite_partitions":
+        if not partition_by:
+            raise ValueError("partitions can only be replaced where partition_by names them")
+        writer = df.write.format(format).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = df.write.format(format).mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
@@ -35,21 +44,34 @@ def write_results_partitioned(
 
 def publish_tables(
     raw: DataFrame | None = None, results: DataFrame | None = None, summary: DataFrame | None = None,
-    failures: DataFrame | None = None, managed: bool = False,
+    failures: DataFrame | None = None, managed: bool = False, folder: str | None = None,
 ) -> list[str]:
-    """Replace the four queryable tables, as temporary views or managed tables."""
+    """Replace the four queryable tables, as temporary views or as tables of the catalog.
+
+    Catalog tables are written to the warehouse, or below ``folder``. A view of the
+    same name would hide such a table, so it is dropped.
+    """
     done = []
     for name, df in ((RAW, raw), (RESULTS, results), (SUMMARY, summary), (FAILURES, failures)):
         if df is None:
             continue
         if managed:
-            df.write.mode("overwrite").saveAsTable(name)
+            df.sparkSession.catalog.dropTempView(name)
+            writer = df.write.mode("overwrite")
+            (writer.option("path", f"{folder}/{name}") if folder else writer).saveAsTable(name)
         else:
             df.createOrReplaceTempView(name)
         done.append(name)
     return done
 
 
+def unpublish_tables(spark: SparkSession) -> None:
+    """Take the published views and tables out of the session's catalog."""
+    for name in (RAW, RESULTS, SUMMARY, FAILURES):
+        spark.catalog.dropTempView(name)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def describe_tables(spark: SparkSession) -> DataFrame:
     """One row per column of every published table that exists."""
     rows = []

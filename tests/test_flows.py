@@ -260,6 +260,42 @@ def test_pooled_moments_are_merged_from_those_of_segments(spark):
                 assert got == (pytest.approx(v, rel=1e-6, abs=1e-9) if isinstance(v, float) else v), (name, k)
 
 
+def test_looks_are_merged_from_their_parts(spark):
+    from armlift.operators.moments import segment_moments
+
+    rng = np.random.default_rng(41)
+    n = 900
+    df = pd.DataFrame({"segment": rng.choice(["a", "b"], n), "grp": rng.choice(["t", "c"], n), "y": rng.exponential(2, n), "look": rng.integers(1, 5, n)})
+    df.loc[(df.segment == "b") & (df.look == 2), "look"] = 3  # a look without rows of its own
+    roles = Roles("grp", "y", "t", "c", segment="segment")
+    rows = analysis_rows(spark.createDataFrame(df), roles, look="look")
+    assert rows.count() == n
+    got = {r.segment: r.asDict() for r in segment_moments(rows).collect()}
+    assert set(got) == {f"{s}:{k}" for s in "ab" for k in range(1, 5)}
+    for name, row in got.items():
+        part = df[(df.segment == name[0]) & (df.look <= int(name[2:]))]
+        want = segment_moments(analysis_rows(spark.createDataFrame(part.drop(columns="look")), roles)).first().asDict()
+        for k, v in want.items():
+            if k != "segment":
+                assert row[k] == (pytest.approx(v, rel=1e-8) if isinstance(v, float) else v), (name, k)
+
+
+def test_partition_overwrite_and_catalog_tables(spark, tmp_path):
+    one = spark.createDataFrame([("a", 1), ("b", 2)], "segment string, n int")
+    path = str(tmp_path / "parts")
+    sinks.write_results_partitioned(one, path, "parquet", ["segment"])
+    sinks.write_results_partitioned(one.where("segment = 'b'").withColumn("n", F.lit(9)), path, "parquet", ["segment"], "overwrite_partitions")
+    assert {(r.segment, r.n) for r in spark.read.parquet(path).collect()} == {("a", 1), ("b", 9)}
+    with pytest.raises(ValueError):
+        sinks.write_results_partitioned(one, path, "parquet", None, "overwrite_partitions")
+    assert sinks.publish_tables(raw=one, managed=True, folder=str(tmp_path / "tables")) == [sinks.RAW]
+    assert sinks.query_results(spark, f"SELECT sum(n) AS n FROM {sinks.RAW}").data.first().n == 3
+    sinks.publish_tables(raw=one.union(one), managed=True, folder=str(tmp_path / "tables2"))
+    assert spark.table(sinks.RAW).count() == 4
+    sinks.unpublish_tables(spark)
+    assert not spark.catalog.tableExists(sinks.RAW)
+
+
 def test_scope_both_without_a_segment_column(spark, sample):
     roles = Roles("grp", "y", "t", "c")
     rng = np.random.default_rng(2)
