@@ -21,12 +21,15 @@ MAD_SCALE = 0.6744897501960817
 ZONE_REACH = 0.02
 REACH_STEP = 0.05
 SMALL_ZONE = 20_000
+FLAT = 1e-9          # of the spread of all values
+MAX_STEPS = 500      # of the fixed point on buckets; a fit beyond is given up
+MAX_NARROWINGS = 20  # of the boundary buckets, likewise
 
 
 # --- Huber location shift of two arms -------------------------------------------------
 
 _FIT = ("segment string, kind string, arm string, b bigint, lo double, hi double, cnt bigint, "
-        "mu_t double, mu_c double, scale double, psi2 double, inner double, n double")
+        "mu_t double, mu_c double, scale double, psi2 double, inner double, n double, settled boolean")
 
 
 def _weighted_median(v: np.ndarray, w: np.ndarray) -> float:
@@ -53,8 +56,11 @@ def _huber_on_buckets(pdf: pd.DataFrame, reach: float = ZONE_REACH) -> pd.DataFr
     mu = np.array([np.average(mean[~arm], weights=cnt[~arm]), np.average(mean[arm], weights=cnt[arm])])
     centre = mu[arm.astype(int)]
     scale = _weighted_median(np.abs(mean - centre), cnt) / MAD_SCALE
-    for _ in range(500):
-        if scale <= 0:
+    spread = float(np.sqrt((m2 + cnt * (mean - np.average(mean, weights=cnt)) ** 2).sum() / cnt.sum()))
+    settled = False
+    for _ in range(MAX_STEPS):
+        if scale <= FLAT * spread:  # over half of the residuals vanish, but for rounding
+            scale = 0.0
             break
         clip = HUBER_T * scale
         r = mean - centre
@@ -72,6 +78,7 @@ def _huber_on_buckets(pdf: pd.DataFrame, reach: float = ZONE_REACH) -> pd.DataFr
         moved = max(np.max(np.abs(new - mu)), abs(fresh - scale))
         mu, scale = new, fresh
         if moved <= 1e-12 * max(1.0, scale):
+            settled = True
             break
     r = mean - centre
     clip = HUBER_T * scale
@@ -80,14 +87,14 @@ def _huber_on_buckets(pdf: pd.DataFrame, reach: float = ZONE_REACH) -> pd.DataFr
     if scale > 0:
         psi2 = float((m2 + cnt * r * r)[mid].sum() / scale**2 + HUBER_T**2 * cnt[~mid].sum())
         inner = float(cnt[mid].sum())
-    fit = (seg, "fit", None, None, None, None, None, mu[1], mu[0], scale, psi2, inner, cnt.sum())
+    fit = (seg, "fit", None, None, None, None, None, mu[1], mu[0], scale, psi2, inner, cnt.sum(), settled)
     rows = [fit]
     gap = reach * scale + 1e-12
     for edge in (clip, MAD_SCALE * scale):
         for sign in (-1.0, 1.0):
             at = centre + sign * edge
             for i in np.nonzero((lo < hi) & (lo - gap <= at) & (at <= hi + gap))[0]:
-                rows.append((seg, "zone", "t" if arm[i] else "c", int(bucket[i]), lo[i], hi[i], int(cnt[i])) + (None,) * 6)
+                rows.append((seg, "zone", "t" if arm[i] else "c", int(bucket[i]), lo[i], hi[i], int(cnt[i])) + (None,) * 7)
     return pd.DataFrame(rows, columns=[f.split()[0] for f in _FIT.split(", ")])
 
 
@@ -98,7 +105,9 @@ def huber_shift(rows: DataFrame) -> DataFrame:
     a clipped row adds only a count and an unclipped one only to a sum, so buckets
     away from the clip and median boundaries are exact. Boundary buckets are split
     and re-read until they are single values; two or three scans in all, instead
-    of one scan (and one median) per iteration.
+    of one scan (and one median) per iteration. ``fit_converged`` is true where the
+    fixed point settled on buckets none of which straddles a boundary; otherwise, and
+    where more than half of the rows agree (scale 0), there is no effect.
     """
     keys = ["segment", "arm"]
     data = rows.select(*keys, "y")
@@ -112,7 +121,8 @@ def huber_shift(rows: DataFrame) -> DataFrame:
     data = data.withColumn("b", log_bucket(y).cast("bigint"))
     out_cols = [*keys, "b", "lo", "hi", "cnt", "mean", "m2"]
     buckets = stage(condensed([*keys, "b"], data).select(*out_cols))
-    for step in range(20):
+    unsettled = None
+    for step in range(MAX_NARROWINGS):
         # the boundaries settle, so the strip around them that is read again narrows
         solve = partial(_huber_on_buckets, reach=ZONE_REACH * REACH_STEP**step)
         solved = stage(buckets.groupBy("segment").applyInPandas(solve, _FIT))
@@ -128,7 +138,12 @@ def huber_shift(rows: DataFrame) -> DataFrame:
         fine = condensed([*keys, "b", "z_lo", "z_hi", piece.alias("piece")], inside).select(*out_cols)
         kept = buckets.join(zones.drop("cnt"), [*keys, "lo", "hi"], "left_anti")
         buckets = stage(kept.select(*out_cols).unionByName(fine))
-    fit = solved.where("kind = 'fit'")
+    else:
+        unsettled = zones.select("segment", F.lit(False).alias("exact")).distinct()
+    fit = solved.where("kind = 'fit'").withColumn("exact", F.lit(True))
+    if unsettled is not None:
+        fit = fit.drop("exact").join(unsettled, "segment", "left")
+    fit = fit.withColumn("fit_converged", F.col("settled") & F.coalesce("exact", F.lit(True)) & (F.col("scale") > 0))
     sizes = buckets.groupBy("segment").agg(
         F.sum(F.when(F.col("arm") == "t", F.col("cnt"))).alias("k_t"),
         F.sum(F.when(F.col("arm") == "c", F.col("cnt"))).alias("k_c"))
@@ -137,9 +152,9 @@ def huber_shift(rows: DataFrame) -> DataFrame:
     k = 1 + 2.0 / c("n") * (share * (1 - share)) / (share * share)
     var = k * k * (c("psi2") / F.nullif(c("n") - 2, F.lit(0.0)) * c("scale") * c("scale")) / (share * share) * (1 / c("k_t") + 1 / c("k_c"))
     return fit.join(sizes, "segment").select(
-        "segment", F.when(c("scale") > 0, c("mu_t") - c("mu_c")).alias("fit_effect"),
-        F.when(c("scale") > 0, F.sqrt(var)).alias("fit_se"), F.lit(None).cast("double").alias("fit_raw_se"),
-        F.lit("rlm_huber").alias("fit_type"), c("scale").alias("fit_scale"))
+        "segment", F.when(c("fit_converged"), c("mu_t") - c("mu_c")).alias("fit_effect"),
+        F.when(c("fit_converged"), F.sqrt(var)).alias("fit_se"), F.lit(None).cast("double").alias("fit_raw_se"),
+        F.lit("rlm_huber").alias("fit_type"), c("scale").alias("fit_scale"), "fit_converged")
 
 
 def log_shift(rows: DataFrame, moments: DataFrame) -> DataFrame:

@@ -603,7 +603,7 @@ def _(spark, d):
 
 
 @query("huber_shift", checks.huber(views.EVENTS) + f""" SELECT segment, {r(5, fit_effect='effect', fit_se='se', fit_scale='scale')},
-    'rlm_huber' AS fit_type FROM h""")
+    'rlm_huber' AS fit_type, true AS fit_converged FROM h""")
 def _(spark, d):
     return rounded(huber_shift(rows_of(spark, d).where("y IS NOT NULL")).drop("fit_raw_se"), 5)
 

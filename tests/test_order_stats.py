@@ -120,3 +120,25 @@ def test_joins_back_spread_equal_rows_and_bound_bytes(spark, monkeypatch):
     assert session.fits_broadcast(wide)
     monkeypatch.setattr(session, "BROADCAST_BYTES", 50_000)
     assert not session.fits_broadcast(wide)
+
+
+def test_huber_shift_settles_or_says_so(spark):
+    from armlift.config import Options, Roles
+    from armlift.plans.analysis import analyze
+
+    rng = np.random.default_rng(14)
+    n = 2000
+    shapes = {
+        "bimodal": np.where(rng.random(n) < 0.5, -10, 10) + rng.normal(size=n), "constant": np.where(rng.random(n) < 0.8, 4.0, 4 + rng.exponential(9, n)),
+        "gap": np.where(rng.random(n) < 0.51, 0.0, 100.0) + rng.normal(0, 1e-6, n), "plain": rng.exponential(2, n)}
+    df = pd.concat([pd.DataFrame({"segment": k, "arm": np.where(np.arange(n) % 2, "t", "c"), "y": v}) for k, v in shapes.items()])
+    got = {r.segment: r for r in huber_shift(spark.createDataFrame(df)).collect()}
+    assert got.keys() == shapes.keys() and got["plain"].fit_converged
+    for name, row in got.items():
+        assert row.fit_converged == (row.fit_effect is not None) == (row.fit_se is not None), name
+    assert got["constant"].fit_scale == 0 and not got["constant"].fit_converged
+    out = analyze(spark.createDataFrame(df), Roles("arm", "y", "t", "c", segment="segment"), Options(metric_type="heavy_tail", diagnostics=False))
+    for r in out.results.collect():
+        fitted = got[r.segment].fit_converged
+        assert r.model_type == ("rlm_huber" if fitted else "ols_hc3_fallback")
+        assert ("model_fit_failed_fallback_to_ols" in r.inference_reasons) == (not fitted)
