@@ -1,4 +1,11 @@
-"""A corpus from documents to packed sequences, stage by stage."""
+"""A corpus from documents to packed sequences, stage by stage.
+
+Null and empty texts have no quality words: the classifier scores them, the rules reject them (too few words), so none
+reaches near-dedup in a run; given to that stage alone they stay, linked with nothing. Texts of any length are taken whole
+in every stage. Of near copies the row with the smallest doc_id stays, of those the first; rows with one doc_id and
+different texts, and rows without a doc_id, are rows of their own; of fully repeated rows one stays. An empty table passes
+every stage as an empty table. Other columns stay as they are, whatever their names; ``n_chars`` follows a changed text.
+"""
 
 from __future__ import annotations
 
