@@ -45,7 +45,7 @@ MAX_PARTITIONS = 1 << 16
 SLICE_BYTES = 1 << 21
 BLOCK_KEYS = 1 << 22  # keys a map task adds up before it sends them
 FILTER_BITS = 1 << 29
-CHUNK_BITS = 1 << 16
+CHUNK_BITS = 1 << 13
 PROBES = 4
 LOOKUP_ROWS = 400_000
 SALTS = 32
