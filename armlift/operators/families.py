@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from armlift.config import Options
 from armlift.functions.guards import VARIANCE_EPSILON
 from armlift.operators.moments import aligned_rows
-from armlift.operators.order_stats import percentiles
-from armlift.session import stage
+from armlift.operators.order_stats import percentiles, pooled
+from armlift.session import attach, stage
 
 # Fixed values of the family rules.
 HEAVY_MIN_N = 20
@@ -37,11 +37,12 @@ def with_shape(m: DataFrame) -> DataFrame:
     })
 
 
-def metric_family(m: DataFrame, rows: DataFrame | None, options: Options) -> DataFrame:
+def metric_family(m: DataFrame, rows: DataFrame | None, options: Options, hist: DataFrame | None = None) -> DataFrame:
     """Add ``metric_type``.
 
     Flags and moments from the single grouped job settle nearly every segment.
-    Only segments that they leave open get exact percentiles, from ``rows``.
+    Only segments that they leave open get exact percentiles, from ``rows`` and,
+    where the caller shares it, the staged histogram of the analysed rows by arm.
     """
     if options.metric_type != "auto":
         return m.withColumn("metric_type", F.lit(options.metric_type))
@@ -65,7 +66,9 @@ def metric_family(m: DataFrame, rows: DataFrame | None, options: Options) -> Dat
     if undecided.isEmpty():
         return m
     part = aligned_rows(rows, undecided)
-    pct = percentiles(part, ["segment"], "y", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    if hist is not None:
+        hist = pooled(attach(hist, undecided.select("segment"), ["segment"]), ["segment"])
+    pct = percentiles(part, ["segment"], "y", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, hist)
     spread = F.sqrt("var_all")
     by_tail = F.when(
         F.abs("p50") <= VARIANCE_EPSILON,

@@ -33,94 +33,146 @@ def log_bucket(v: Column) -> Column:
     return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("bigint")
 
 
+def histogram(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per key and value bucket: rows, range, mean and sum of squares about it. One map-side combined pass."""
+    v = F.col(value)
+    return rows.groupBy(*keys, log_bucket(v).alias("_b")).agg(
+        F.count(v).alias("_cnt"), F.min(v).alias("_lo"), F.max(v).alias("_hi"),
+        F.avg(v).alias("_mean"), (F.var_pop(v) * F.count(v)).alias("_m2"))
+
+
+def pooled(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and ranges of a histogram under fewer keys."""
+    return hist.groupBy(*keys, "_b").agg(F.sum("_cnt").alias("_cnt"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+
+
+def value_ranges(
+    rows: DataFrame | Callable[[DataFrame], DataFrame],
+    keys: list[str],
+    value: str,
+    ranks: dict[str, Callable[[Column], Column]],
+    hist: DataFrame,
+) -> DataFrame:
+    """Consecutive value ranges of each key; every wanted rank falls into a range of one single value.
+
+    A range has the group's ``n``, ``_cnt`` rows from ``_lo`` to ``_hi``, the ``_labels`` of its ranks and, if ``hist``
+    has them, ``_mean`` and ``_m2``; without them only ranges with labels and the last of a group are kept. Sums of any
+    function with kinks at the ranks alone can be taken from the ranges, with no further pass over rows. ``rows`` is a
+    table of ``keys`` and finite values, or makes one, with buckets ``_b``, for given open ranges (``_b``, ``_from``, ``_to``).
+    """
+    moments = [x for x in ("_mean", "_m2") if x in hist.columns]
+    whole = Window.partitionBy(*keys)
+    running = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = hist.withColumns({"n": F.sum("_cnt").over(whole), "_cum": F.sum("_cnt").over(running)})
+    now = now.withColumn("_want", F.array(*[
+        F.struct(F.lit(label).alias("label"), fn(F.col("n")).cast("bigint").alias("k")) for label, fn in ranks.items()]))
+    now = now.withColumn("_want", _inside("_cum", "_cnt"))
+    if not moments:
+        now = now.where((F.size("_want") > 0) | (F.col("_cum") == F.col("n")))
+    now = stage(now.drop("_cum"))
+    path, found, data = [*keys, "_b"], [], None
+    open_ = (F.size("_want") > 0) & (F.col("_lo") < F.col("_hi"))
+    result = [*keys, "n", "_cnt", "_lo", "_hi", *moments, F.col("_want.label").alias("_labels")]
+    while True:
+        found.append(now.where(~open_).select(*result))
+        todo = now.where(open_).withColumnsRenamed({"_lo": "_from", "_hi": "_to"})
+        size, widest = todo.agg(F.count(F.lit(1)), F.max("_cnt")).first()
+        if not size:
+            break
+        if data is None:
+            data = rows(todo) if callable(rows) else rows.select(
+                *keys, F.col(value).alias("_v"), log_bucket(F.col(value)).alias("_b"))
+        exact, step = widest <= SMALL_BRACKET, f"_p{len(path)}"
+        data = inside(data, todo, path, size).withColumn(step, F.col("_v") if exact else F.floor(
+            (F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from")) * LINEAR_STEPS)).drop("_from", "_to")
+        now = stage(_refined(data, todo, path, step, moments))
+        path = [*path, step]
+        if exact:
+            found.append(now.select(*result))
+            break
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def inside(data: DataFrame, todo: DataFrame, path: list[str], size: int) -> DataFrame:
+    """Rows in open ranges. A row knows its bucket, so it meets one range at most."""
+    return attach(data, todo.select(*path, "_from", "_to"), path, size=size)
+
+
+def _inside(cum: str, cnt: str) -> Column:
+    """The wanted ranks that fall into a range, counted from its start."""
+    before = F.col(cum) - F.col(cnt)
+    return F.transform(
+        F.filter("_want", lambda w: (w["k"] > before) & (w["k"] <= F.col(cum))),
+        lambda w: F.struct(w["label"].alias("label"), (w["k"] - before).alias("k")))
+
+
+def _refined(data: DataFrame, todo: DataFrame, path: list[str], step: str, moments: list[str]) -> DataFrame:
+    """Open ranges cut at the pieces that hold wanted ranks; pieces between two of these are one range again."""
+    v = F.col("_v")
+    extra = [F.avg(v).alias("_mean"), (F.var_pop(v) * F.count(v)).alias("_m2")] if moments else []
+    counts = data.groupBy(*path, step).agg(
+        F.count(v).alias("_cnt"), F.min(v).alias("_lo"), F.max(v).alias("_hi"), *extra)
+    running = Window.partitionBy(*path).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.join(todo.select(*path, "n", "_want", "_from"), path).withColumn("_cum", F.sum("_cnt").over(running))
+    counts = counts.withColumn("_want", _inside("_cum", "_cnt"))
+    counts = counts.withColumn("_hit", F.size("_want") > 0)
+    counts = counts.withColumn("_run", F.count_if("_hit").over(running))
+    cells = [F.max("n").alias("n"), F.sum("_cnt").alias("_cnt"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
+             F.any_value("_want").alias("_want"), F.max(step).alias(step)]
+    if moments:  # about the start of the open range: no cancellation, as the range is narrow
+        off = F.col("_mean") - F.col("_from")
+        cells += [F.max("_from").alias("_from"), F.sum(F.col("_cnt") * off).alias("_s1"),
+                  F.sum(F.col("_m2") + F.col("_cnt") * off * off).alias("_s2")]
+    out = counts.groupBy(*path, "_run", "_hit").agg(*cells).drop("_run", "_hit")
+    if moments:
+        one = F.col("_lo") == F.col("_hi")
+        out = out.withColumns({
+            "_mean": F.when(one, F.col("_lo")).otherwise(F.col("_from") + F.col("_s1") / F.col("_cnt")),
+            "_m2": F.when(one, F.lit(0.0)).otherwise(F.greatest(
+                F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_cnt"), F.lit(0.0)))}).drop("_from", "_s1", "_s2")
+    return out
+
+
 def order_statistics(
-    rows: DataFrame,
+    rows: DataFrame | Callable[[DataFrame], DataFrame],
     keys: list[str],
     value: str,
     ranks: dict[str, Callable[[Column], Column]],
+    hist: DataFrame | None = None,
 ) -> DataFrame:
     """One row per key: ``n`` and, per label, the value with the given 1-based rank.
 
     ``ranks`` maps a label to a function of the group size column. ``rows`` must
-    hold finite values. Ranks outside 1..n give null.
+    hold finite values. Ranks outside 1..n give null. A staged ``hist`` of the
+    same rows saves their first pass.
     """
     grouped = keys or [ALL]
-    data = rows.select(*keys, F.col(value).alias("_v")) if keys else rows.select(
-        F.lit(1).alias(ALL), F.col(value).alias("_v"))
-
-    hist = (
-        data.groupBy(*grouped, log_bucket(F.col("_v")).alias("_b"))
-        .agg(F.count(F.lit(1)).alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    )
-    whole = Window.partitionBy(*grouped)
-    ordered = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumns({"n": F.sum("_cnt").over(whole), "_cum": F.sum("_cnt").over(ordered)})
-    wanted = F.array(*[
-        F.struct(F.lit(label).alias("label"), fn(F.col("n")).cast("bigint").alias("k"))
-        for label, fn in ranks.items()
-    ])
-    inside = lambda w: (w["k"] > F.col("_cum") - F.col("_cnt")) & (w["k"] <= F.col("_cum"))
-    state = stage(
-        hist.select(*grouped, "n", "_cnt", "_lo", "_hi", "_cum",
-                    F.explode_outer(F.filter(wanted, inside)).alias("_w"))
-        .select(*grouped, "n", F.col("_w.label").alias("_label"),
-                (F.col("_w.k") - F.col("_cum") + F.col("_cnt")).alias("_k"), "_cnt", "_lo", "_hi")
-        .where(F.col("_label").isNotNull() | (F.col("_cum") == F.col("n")))
-    )
-
-    done = state.where(F.col("_label").isNull() | (F.col("_lo") == F.col("_hi")))
-    todo = state.where(F.col("_label").isNotNull() & (F.col("_lo") < F.col("_hi")))
-    finished = [done]
-    while True:
-        widest, size = todo.agg(F.max("_cnt"), F.count(F.lit(1))).first()
-        if widest is None:
-            break
-        last = widest <= SMALL_BRACKET
-        state = stage(_narrow(data, grouped, todo, size, exact=last))
-        if last:
-            finished.append(state)
-            break
-        finished.append(state.where(F.col("_lo") == F.col("_hi")))
-        todo = state.where(F.col("_lo") < F.col("_hi"))
-
-    found = finished[0]
-    for part in finished[1:]:
-        found = found.unionByName(part)
-    picked = [F.max(F.when(F.col("_label") == label, F.col("_lo"))).alias(label) for label in ranks]
-    out = found.groupBy(*grouped).agg(F.max("n").alias("n"), *picked)
+    if not keys:
+        rows = rows.withColumn(ALL, F.lit(1))
+    hist = histogram(rows, grouped, value) if hist is None else hist
+    cells = value_ranges(rows, grouped, value, ranks, hist.drop("_mean", "_m2"))
+    out = cells.groupBy(*grouped).agg(F.max("n").alias("n"), *[at_label(label).alias(label) for label in ranks])
     return out if keys else out.drop(ALL)
 
 
-def _narrow(data: DataFrame, grouped: list[str], todo: DataFrame, size: int, exact: bool) -> DataFrame:
-    """One more pass over the rows inside the open brackets."""
-    brackets = todo.select(*grouped, "_lo", "_hi").distinct()
-    inside = attach(data, brackets, grouped, size=size).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    if exact:
-        piece = F.col("_v")
-    else:
-        piece = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * LINEAR_STEPS)
-    bracket = [*grouped, "_lo", "_hi"]
-    counts = inside.groupBy(*bracket, piece.alias("_p")).agg(
-        F.count(F.lit(1)).alias("_c2"), F.min("_v").alias("_lo2"), F.max("_v").alias("_hi2"))
-    running = Window.partitionBy(*bracket).orderBy("_p").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("_cum2", F.sum("_c2").over(running))
-    hit = (F.col("_k") > F.col("_cum2") - F.col("_c2")) & (F.col("_k") <= F.col("_cum2"))
-    return (
-        counts.join(todo, bracket)
-        .where(hit)
-        .select(*grouped, "n", "_label", (F.col("_k") - F.col("_cum2") + F.col("_c2")).alias("_k"),
-                F.col("_c2").alias("_cnt"), F.col("_lo2").alias("_lo"), F.col("_hi2").alias("_hi"))
-    )
+def at_label(label: str) -> Column:
+    """Aggregate over a group's value ranges: the value at a wanted rank."""
+    return F.max(F.when(F.array_contains("_labels", label), F.col("_lo")))
 
 
-def percentiles(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def percentiles(
+    rows: DataFrame | Callable[[DataFrame], DataFrame], keys: list[str], value: str, probs: dict[str, float],
+    hist: DataFrame | None = None,
+) -> DataFrame:
     """Exact percentiles with linear interpolation between neighbouring ranks."""
     ranks = {}
     for label, p in probs.items():
         ranks[f"{label}_lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(p)) + 1
         ranks[f"{label}_hi"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p)) + 1
-    found = order_statistics(rows, keys, value, ranks)
+    found = order_statistics(rows, keys, value, ranks, hist)
     cols = [F.col(k) for k in keys] + [F.col("n")]
     for label, p in probs.items():
         at = (F.col("n") - 1) * F.lit(p)

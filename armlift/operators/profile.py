@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from armlift.config import Roles
 from armlift.functions.guards import sanitize_numeric
-from armlift.operators.order_stats import percentiles
+from armlift.operators.order_stats import percentiles, pooled
 
+BUCKET_SHIFT = 43  # of a double's bits: 512 buckets from one power of two to the next
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 
@@ -40,10 +43,57 @@ def profile(df: DataFrame, quartiles: bool = False) -> DataFrame:
     out = df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
     if not quartiles or not numeric:
         return out
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("column"), sanitize_numeric(F.col(f"`{n}`")).alias("v")) for n in sorted(numeric)
-    ])).alias("cell")).select("cell.*").where("v is not null")
-    return out.join(percentiles(long, ["column"], "v", QUARTILES).drop("n"), "column", "left")
+    return out.join(quartile_rows(df, sorted(numeric)), "column", "left")
+
+
+def _bucket_counts(batches, names: list[str]):
+    """Rows, least and greatest value per column and bucket of one task's rows.
+
+    The bucket is the leading bits of the value: monotone, and the same on any machine.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def reduced(b, cnt, lo, hi):
+        order = np.argsort(b, kind="stable")
+        b, cnt, lo, hi = b[order], cnt[order], lo[order], hi[order]
+        at = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, int)
+        if not len(at):
+            return b, cnt, lo, hi
+        return b[at], np.add.reduceat(cnt, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
+
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)) for _ in names]
+    for batch in batches:
+        for j in range(len(names)):
+            v = batch.column(j).drop_null().to_numpy(zero_copy_only=False)
+            bits = np.abs(v).view(np.int64) >> BUCKET_SHIFT
+            new = reduced(np.where(v < 0, -bits, bits), np.ones(len(v), np.int64), v, v)
+            held[j] = reduced(*(np.concatenate(x) for x in zip(held[j], new)))
+    for name, (b, cnt, lo, hi) in zip(names, held):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name] * len(b), pa.string()), *map(pa.array, (b, cnt, lo, hi))], ["column", "_b", "_cnt", "_lo", "_hi"])
+
+
+def quartile_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Exact quartiles of numeric columns, one row per column.
+
+    Two scans, however many columns: tasks count buckets side by side, then only the
+    values inside the at most six buckets of a column that hold a wanted rank become
+    rows. (A bucket of over ``order_stats.SMALL_BRACKET`` rows takes a scan more.)
+    """
+    values = df.select(*[sanitize_numeric(F.col(f"`{n}`")).alias(f"v{i}") for i, n in enumerate(columns)])
+    parts = values.mapInArrow(partial(_bucket_counts, names=columns), "column string, _b bigint, _cnt bigint, _lo double, _hi double")
+    hist = pooled(parts, ["column"])
+
+    def open_values(todo: DataFrame) -> DataFrame:
+        cells = []
+        for row in todo.select("column", "_b", "_from", "_to").collect():  # six a column at most
+            v = F.col(f"v{columns.index(row['column'])}")
+            cells.append(F.when(v.between(row["_from"], row["_to"]), F.struct(
+                F.lit(row["column"]).alias("column"), F.lit(row["_b"]).alias("_b"), v.alias("_v"))))
+        return values.select(F.inline(F.array_compact(F.array(*cells))))
+
+    return percentiles(open_values, ["column"], "v", QUARTILES, hist).drop("n")
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -64,7 +114,7 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
     basic = df.agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"), F.count_if(v.isNull()).alias("missing"))
-    pct = percentiles(df.select(v.alias("v")).where("v is not null"), [], "v", QUARTILES).drop("n")
+    pct = quartile_rows(df, [column])
     # Both tables have one row; the quartiles enter as a scalar subquery.
     quart = pct.select(F.struct(*QUARTILES).alias("q")).scalar()
     return basic.withColumn("_q", quart).select("*", *[F.col(f"_q.{k}").alias(k) for k in QUARTILES]).drop("_q")

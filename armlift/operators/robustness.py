@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armlift.functions import tails
 from armlift.functions.guards import VARIANCE_EPSILON, add, sanitize_p
 from armlift.functions.normal import polynomial, quantile, upper_tail
-from armlift.operators.order_stats import order_statistics, ranked_rows
+from armlift.operators.order_stats import at_label, histogram, ranked_rows, value_ranges
 from armlift.session import attach, stage
 
 # Fixed values.
@@ -27,26 +27,33 @@ def side_by_side(long: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("segment").agg(*cells)
 
 
-def robust_sums(rows: DataFrame, winsor: float = WINSOR, trim: float = TRIM) -> DataFrame:
+def robust_sums(
+    rows: DataFrame, winsor: float = WINSOR, trim: float = TRIM, hist: DataFrame | None = None,
+) -> DataFrame:
     """Per (segment, arm): median, winsorized and trimmed mean, spread about the median.
 
-    One search for the few order statistics of each arm, then one map-side
-    combined pass of clipped sums. Serves the outlier and the variance check.
+    The rows are read for the histogram (unless the caller shares a staged one) and
+    inside the few ranges that hold a cut or the median. All clipped sums come from
+    the ranges, as none has a cut within. Serves the outlier and the variance check.
     """
     winsor, trim = (min(max(f, 0.0), 0.49) for f in (winsor, trim))
     keys = ["segment", "arm"]
-    cuts = stage(order_statistics(rows, keys, "y", {
+    hist = histogram(rows, keys, "y") if hist is None else hist
+    labels = {
         "w_lo": lambda n: F.floor(n * F.lit(winsor)) + 1, "w_hi": lambda n: n - F.floor(n * F.lit(winsor)),
         "t_lo": lambda n: F.floor(n * F.lit(trim)) + 1, "t_hi": lambda n: n - F.floor(n * F.lit(trim)),
-        "m_lo": lambda n: F.floor((n + 1) / 2), "m_hi": lambda n: F.floor(n / 2) + 1}))
-    cuts = add(cuts, median="(m_lo + m_hi) / 2").drop("m_lo", "m_hi")
-    tagged = add(
-        attach(rows.select(*keys, "y"), cuts, keys), w="least(greatest(y, w_lo), w_hi)",
-        t="least(greatest(y, t_lo), t_hi)", z="abs(y - median)")
-    sums = tagged.groupBy(*keys).agg(
+        "m_lo": lambda n: F.floor((n + 1) / 2), "m_hi": lambda n: F.floor(n / 2) + 1}
+    # a group's ranges are bounded by its buckets: windows over them stay small
+    whole = Window.partitionBy(*keys)
+    cells = value_ranges(rows, keys, "y", labels, hist)
+    cells = add(cells.withColumns({x: at_label(x).over(whole) for x in labels}), median="(m_lo + m_hi) / 2")
+    cells = add(cells, w="least(greatest(_mean, w_lo), w_hi)", t="least(greatest(_mean, t_lo), t_hi)", z="abs(_mean - median)")
+    cells = cells.withColumn("centre", F.sum(F.expr("_cnt * z")).over(whole) / F.col("n"))
+    sums = cells.groupBy(*keys).agg(
         F.max("n").alias("k"), F.max("median").alias("median"), F.max("t_lo").alias("t_lo"),
-        F.max("t_hi").alias("t_hi"), F.avg("w").alias("winsor_mean"), F.sum("t").alias("t_sum"),
-        F.avg("z").alias("zm"), F.var_samp("z").alias("zv"))
+        F.max("t_hi").alias("t_hi"), F.expr("sum(_cnt * w) / max(n)").alias("winsor_mean"), F.expr("sum(_cnt * t)").alias("t_sum"),
+        F.max("centre").alias("zm"),
+        F.expr("sum(_m2 + _cnt * (z - centre) * (z - centre)) / nullif(max(n) - 1, 0)").alias("zv"))
     cut = f"floor(k * {trim}D)"
     return stage(add(sums, trim_mean=f"(t_sum - {cut} * (t_lo + t_hi)) / (k - 2 * {cut})"))
 

@@ -21,6 +21,7 @@ from armlift.operators.moments import (
     aligned_rows, enough, failures, segment_moments,
 )
 from armlift.operators.multiplicity import bh_fdr, sequential
+from armlift.operators.order_stats import histogram
 from armlift.operators.robustness import levene_test, normality_test, outlier_sensitivity, robust_sums
 from armlift.operators.summary import recommendations, summarize
 from armlift.plans.roles import auto_configure
@@ -128,9 +129,12 @@ def analyze(df: DataFrame, roles: Roles, options: Options | None = None) -> Anal
         if not report.isEmpty():
             moments = stage(segment_moments(rows))
     lost = failures(moments)
-    m = stage(metric_family(enough(moments), rows, options))
+    usable = stage(enough(moments)) if options.diagnostics else enough(moments)
     multi = options.diagnostics or covs or options.metric_type in ("auto", "heavy_tail")
-    part = aligned_rows(rows, m) if multi else rows
+    part = aligned_rows(rows, usable) if multi else rows
+    # one histogram serves the family rule, the outlier and the variance check
+    hist = stage(histogram(part, ["segment", "arm"], "y")) if options.diagnostics else None
+    m = stage(metric_family(usable, rows, options, hist))
 
     heavy = m.where(c("metric_type") == "heavy_tail")
     fit_needed = options.metric_type in ("auto", "heavy_tail") and not heavy.isEmpty()
@@ -148,7 +152,7 @@ def analyze(df: DataFrame, roles: Roles, options: Options | None = None) -> Anal
     else:
         results = _with_covariates(results, None)
     if options.diagnostics:
-        results = _with_diagnostics(results, df, roles, options, part, m)
+        results = _with_diagnostics(results, df, roles, options, part, m, hist)
     results = sequential(results, options.sequential, options.alpha)
     results = bh_fdr(results, options.alpha)
     return Analysis(stage(nest_diagnostics(results)), stage(lost), roles)
@@ -195,10 +199,10 @@ def _with_covariates(results: DataFrame, adjusted: DataFrame | None) -> DataFram
 
 
 def _with_diagnostics(
-    results: DataFrame, df: DataFrame, roles: Roles, options: Options, part: DataFrame, m: DataFrame,
+    results: DataFrame, df: DataFrame, roles: Roles, options: Options, part: DataFrame, m: DataFrame, hist: DataFrame,
 ) -> DataFrame:
     normal = normality_test(part, m, options.alpha, options.normality)
-    sums = robust_sums(part)
+    sums = robust_sums(part, hist=hist)
     levene = levene_test(m, sums, options.alpha).drop("levene_df")
     outliers = outlier_sensitivity(m, sums)
     doubles = duplicate_units(df, roles, options.scope).select(

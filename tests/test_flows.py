@@ -163,6 +163,28 @@ def test_profile_operators(spark):
     assert p["v"].median == 50.5 and p["k"].mean is None and p["k"].row_count == 100
 
 
+def test_quartiles_of_all_columns_match_numpy(spark, monkeypatch):
+    from armlift.operators import order_stats
+
+    rng = np.random.default_rng(31)
+    n = 3000
+    wide = pd.DataFrame({
+        "clumped": 1e9 + rng.uniform(0, 1e-3, n), "signed": rng.normal(0, 1, n), "tiny": rng.choice([-5e-324, 0.0, 5e-324], n),
+        "whole": rng.integers(-4, 5, n), "odd name.x": rng.lognormal(0, 6, n), "gaps": np.where(rng.random(n) < 0.3, np.nan, rng.random(n))})
+    df = spark.createDataFrame(wide).repartition(5).withColumn("none", F.lit(None).cast("double")).withColumn("t", F.lit("x"))
+    for bracket in (500_000, 20):
+        monkeypatch.setattr(order_stats, "SMALL_BRACKET", bracket)
+        got = {r.column: r for r in profile.quartile_rows(df, [*wide.columns, "none"]).collect()}
+        assert "none" not in got or got["none"].median is None
+        for name in wide.columns:
+            want = np.percentile(wide[name].dropna(), [25, 50, 75])
+            assert [got[name].p25, got[name].median, got[name].p75] == pytest.approx(want, rel=1e-12, abs=1e-320), name
+    assert profile.quartile_rows(df.limit(0), ["signed"]).count() == 0
+    monkeypatch.undo()
+    plan = profile.quartile_rows(df, ["signed", "gaps"])._jdf.queryExecution().toString()
+    assert "Expand" not in plan
+
+
 def test_sinks_and_guards(spark, sample, tmp_path):
     path = str(tmp_path / "x")
     sinks.write_results_partitioned(sample, path, "parquet", ["customer_segment"])

@@ -41,6 +41,40 @@ def test_whole_table_and_ranks(spark):
     assert (got.n, got.first, got.last) == (101, -50, 50)
 
 
+@pytest.mark.parametrize("bracket", [500_000, 40])
+def test_rows_meet_one_open_range_and_sums_come_from_ranges(spark, monkeypatch, bracket):
+    from armlift.operators.robustness import robust_sums
+
+    monkeypatch.setattr(order_stats, "SMALL_BRACKET", bracket)
+    rng = np.random.default_rng(8)
+    arms = {
+        ("a", "t"): rng.lognormal(0, 2, 3000), ("a", "c"): 1e9 + rng.uniform(0, 1e-3, 2000),
+        ("b", "t"): np.r_[np.zeros(500), np.ones(500)], ("b", "c"): rng.integers(-3, 9, 800).astype(float), ("c", "t"): [2.5]}
+    rows = spark.createDataFrame(pd.concat(
+        pd.DataFrame({"segment": s, "arm": g, "y": v}) for (s, g), v in arms.items())).repartition(7)
+    joined, inside = [], order_stats.inside
+
+    def counted(data, todo, path, size):
+        out = inside(data, todo, path, size)
+        joined.append((out.count(), todo.agg({"_cnt": "sum"}).first()[0], data.count()))
+        return out
+
+    monkeypatch.setattr(order_stats, "inside", counted)
+    got = {(r.segment, r.arm): r for r in robust_sums(rows).collect()}
+    assert got.keys() == arms.keys() and joined
+    assert all(met == held <= read for met, held, read in joined)  # exactly the rows of the open ranges, once each
+    for key, v in arms.items():
+        v, row = np.sort(v), got[key]
+        w, t = int(len(v) * 0.05), int(len(v) * 0.1)
+        z = np.abs(v - np.median(v))
+        assert (row.k, row.median) == (len(v), pytest.approx(np.median(v), rel=1e-12))
+        assert row.winsor_mean == pytest.approx(np.clip(v, v[w], v[len(v) - w - 1]).mean(), rel=1e-12)
+        assert row.trim_mean == pytest.approx(v[t:len(v) - t].mean(), rel=1e-9)
+        assert row.zm == pytest.approx(z.mean(), rel=1e-3 if key == ("a", "c") else 1e-9)
+        assert row.zv is None if len(v) == 1 else row.zv == pytest.approx(z.var(ddof=1), rel=1e-2 if key == ("a", "c") else 1e-9)
+    assert got["b", "t"].zv == 0
+
+
 @pytest.mark.parametrize("size", [10_000, 7])
 def test_ranks_are_a_permutation(spark, monkeypatch, size):
     monkeypatch.setattr(order_stats, "PIECE_VALUES", size)
