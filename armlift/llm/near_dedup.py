@@ -7,7 +7,8 @@
 3. Nodes that share a band are compared by sketch inside the bucket; only a spanning forest of the pairs that may reach
    the threshold leaves the task. Connected parts of those pairs are the candidate groups.
 4. Inside each group every pair is confirmed on full sets; again only a spanning forest of true links is written.
-   Large buckets and groups are cut into blocks; each pair of blocks is its own task, so no group must fit in one.
+   Large buckets and groups are cut into blocks, so none must fit in one task: each block is compared beside a few pivots
+   of its group, and only what is not joined to the rest of the group then meets all other blocks.
 5. Components of the confirmed links give each document the smallest doc_id that it reaches.
 
 With 48 bands of 4 places a pair at similarity 0.75 is missed with probability (1 - 0.75**4)**48 = 1e-8, and the sketch
@@ -20,13 +21,14 @@ component_id is null and the row is kept. Extra columns are ignored. An empty ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from armlift.llm.components import components
+from armlift.llm.components import SALTS, components
 from armlift.llm.shared import broadcast_if_small, save, slices
 from armlift.llm.words import Words, mix, shingles
 
@@ -39,6 +41,7 @@ SKETCH_BOUND = (0.54 + 0.46 / 16) * SKETCH
 BUCKET_BLOCK = 2048
 GROUP_BLOCK = 1024
 GROUP_BYTES = 8 << 20
+PIVOTS = 8  # of a group, on average, chosen by a hash
 SLICE_BYTES = 1 << 20
 BROADCAST_NODES = 500_000  # 8-byte keys
 
@@ -216,12 +219,40 @@ def _confirm(pdf, width: int, percent: int):
     return pd.DataFrame({"a": a, "b": b})
 
 
-def _blocks(rows: DataFrame, blocks: str) -> DataFrame:
-    """Give each row to every pair of blocks that its own block is in; one block is one pair."""
-    own = F.pmod(F.xxhash64("node"), F.col(blocks))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1))
-    return rows.withColumn("_own", own).withColumn("_other", other).withColumn(
-        "block_a", F.least("_own", "_other")).withColumn("block_b", F.greatest("_own", "_other")).drop("_own", "_other")
+def _grouped_components(rows: DataFrame, key: str, compare: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """(node, root): components of the links that ``compare`` finds among the members of each ``key``.
+
+    ``rows`` has ``key``, ``node``, ``members``, ``blocks`` and what is compared. Keys of one block are compared whole.
+    Larger ones first block by block, each beside the same few pivots, which join what the blocks hold of one family. Then
+    only members outside a key's largest component (the rest) are compared with all others: pairs inside a component
+    cannot change it. For m members and a rest of r that is about m * (1 + r / block) rows, not m * m / block.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("members")) < PIVOTS)
+    first = rows.withColumn("block_a", F.explode(F.when(pivot, every).otherwise(F.array(own)))).withColumn(
+        "block_b", F.lit(0).cast("bigint"))
+    found = save(components(compare(first), name), name)
+    large = rows.where("blocks > 1")
+    tagged = large.select(key, "node").join(found, "node", "left").select(
+        key, "node", F.coalesce("root", "node").alias("root"))
+    sizes = tagged.groupBy(key, "root").agg(F.count("*").alias("size"))
+    core = sizes.groupBy(key).agg(
+        F.max_by("root", F.struct("size", "root")).alias("core"), (F.sum("size") - F.max("size")).alias("rest")).where("rest > 0")
+    core = save(core, f"{name}-core")
+    if core.isEmpty():
+        return found
+    large = large.join(broadcast_if_small(core, BROADCAST_NODES), key).join(found, "node", "left")
+    large = large.withColumn("outside", F.coalesce("root", "node") != F.col("core")).withColumn(
+        "rest_blocks", F.ceil(F.col("rest") * F.col("blocks") / F.col("members")))
+    mine = F.pmod(F.xxhash64("node", F.lit(2)), F.col("rest_blocks"))
+    places = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("rest_blocks") - 1), lambda a: F.struct(
+        a.alias("block_a"), own.alias("block_b")))
+    places = F.when(F.col("outside"), F.array_union(places, F.transform(every, lambda b: F.struct(
+        mine.alias("block_a"), b.alias("block_b"))))).otherwise(places)
+    second = large.withColumn("place", F.explode(places)).select(*rows.columns, "place.*")
+    again = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(compare(second))
+    return save(components(again, name), name)
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> DataFrame:
@@ -239,29 +270,31 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = 75) -> DataF
     bands = nodes.select("node", F.explode("bands").alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     shared = save(bands.join(buckets, "bucket"), "buckets")
-    found = shared.join(nodes.select("node", "sketch"), "node").withColumn(
+    sketches = shared.join(nodes.select("node", "sketch"), "node").withColumn(
         "blocks", F.ceil(F.col("members") / BUCKET_BLOCK))
-    pairs = _blocks(found, "blocks").select("bucket", "block_a", "block_b", "node", "sketch")
-    alike = pairs.repartition("bucket", "block_a", "block_b").sortWithinPartitions(
-        "bucket", "block_a", "block_b").mapInArrow(_bucket_links, "a bigint, b bigint")
-    groups = save(components(alike, "alike"), "groups")
+    groups = _grouped_components(sketches, "bucket", lambda placed: placed.select(
+        "bucket", "block_a", "block_b", "node", "sketch").repartition("bucket", "block_a", "block_b").sortWithinPartitions(
+        "bucket", "block_a", "block_b").mapInArrow(_bucket_links, "a bigint, b bigint"), "alike")
 
     texts = sets.join(broadcast_if_small(groups.withColumnRenamed("root", "group"), BROADCAST_NODES), "node").select(
         "node", "group", "text").dropDuplicates(["node"])
     texts = save(texts, "members")
-    sizes = texts.groupBy("group").agg(F.ceil(F.greatest(
+    sizes = texts.groupBy("group").agg(F.count("*").alias("members"), F.ceil(F.greatest(
         F.count("*") / GROUP_BLOCK, F.sum(F.octet_length("text")) / GROUP_BYTES)).alias("blocks"))
-    members = _blocks(texts.join(broadcast_if_small(save(sizes, "sizes"), BROADCAST_NODES), "group"), "blocks")
-    links = members.groupBy("group", "block_a", "block_b").applyInPandas(
-        partial(_confirm, width=width, percent=percent), "a bigint, b bigint")
-    linked = components(links, "links")
+    members = texts.join(broadcast_if_small(save(sizes, "sizes"), BROADCAST_NODES), "group")
+    linked = _grouped_components(members, "group", lambda placed: placed.groupBy("group", "block_a", "block_b").applyInPandas(
+        partial(_confirm, width=width, percent=percent), "a bigint, b bigint"), "links")
 
     own = sets.select("row", "doc_id", "text_hash", "n_shingles", "node").join(
-        broadcast_if_small(save(linked, "linked"), BROADCAST_NODES), "node", "left").withColumn(
+        broadcast_if_small(linked, BROADCAST_NODES), "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     own = save(own, "rooted")
-    least = own.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = own.join(least, "root", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    # the smallest doc_id comes back by root and salt: the rows of a large component are spread over tasks
+    salted = own.withColumn("salt", F.when(F.col("n_shingles") > 0, F.pmod(F.xxhash64("row"), F.lit(SALTS))))
+    least = salted.where("n_shingles > 0").groupBy("root", "salt").agg(F.min("doc_id").alias("least")).groupBy("root").agg(
+        F.min("least").alias("component_id"), F.collect_list("salt").alias("salts")).select(
+        "root", "component_id", F.explode("salts").alias("salt"))
+    out = salted.join(least, ["root", "salt"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("row", "root", "doc_id", "text_hash", "n_shingles", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

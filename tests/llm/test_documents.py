@@ -78,6 +78,44 @@ def test_near_groups_match_all_pairs(make_docs, monkeypatch, block):
     assert found.where("kept").count() == found.select("component_id").distinct().count()
 
 
+def test_rows_compared_in_a_family_grow_linearly(make_docs, monkeypatch):
+    """Variants of one text, all linked with it: blocks meet the pivots, and nothing is left to pair block by block."""
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "GROUP_BLOCK", 32)
+    inner, placed_rows = near_dedup._grouped_components, {}
+
+    def counted(rows, key, compare, name):
+        def wrapped(placed):
+            placed_rows.setdefault(name, []).append(placed.count())
+            return compare(placed)
+        return inner(rows, key, wrapped, name)
+
+    monkeypatch.setattr(near_dedup, "_grouped_components", counted)
+    seen = {}
+    for m in (400, 800):
+        rng = np.random.default_rng(5)
+        base, texts = [f"w{x}" for x in range(300)], []
+        for k in range(m):
+            words = list(base)
+            for at in rng.integers(0, 300, 3):
+                words[at] = f"v{k}_{at}"
+            texts.append(" ".join(words))
+        placed_rows.clear()
+        found = near_dedup.near_groups(make_docs([(i, t, "s") for i, t in enumerate(texts)] + [(9000, "far from all of them", "s")]))
+        assert found.where("kept").count() == 2 and found.where("component_id = 0").count() == m
+        seen[m] = {name: sum(counts) for name, counts in placed_rows.items()}
+    blocks = 800 / 32
+    assert seen[800]["links"] < 800 * 2  # all pairs of blocks would be 800 * 25
+    for name in ("alike", "links"):
+        assert seen[800][name] < 3 * seen[400][name] and seen[800][name] < 48 * 800 * blocks / 4
+
+
+def test_components_of_a_star_and_a_long_chain(spark):
+    star = spark.range(1, 5000).selectExpr("id AS a", "0L AS b").union(spark.range(10_000, 10_200).selectExpr("id AS a", "id + 1 AS b"))
+    got = components(star).groupBy("root").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 5000), (10_000, 201)]
+
+
 def test_near_groups_on_edge_rows(edge, edge_rows, make_docs, small):
     rows = [(i, t) for i, t, _ in edge_rows]
     assert shown(near_dedup.near_groups(edge)) == sorted(groups(rows), key=repr)
