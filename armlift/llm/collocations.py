@@ -14,7 +14,9 @@ a longer one contains in all their occurrences go.
    and more where all pairs of neighbours survived, as an n-gram is never more frequent than its parts.
 2. Survivors become a bit array of at most ``FILTER_BITS`` bits, put together in tasks: the one thing broadcast. Beyond
    its size more n-grams pass, and none is lost.
-3. The second pass counts what passes exactly, by the words themselves, combined in the task and before the shuffle.
+3. The second pass counts what passes exactly, by the words themselves. A task adds up all its slices and sends a phrase
+   once; there are ``TASKS_PER_CORE`` tasks a core, more only from ``TASK_BYTES`` of text each, so that the rows sent do not
+   grow as the product of slices and frequent phrases. Beyond ``HELD_BYTES`` a task sends its rarer phrases early.
 4. Cuts, containment and ranks are joins and windows over the frequent phrases. Products are decimals of 38 digits.
 
 No step depends on how many rows a language, source or phrase has: blocks carry a key once, counts are partial sums, the
@@ -47,6 +49,10 @@ BLOCK_KEYS = 1 << 22  # keys a map task adds up before it sends them
 FILTER_BITS = 1 << 29
 CHUNK_BITS = 1 << 13
 PROBES = 4
+TASKS_PER_CORE = 2
+TASK_BYTES = 1 << 29
+HELD_BYTES = 1 << 26  # partial counts that a task of the second pass holds
+SENT_ROWS = 1 << 16
 LOOKUP_ROWS = 400_000
 SALTS = 32
 
@@ -305,7 +311,7 @@ def survivors(texts: DataFrame, lengths: tuple[int, ...], filters: list[_Filter]
 COUNTS = "lang string, phrase string, words int, n bigint"
 
 
-def _count(batches, filters: list[_Filter], max_words: int):
+def _count_slices(batches, filters: list[_Filter], max_words: int):
     """Exact counts in a slice, by words; a row of 0 words has the language's number of words."""
     import pyarrow.compute as pc
 
@@ -343,6 +349,37 @@ def _count(batches, filters: list[_Filter], max_words: int):
                 yield rows(langs, of[at], phrases, length, counts)
 
 
+def _summed(held: list[pa.RecordBatch]) -> pa.Table:
+    keys = ["lang", "phrase", "words"]
+    sums = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+    return sums.select([*keys, "n_sum"]).rename_columns([*keys, "n"])
+
+
+def _add_up(counts: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """A row per phrase of all slices. If the sums outgrow half of ``limit`` bytes, all but the most frequent quarter of
+    the phrases are sent, and counted anew when they come again."""
+    held, size = [], 0
+    for batch in counts:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            sums = _summed(held)
+            if sums.nbytes > limit // 2:
+                sums = sums.sort_by([("n", "descending")])
+                yield from sums.slice(len(sums) // 4).to_batches(SENT_ROWS)
+                sums = sums.take(np.arange(len(sums) // 4))
+            held, size = sums.to_batches(), sums.nbytes
+    if held:
+        yield from _summed(held).to_batches(SENT_ROWS)
+
+
+def partial_counts(texts: DataFrame, filters: list[_Filter], max_words: int, length_sum: int) -> DataFrame:
+    """Rows of COUNTS to be added up: one per phrase and task, as long as a task can hold its phrases."""
+    tasks = max(TASKS_PER_CORE * texts.sparkSession.sparkContext.defaultParallelism, -(-length_sum // TASK_BYTES))
+    return texts.coalesce(tasks).mapInArrow(
+        lambda batches: _add_up(_count_slices(batches, filters, max_words), HELD_BYTES), COUNTS)
+
+
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> DataFrame:
     """(lang, phrase, words, n) of all phrases of one to ``max_words`` words with ``min_count`` occurrences, and for each
     language a row of 0 words with its number of words."""
@@ -351,8 +388,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     filters = [survivors(texts, tuple(range(1, min(2, max_words) + 1)), [], min_count, length_sum)]
     if max_words > 2:
         filters.append(survivors(texts, tuple(range(3, max_words + 1)), filters, min_count, length_sum))
-    counted = texts.mapInArrow(lambda batches: _count(batches, filters, max_words), COUNTS)
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(
+    return partial_counts(texts, filters, max_words, length_sum).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(
         (F.col("words") == 0) | (F.col("n") >= min_count))
 
 

@@ -158,6 +158,51 @@ def test_slices_cut_between_pieces(limit):
     assert pieces(limit) == [(r, w) for r, w in want if w]
 
 
+def test_tasks_of_the_second_pass_send_a_phrase_once(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    text = "one two three. four five, one two"  # 5 words, 3 pairs, 1 phrase of three; their total is a row more
+
+    def sent(parts, length_sum=0):
+        docs = spark.createDataFrame([("en", text)] * 20 * parts, "lang string, text string").repartition(parts)
+        rows = collocations.partial_counts(docs, [], 5, length_sum).collect()
+        assert sum(r.n for r in rows if r.words == 0) == 7 * 20 * parts
+        return len(rows)
+
+    assert sent(1) == 10
+    assert sent(12 * cores) == 2 * cores * 10  # not with every part of the input
+    assert sent(12 * cores, 3 * cores * collocations.TASK_BYTES) == 3 * cores * 10
+
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 40)  # many slices in a batch
+    batch = pa.record_batch([pa.array(["en", "xx"] * 50), pa.array([text] * 100)], ["lang", "text"])
+    rows = [tuple(r.values()) for b in collocations._add_up(
+        collocations._count_slices([batch, batch], [], 5), 1 << 20) for r in b.to_pylist()]
+    assert len(rows) == len({r[:3] for r in rows})
+    assert ("xx", "one two", 2, 200) in rows and ("en", None, 0, 700) in rows
+
+
+@pytest.mark.parametrize("limit", [1, 300, 2000, 10**9])
+def test_sums_of_slices_within_a_bound(limit):
+    rng = np.random.default_rng(5)
+    slices = []
+    for _ in range(30):
+        names = [f"w{min(k, 60)}" for k in rng.zipf(1.4, 25)]
+        slices.append(pa.record_batch([
+            pa.array(["en", "de", "und", "en", "xx"] * 5), pa.array([None if x == "w3" else x for x in names], pa.string()),
+            pa.array([0 if x == "w3" else 1 for x in names], pa.int32()), pa.array(rng.integers(1, 9, 25))],
+            ["lang", "phrase", "words", "n"]))
+    want, got = Counter(), Counter()
+    for b in slices:
+        for r in b.to_pylist():
+            want[r["lang"], r["phrase"], r["words"]] += r["n"]
+    sums = list(collocations._add_up(iter(slices), limit))
+    for b in sums:
+        assert b.schema.equals(slices[0].schema)
+        for r in b.to_pylist():
+            got[r["lang"], r["phrase"], r["words"]] += r["n"]
+    assert got == want
+    assert limit < 10**9 or sum(b.num_rows for b in sums) == len(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 40), max_size=60), max_size=12), st.integers(2, 20))
 def test_summaries_keep_every_frequent_key(parts, threshold):
